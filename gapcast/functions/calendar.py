@@ -58,3 +58,10 @@ def calendar_features(
     One projection; it works on batch and streaming frames alike.
     """
     return df.withColumns(calendar_columns(F.col(timestamp), tz, as_int)).drop(timestamp)
+
+
+def epoch_millis(at: Column) -> Column:
+    """Milliseconds since 1970 of a ``timestamp_ntz`` taken as UTC, truncated."""
+    days = F.date_diff(F.to_date(at), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = (days * 24 + F.hour(at)) * 3600 + F.minute(at) * 60
+    return seconds * 1000 + F.floor(F.extract(F.lit("SECOND"), at) * 1000).cast("long")

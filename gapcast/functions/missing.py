@@ -15,13 +15,12 @@ def is_missing(value: Column) -> Column:
     return value.isNull() | value.isin(*MISSING_TEXTS)
 
 
-def payload_map(text: Column) -> Column:
-    """One JSON object as an ordered ``map<string,string>``; null if it is none.
+def last_of_each_key(parsed: Column) -> Column:
+    """A parsed JSON object in which a repeated key counts with its last value.
 
-    The map keeps payload order. A repeated key stays at its first position with
-    its last value; the plain map is used as it is when no key repeats.
+    Keys stay in payload order, a repeated one at its first position. The map is
+    used as it is when no key repeats.
     """
-    parsed = F.from_json(text, "map<string,string>")
     keys = F.array_distinct(F.map_keys(parsed))
 
     def last_value(key: Column) -> Column:

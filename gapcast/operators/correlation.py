@@ -16,7 +16,8 @@ def corr_with_label(
     """Pearson correlation of the label with each numeric column, the label too.
 
     One aggregate over one scan. ``nulls="zero"`` counts a null as 0.0 on both
-    sides, as ``df.stat.corr`` does; ``nulls="drop"`` leaves the pair out.
+    sides, as ``df.stat.corr`` does; ``nulls="drop"`` leaves the pair out. The
+    value of a constant column is null.
     """
     if nulls not in ("zero", "drop"):
         raise ValueError("nulls must be 'zero' or 'drop'")
@@ -26,7 +27,14 @@ def corr_with_label(
         v = F.col(name).cast("double")
         return F.coalesce(v, F.lit(0.0)) if nulls == "zero" else v
 
-    wide = df.agg(*[F.corr(value(label), value(c)).alias(f"r{i}") for i, c in enumerate(columns)])
+    def corr(c: str):
+        x, y = value(label), value(c)
+        if nulls == "drop":
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        # a constant column has no correlation: null rather than a division by zero
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    wide = df.agg(*[corr(c).alias(f"r{i}") for i, c in enumerate(columns)])
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("corr")) for i, c in enumerate(columns)]
     )

@@ -20,7 +20,7 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.operators.features import FEATURES, assemble_features
@@ -152,8 +152,11 @@ def assembled_rows(df: DataFrame, features: Sequence[str], label: str, *keep: st
 # --- linear ---------------------------------------------------------------
 
 
-def fit_linear_moments(spark, moments: Moments, label: str, params: Mapping[str, Any]) -> LinearRegressionModel:
-    points = points_with_moments(spark, moments, label, FEATURES, "weight")
+def linear_points(spark: SparkSession, moments: Moments, label: str) -> DataFrame:
+    return points_with_moments(spark, moments, label, FEATURES, "weight")
+
+
+def fit_linear_points(points: DataFrame, label: str, params: Mapping[str, Any]) -> LinearRegressionModel:
     return make_estimator("linear", label, params).setWeightCol("weight").fit(points)
 
 
@@ -161,7 +164,10 @@ def linear_training_metrics(moments: Moments, model: LinearRegressionModel) -> d
     """Training RMSE and r2, from the moments."""
     sse = linear_sse(moments, model.coefficients.toArray(), model.intercept)
     total = moments.scatter[-1, -1]
-    return {"train_rmse": float(np.sqrt(sse / moments.n)), "train_r2": 1.0 - sse / total if total else float("nan")}
+    return {
+        "train_rmse": float(np.sqrt(max(sse, 0.0) / moments.n)),
+        "train_r2": float(1.0 - sse / total) if total else float("nan"),
+    }
 
 
 def uses_moments(params: Mapping[str, Any], features: Sequence[str]) -> bool:
@@ -176,7 +182,7 @@ def fit_linear(df, features, label, params, handle_invalid="error", method="auto
     if method == "moments" or (method == "auto" and uses_moments(params, features)):
         rows = training_rows(df, features, label, handle_invalid)
         moments = collect_moments(rows, [*features, label])[0]
-        model = fit_linear_moments(df.sparkSession, moments, label, params)
+        model = fit_linear_points(linear_points(df.sparkSession, moments, label), label, params)
         metrics = linear_training_metrics(moments, model)
     else:
         model = make_estimator("linear", label, params).fit(

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,8 +130,14 @@ def points_with_moments(spark: SparkSession, m: Moments, label: str, features_co
         contrasts[i, i + 1] = -(i + 1)
         contrasts[i] /= np.linalg.norm(contrasts[i])
     points = m.mean[:, None] + np.sqrt(d + 1) * (root @ contrasts)
-    rows = [(Vectors.dense(p[:-1]), float(p[-1]), float(m.n / (d + 1))) for p in points.T]
-    return spark.createDataFrame(rows, [features_col, label, weight]).coalesce(1)
+    rows = pa.table(
+        {
+            "x": pa.array(list(points[:-1].T), pa.list_(pa.float64())),
+            label: points[-1],
+            weight: np.full(d + 1, m.n / (d + 1)),
+        }
+    )
+    return spark.createDataFrame(rows).select(array_to_vector("x").alias(features_col), label, weight).coalesce(1)
 
 
 def linear_sse(m: Moments, coefficients: np.ndarray, intercept: float) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gapcast.functions.missing import first_missing, is_missing, missing_fields
 from gapcast.schema import SENSOR_FIELDS, TIMESTAMP
+from gapcast.sources.messages import once
 
 COMPLETE, IMPUTE, REJECT = "complete", "impute", "reject"
 
@@ -18,9 +19,8 @@ def detect_missing(
     df: DataFrame, payload: str = "payload", expected_fields: Sequence[str] | None = None
 ) -> DataFrame:
     """Add ``missing`` (all missing fields, payload order) and ``label`` (the first)."""
-    return df.withColumn("missing", missing_fields(F.col(payload), expected_fields)).withColumn(
-        "label", first_missing(F.col("missing"))
-    )
+    found = once(df, missing=missing_fields(F.col(payload), expected_fields))
+    return found.withColumn("label", first_missing(F.col("missing")))
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -59,10 +59,9 @@ def route_readings(
         .when(not_numeric, "not_numeric")
         .when(has_gap & absent, "absent_field")
     )
-    return df.withColumn("reason", reason).withColumn(
-        "route",
-        F.when(F.col("reason").isNotNull(), REJECT).when(has_gap, IMPUTE).otherwise(COMPLETE),
-    )
+    known = once(df.withColumn("has_gap", has_gap), reason=reason)
+    route = F.when(F.col("reason").isNotNull(), REJECT).when(F.col("has_gap"), IMPUTE).otherwise(COMPLETE)
+    return known.withColumn("route", route).drop("has_gap")
 
 
 def collect_bad_input(routed: DataFrame) -> DataFrame:

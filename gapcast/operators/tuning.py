@@ -36,9 +36,10 @@ from gapcast.operators.models import (
     assembled_rows,
     distinct_points,
     fit_isotonic_points,
-    fit_linear_moments,
+    fit_linear_points,
     fit_model,
     grid_points,
+    linear_points,
     linear_training_metrics,
     make_estimator,
     param_grid,
@@ -110,11 +111,13 @@ def _tune_linear(rows, features, label, points, folds, parallelism, fold_col):
     per_fold = collect_moments(rows, [*features, label], by=fold_col)
     _check_folds(per_fold, folds)
 
-    rest = {f: reduce(add, [m for k, m in per_fold.items() if k != f]) for f in per_fold}
+    rest = {
+        f: linear_points(spark, reduce(add, [m for k, m in per_fold.items() if k != f]), label) for f in per_fold
+    }
 
     def fold_error(job):
         params, fold = job
-        model = fit_linear_moments(spark, rest[fold], label, params)
+        model = fit_linear_points(rest[fold], label, params)
         sse = linear_sse(per_fold[fold], model.coefficients.toArray(), model.intercept)
         return np.sqrt(max(sse, 0.0) / per_fold[fold].n)
 
@@ -124,7 +127,7 @@ def _tune_linear(rows, features, label, points, folds, parallelism, fold_col):
 
     best = points[int(np.argmin(means))]
     total = reduce(add, per_fold.values())
-    model = fit_linear_moments(spark, total, label, best)
+    model = fit_linear_points(linear_points(spark, total, label), label, best)
     fitted = FittedModel("linear", label, list(features), model, dict(best), linear_training_metrics(total, model))
     return means, fitted
 
