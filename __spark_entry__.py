@@ -313,6 +313,14 @@ def pair_density(spark, sf_dir):
     return binning.scatter_pairs(table(spark, sf_dir, "lineitem"), LINE_NUMBERS[3:], bins=10)
 
 
+def pair_density_with_gaps(spark, sf_dir):
+    return binning.scatter_pairs(gapped_readings(spark, sf_dir), READING_FIELDS, bins=10)
+
+
+def histograms_with_gaps(spark, sf_dir):
+    return rounded(binning.histograms(gapped_readings(spark, sf_dir), READING_FIELDS, bins=10))
+
+
 def histograms(spark, sf_dir):
     return rounded(binning.histograms(table(spark, sf_dir, "lineitem"), LINE_NUMBERS, bins=10))
 
@@ -679,7 +687,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_with_label": corr_with_label,
         "corr_with_label_drop": corr_with_label_drop,
         "pair_density": pair_density,
+        "pair_density_with_gaps": pair_density_with_gaps,
         "histograms": histograms,
+        "histograms_with_gaps": histograms_with_gaps,
         "rmse_eval": rmse_eval,
         "sample_fraction": sample_fraction,
         "random_split_counts": random_split_counts,

@@ -21,7 +21,8 @@ def _bin_index(df: DataFrame, column: str, bounds: ColumnRange, bins: int) -> Co
     if bounds.low == bounds.high:
         return F.when(value.isNotNull(), F.lit(bins // 2))
     share = (value - bounds.low) / (bounds.high - bounds.low)
-    return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+    # least() passes over nulls, so missing values are kept out by hand
+    return F.when(value.isNotNull(), F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
 
 
 def _edge(bounds: ColumnRange, i: Column, bins: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 from typing import Any
 
 import numpy as np
@@ -130,8 +131,8 @@ def param_grid(algorithm: str, estimator, grid: Mapping[str, Sequence[Any]] | No
 
 def grid_points(algorithm: str, grid: Mapping[str, Sequence[Any]] | None = None) -> list[dict[str, Any]]:
     """The same grid as plain name-value dictionaries, in the same order."""
-    estimator = SPECS[algorithm].estimator()
-    return [{p.name: v for p, v in point.items()} for point in param_grid(algorithm, estimator, grid)]
+    grid = grid or SPECS[algorithm].grid
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 def training_rows(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error") -> DataFrame:

@@ -16,6 +16,9 @@ GAPPED = READINGS + """, g AS (
 LINES = """l AS (SELECT *, l_quantity * 400 + l_extendedprice / 10 AS signal FROM lineitem)"""
 
 
+FIELDS = ("value", "user_id", "k")
+
+
 def key_fraction(key: str, seed: int) -> str:
     spread = f"((({key} % 2147483647) * 1327217885 + {seed}) % 2147483647)"
     return f"(CAST(({spread} * {spread}) % 2147483647 AS DOUBLE) / 2147483647.0)"
@@ -180,12 +183,33 @@ def union(rows) -> str:
 
 
 def bin_of(c: str) -> str:
-    return f"CAST(least(floor((CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c}) * 10), 9) AS INTEGER)"
+    share = f"(CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c})"
+    return f"CASE WHEN {c} IS NOT NULL THEN CAST(least(floor({share} * 10), 9) AS INTEGER) END"
 
 
-BOUNDS = "b AS (SELECT {} FROM lineitem)".format(
-    ", ".join(f"CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}" for c in LINE_NUMBERS)
-)
+def binned(columns, source: str) -> str:
+    """Bounds in b, bin numbers in c."""
+    bounds = ", ".join(f"CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}" for c in columns)
+    bins = ", ".join(f"{bin_of(c)} AS {c}" for c in columns)
+    return f"b AS (SELECT {bounds} FROM {source}), c AS (SELECT {bins} FROM {source}, b)"
+
+
+def pair_counts(columns) -> str:
+    return union(
+        f"""SELECT '{x}' AS x, '{y}' AS y, {x} AS x_bin, {y} AS y_bin, count(*) AS n FROM c
+WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {x}, {y}"""
+        for x, y in combinations(columns, 2)
+    )
+
+
+def histogram_rows(columns) -> str:
+    return union(
+        f"""SELECT '{c}' AS "column", bin, {r4(f"lo_{c} + bin * (hi_{c} - lo_{c}) / 10")} AS bin_low,
+  {r4(f"lo_{c} + (bin + 1) * (hi_{c} - lo_{c}) / 10")} AS bin_high, coalesce(n, 0) AS n
+FROM (SELECT CAST(i AS INTEGER) AS bin FROM generate_series(0, 9) t(i)) s
+LEFT JOIN (SELECT {c} AS bin, count(*) AS n FROM c GROUP BY 1) h USING (bin), b"""
+        for c in columns
+    )
 
 
 def corr_rows(label: str, columns, source: str, zero: bool) -> str:
@@ -280,7 +304,7 @@ FROM (SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events)""",
         "hour_range_counts": """SELECT CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
   CAST(hour(ts) // 3 AS BIGINT) AS hour_range, count(*) AS n FROM events GROUP BY 1, 2, 3""",
         "describe_numeric": union(numeric_row(c, "lineitem") for c in LINE_NUMBERS),
-        "describe_with_gaps": f"WITH {GAPPED} " + union(numeric_row(c, "g") for c in ("value", "user_id", "k")),
+        "describe_with_gaps": f"WITH {GAPPED} " + union(numeric_row(c, "g") for c in FIELDS),
         "describe_text": union(text_row(c, "documents") for c in ("text", "lang", "source")),
         "describe_orders": union(
             [
@@ -301,21 +325,12 @@ FROM (SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events)""",
             + " FROM lineitem"
             for c in LINE_NUMBERS
         ),
-        "corr_with_label": f"WITH {GAPPED} " + corr_rows("value", ("value", "user_id", "k"), "g", True),
-        "corr_with_label_drop": f"WITH {GAPPED} " + corr_rows("value", ("value", "user_id", "k"), "g", False),
-        "pair_density": f"WITH {BOUNDS}, c AS (SELECT {', '.join(f'{bin_of(c)} AS {c}' for c in LINE_NUMBERS)} FROM lineitem, b)\n"
-        + union(
-            f"SELECT '{x}' AS x, '{y}' AS y, {x} AS x_bin, {y} AS y_bin, count(*) AS n FROM c GROUP BY {x}, {y}"
-            for x, y in combinations(LINE_NUMBERS[3:], 2)
-        ),
-        "histograms": f"WITH {BOUNDS}, c AS (SELECT {', '.join(f'{bin_of(c)} AS {c}' for c in LINE_NUMBERS)} FROM lineitem, b),\n"
-        + "s AS (SELECT CAST(i AS INTEGER) AS bin FROM generate_series(0, 9) t(i))\n"
-        + union(
-            f"""SELECT '{c}' AS "column", bin, {r4(f"lo_{c} + bin * (hi_{c} - lo_{c}) / 10")} AS bin_low,
-  {r4(f"lo_{c} + (bin + 1) * (hi_{c} - lo_{c}) / 10")} AS bin_high, coalesce(n, 0) AS n
-FROM s LEFT JOIN (SELECT {c} AS bin, count(*) AS n FROM c GROUP BY 1) h USING (bin), b"""
-            for c in LINE_NUMBERS
-        ),
+        "corr_with_label": f"WITH {GAPPED} " + corr_rows("value", FIELDS, "g", True),
+        "corr_with_label_drop": f"WITH {GAPPED} " + corr_rows("value", FIELDS, "g", False),
+        "pair_density": f"WITH {binned(LINE_NUMBERS, 'lineitem')} {pair_counts(LINE_NUMBERS[3:])}",
+        "pair_density_with_gaps": f"WITH {GAPPED}, {binned(FIELDS, 'g')} {pair_counts(FIELDS)}",
+        "histograms": f"WITH {binned(LINE_NUMBERS, 'lineitem')} {histogram_rows(LINE_NUMBERS)}",
+        "histograms_with_gaps": f"WITH {GAPPED}, {binned(FIELDS, 'g')} {histogram_rows(FIELDS)}",
         "rmse_eval": f"""WITH {READINGS} SELECT count(value) AS n, {r4("sqrt(avg(power(value - k, 2)))")} AS rmse,
   {r4("1 - sum(power(value - k, 2)) / (var_pop(value) * count(value))")} AS r2 FROM r""",
         "hash_split_counts": f"""SELECT CASE WHEN {key_fraction("o_orderkey", 7)} < 0.7 THEN 'train' ELSE 'test' END AS part,
