@@ -592,9 +592,7 @@ def _field_models(messages: DataFrame) -> dict[str, list[FittedModel]]:
 
 def score_by_label(spark, sf_dir):
     messages = field_gap_messages(spark, sf_dir)
-    filled, _ = impute_messages(
-        messages, _field_models(messages), READING, staging_dir=shared_dir(spark, "staged")
-    )
+    filled, _ = impute_messages(messages, _field_models(messages), READING)
     return rounded(filled.select("event_id", "label", "value", "user_id", "k"))
 
 

@@ -97,6 +97,9 @@ SPECS = {
     )
 }
 
+# Columns of condensed training tables, named apart from table columns.
+POINT, WEIGHT, DEVIATION = "_point", "_weight", "_deviation"
+
 TREES = ("decision_tree", "gbt", "random_forest")
 DEEP = 20
 
@@ -154,11 +157,11 @@ def assembled_rows(df: DataFrame, features: Sequence[str], label: str, *keep: st
 
 
 def linear_points(spark: SparkSession, moments: Moments, label: str) -> DataFrame:
-    return points_with_moments(spark, moments, label, FEATURES, "weight")
+    return points_with_moments(spark, moments, label, FEATURES, WEIGHT)
 
 
 def fit_linear_points(points: DataFrame, label: str, params: Mapping[str, Any]) -> LinearRegressionModel:
-    return make_estimator("linear", label, params).setWeightCol("weight").fit(points)
+    return make_estimator("linear", label, params).setWeightCol(WEIGHT).fit(points)
 
 
 def linear_training_metrics(moments: Moments, model: LinearRegressionModel) -> dict[str, float]:
@@ -197,6 +200,15 @@ def fit_linear(df, features, label, params, handle_invalid="error", method="auto
 # --- isotonic -------------------------------------------------------------
 
 
+def refuse_gaps(rows: DataFrame, feature: str) -> None:
+    """Raise if the feature is null or NaN somewhere, as the assembler does."""
+    gap = F.col(feature).isNull()
+    if dict(rows.dtypes)[feature] in ("double", "float"):
+        gap = gap | F.isnan(feature)
+    if not rows.filter(gap).isEmpty():
+        raise ValueError(f"null or NaN values in ['{feature}']")
+
+
 def distinct_points(rows: DataFrame, x: str, label: str, *by: str) -> DataFrame:
     """Weight, mean label and squared deviation per distinct feature value.
 
@@ -205,16 +217,16 @@ def distinct_points(rows: DataFrame, x: str, label: str, *by: str) -> DataFrame:
     the rows is one row per task.
     """
     y = F.col(label).cast("double")
-    return rows.groupBy(*by, F.col(x).cast("double").alias("x")).agg(
-        F.count("*").cast("double").alias("weight"),
+    return rows.groupBy(*by, F.col(x).cast("double").alias(POINT)).agg(
+        F.count("*").cast("double").alias(WEIGHT),
         F.avg(y).alias(label),
-        (F.var_pop(y) * F.count("*")).alias("deviation"),
+        (F.var_pop(y) * F.count("*")).alias(DEVIATION),
     )
 
 
 def fit_isotonic_points(points: DataFrame, label: str, params: Mapping[str, Any]) -> IsotonicRegressionModel:
     params = {k: v for k, v in params.items() if k != "featureIndex"}
-    return IsotonicRegression(featuresCol="x", labelCol=label, weightCol="weight", **params).fit(points)
+    return IsotonicRegression(featuresCol=POINT, labelCol=label, weightCol=WEIGHT, **params).fit(points)
 
 
 def as_vector_model(model: IsotonicRegressionModel, index: int) -> IsotonicRegressionModel:
@@ -224,6 +236,7 @@ def as_vector_model(model: IsotonicRegressionModel, index: int) -> IsotonicRegre
 def fit_isotonic(df, features, label, params, handle_invalid="error") -> FittedModel:
     index = params.get("featureIndex", 0)
     rows = training_rows(df, features[index : index + 1], label, handle_invalid)
+    refuse_gaps(rows, features[index])
     model = fit_isotonic_points(distinct_points(rows, features[index], label), label, params)
     return FittedModel("isotonic", label, list(features), as_vector_model(model, index), dict(params))
 

@@ -12,12 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 BINS = 1024
 
 
@@ -48,31 +49,42 @@ def column_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnRang
 def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     """Bin of a value in [low, high]; the top bin holds exactly ``high``."""
     share = (value / 2 - low / 2) / (high / 2 - low / 2)
-    inner = F.least(F.floor(F.when(F.isnan(share), 0.0).otherwise(share) * (bins - 1)), F.lit(bins - 2))
-    return F.when(value == high, F.lit(bins - 1)).otherwise(inner.cast("int"))
+    inner = (F.nanvl(share, F.lit(0.0)) * (bins - 1)).cast("int")
+    return F.when(value == high, F.lit(bins - 1)).otherwise(F.least(inner, F.lit(bins - 2)))
 
 
 def _narrow(df: DataFrame, brackets: Sequence[tuple], types: Mapping[str, str], bins: int) -> list:
-    """One round: for every (bracket, rank) the bin that holds it."""
-    entries, ranks = [], []
+    """One round: for every (bracket, rank) the bin that holds it.
+
+    The brackets of one column do not overlap, so a row has one entry per column
+    at most; rows outside all brackets leave before the entries are spread out.
+    """
+    by_column: dict[str, list] = {}
+    ranks = []
     for i, ((column, low, high), wanted) in enumerate(brackets):
-        value = number(column, types[column])
-        entries.append(
-            F.when(
-                value.between(low, high),
-                F.struct(F.lit(i).alias("bracket"), _bin(value, low, high, bins).alias("bin"), value.alias("v")),
-            )
-        )
+        by_column.setdefault(column, []).append((i, low, high))
         ranks += [F.lit(i), F.array(*[F.lit(r).cast("long") for r in wanted])]
+
+    entries, inside = [], []
+    for column, places in by_column.items():
+        value = number(column, types[column])
+        code = F.lit(None).cast("int")
+        for i, low, high in reversed(places):
+            code = F.when(value.between(low, high), F.lit(i * bins) + _bin(value, low, high, bins)).otherwise(code)
+            inside.append(value.between(low, high))
+        entries.append(F.struct(code.alias("code"), value.alias("v")))
     counts = (
-        df.select(F.explode(F.array(*entries)).alias("e"))
-        .filter(F.col("e").isNotNull())
-        .groupBy("e.bracket", "e.bin")
-        .agg(F.count("*").alias("n"), F.min("e.v").alias("low"), F.max("e.v").alias("high"))
+        df.filter(reduce(lambda a, b: a | b, inside))
+        .select(F.explode(F.array(*entries)).alias("e"))
+        .select("e.code", "e.v")
+        .filter(F.col("code").isNotNull())
+        .groupBy("code")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    upto = F.sum("n").over(W.partitionBy("bracket").orderBy("bin"))
+    upto = F.sum("n").over(W.partitionBy("bracket").orderBy("code"))
     return (
-        counts.withColumn("upto", upto)
+        counts.withColumn("bracket", F.floor(F.col("code") / bins).cast("int"))
+        .withColumn("upto", upto)
         .withColumn("rank", F.explode(F.create_map(*ranks)[F.col("bracket")]))
         .filter((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
         .select("bracket", "rank", "low", "high", (F.col("upto") - F.col("n")).alias("skipped"))

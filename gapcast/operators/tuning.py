@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.operators.models import (
+    DEVIATION,
+    POINT,
     SPECS,
+    WEIGHT,
     FittedModel,
     uses_moments,
     as_vector_model,
@@ -43,6 +46,7 @@ from gapcast.operators.models import (
     linear_training_metrics,
     make_estimator,
     param_grid,
+    refuse_gaps,
     training_rows,
 )
 from gapcast.operators.moments import collect_moments, linear_sse
@@ -134,15 +138,16 @@ def _tune_linear(rows, features, label, points, folds, parallelism, fold_col):
 
 def _merge_points(points: DataFrame, label: str) -> DataFrame:
     """Points of several folds as one point per feature value."""
-    weight = F.sum("weight")
-    return points.groupBy("x").agg(
-        weight.alias("weight"), (F.sum(F.col("weight") * F.col(label)) / weight).alias(label)
+    weight = F.sum(WEIGHT)
+    return points.groupBy(POINT).agg(
+        weight.alias(WEIGHT), (F.sum(F.col(WEIGHT) * F.col(label)) / weight).alias(label)
     )
 
 
 def _tune_isotonic(rows, features, label, points, folds, parallelism, fold_col):
     spark = rows.sparkSession
     index = points[0].get("featureIndex", 0)
+    refuse_gaps(rows, features[index])
     stats = distinct_points(rows, features[index], label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _check_folds({r[fold_col] for r in stats.select(fold_col).distinct().collect()}, folds)
@@ -151,10 +156,8 @@ def _tune_isotonic(rows, features, label, points, folds, parallelism, fold_col):
             params, fold = job
             model = fit_isotonic_points(_merge_points(stats.filter(F.col(fold_col) != fold), label), label, params)
             scored = model.transform(stats.filter(F.col(fold_col) == fold))
-            gap = F.col("weight") * F.pow(F.col(label) - F.col("prediction"), 2)
-            return scored.agg(
-                F.sqrt(F.sum(F.col("deviation") + gap) / F.sum("weight")).alias("rmse")
-            ).first()["rmse"]
+            gap = F.col(WEIGHT) * F.pow(F.col(label) - F.col("prediction"), 2)
+            return scored.agg(F.sqrt(F.sum(F.col(DEVIATION) + gap) / F.sum(WEIGHT)).alias("rmse")).first()["rmse"]
 
         jobs = [(p, f) for p in points for f in range(folds)]
         errors = np.array(_in_threads(spark, fold_error, jobs, parallelism)).reshape(len(points), folds)

@@ -14,6 +14,7 @@ from gapcast.operators.models import FittedModel
 from gapcast.operators.quality import IMPUTE, REJECT, detect_missing, route_readings
 from gapcast.operators.scoring import predict
 from gapcast.schema import TIMESTAMP, reading_schema
+from gapcast.scratch import shared_dir
 from gapcast.sources.messages import decode_message, typed_fields
 
 Models = Mapping[str, Sequence[FittedModel]]
@@ -126,8 +127,15 @@ def impute_messages(
     tz: str = "UTC",
     expected_fields: Sequence[str] | None = None,
     several_missing: str = "reject",
-    staging_dir: str | None = None,
+    staging_dir: str | None = "auto",
 ) -> tuple[DataFrame, DataFrame]:
-    """(filled readings, rejects) of a batch of raw messages."""
+    """(filled readings, rejects) of a batch of raw messages.
+
+    With models for several labels the routed readings are staged (see
+    :func:`stage_by_label`), by default in the cluster's shared folder; with
+    None every branch reads and parses the messages for itself.
+    """
+    if staging_dir == "auto":
+        staging_dir = shared_dir(messages.sparkSession, "staged") if len(models) > 1 else None
     routed = route_messages(messages, schema, timestamp, value, expected_fields, several_missing)
     return score_by_label(routed, models, schema, timestamp, tz, staging_dir)

@@ -39,7 +39,7 @@ def rows(spark):
 # ------------------------------------------------------------------- grids
 
 
-def test_grid_sizes():
+def test_grid_sizes(spark):
     sizes = {name: len(grid_points(name)) for name in SPECS}
     assert sizes == {"linear": 150, "isotonic": 2, "decision_tree": 25, "gbt": 27, "random_forest": 27}
     fits = sum(n * SPECS[a].folds + 1 for a, n in sizes.items())
@@ -198,8 +198,9 @@ def test_unlabelled_rows_do_not_train(spark, rows):
 
 def test_rows_with_empty_features_raise_or_are_skipped(spark, rows):
     extra = spark.createDataFrame([(1000, None, 1.0, 1.0, 1.0)], rows.schema)
-    with pytest.raises(ValueError):
-        fit_model("linear", rows.unionAll(extra), FEATURES, "y")
+    for algorithm in SPECS:
+        with pytest.raises(Exception, match="(?i)null"):
+            fit_model(algorithm, rows.unionAll(extra), FEATURES, "y")
     a = fit_model("linear", rows.unionAll(extra), FEATURES, "y", handle_invalid="skip").model
     assert np.allclose(a.coefficients, fit_model("linear", rows, FEATURES, "y").model.coefficients)
 
