@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapcast.operators.quantiles import ColumnRange, column_ranges, number
+from gapcast.operators.quantiles import ColumnRange, cells, column_ranges, lookup, number
 from gapcast.operators.split import sample_fraction
 from gapcast.schema import numeric_columns
 
 
-def _bin_index(df: DataFrame, column: str, bounds: ColumnRange, bins: int) -> Column:
-    """Equal-width bin between minimum and maximum; the last bin is closed."""
-    value = number(column, dict(df.dtypes)[column])
-    if bounds.low is None:
-        return F.lit(None).cast("int")
-    if bounds.low == bounds.high:
-        return F.when(value.isNotNull(), F.lit(bins // 2))
-    share = (value - bounds.low) / (bounds.high - bounds.low)
-    # least() passes over nulls, so missing values are kept out by hand
-    return F.when(value.isNotNull(), F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+def _bin_index(value: Column, place: Column, ranges: Sequence[ColumnRange], bins: int) -> Column:
+    """Equal-width bin between a column's minimum and maximum; the last bin is closed.
+
+    All values of a constant column are in the middle bin.
+    """
+    low = lookup([r.low for r in ranges], place)
+    high = lookup([r.high for r in ranges], place)
+    share = F.when(high > low, (value - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.5)
+    return F.least((share * bins).cast("int"), F.lit(bins - 1))
 
 
 def _edge(bounds: ColumnRange, i: Column, bins: int) -> Column:
@@ -56,14 +54,15 @@ def histograms(
 ) -> DataFrame:
     """Counts per equal-width bin of every column, empty bins included.
 
-    Every row yields one small integer code per column; they are counted before
-    the shuffle, which then carries columns x bins groups at most.
+    Every value becomes one integer code of column and bin; codes are counted
+    before the shuffle, which then carries columns x bins groups per task at most.
     """
     df, columns, ranges = _prepare(df, columns, ranges, fraction, seed)
     columns = [c for c in columns if ranges[c].low is not None]
-    codes = F.array(*[F.lit(i * bins) + _bin_index(df, c, ranges[c], bins) for i, c in enumerate(columns)])
+    place = F.col("c")
+    bin_index = _bin_index(F.col("v"), place, [ranges[c] for c in columns], bins)
     counts = (
-        df.select(F.explode(codes).alias("code")).filter(F.col("code").isNotNull()).groupBy("code").agg(F.count("*").alias("n"))
+        cells(df, columns).select((place * bins + bin_index).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     )
     grid = df.sparkSession.range(len(columns) * bins).select(F.col("id").cast("int").alias("code"))
     which, b = F.floor(F.col("code") / bins), F.col("code") % bins
@@ -90,25 +89,26 @@ def scatter_pairs(
     integer codes counted before the shuffle. Cells without rows are left out.
     """
     df, columns, ranges = _prepare(df, columns, ranges, fraction, seed)
-    pairs = list(combinations(range(len(columns)), 2))
-    binned = df.select(*[_bin_index(df, c, ranges[c], bins).alias(f"b{i}") for i, c in enumerate(columns)])
-    codes = F.array(
-        *[
-            (F.lit(p * bins) + F.col(f"b{x}")) * bins + F.col(f"b{y}")
-            for p, (x, y) in enumerate(pairs)
-        ]
-    )
-    counts = (
-        binned.select(F.explode(codes).alias("code"))
-        .filter(F.col("code").isNotNull())
-        .groupBy("code")
-        .agg(F.count("*").alias("n"))
+    types, bounds = dict(df.dtypes), [ranges[c] for c in columns]
+    values = F.array(*[number(c, types[c]) for c in columns])
+    pairs = (
+        df.select(values.alias("row"))
+        .select("row", F.posexplode("row").alias("x", "x_value"))
+        .filter(F.col("x_value").isNotNull())
+        .select("x", "x_value", F.posexplode("row").alias("y", "y_value"))
+        .filter((F.col("y") > F.col("x")) & F.col("y_value").isNotNull())
     )
-    pair = F.floor(F.col("code") / (bins * bins))
+    x_bin = _bin_index(F.col("x_value"), F.col("x"), bounds, bins)
+    y_bin = _bin_index(F.col("y_value"), F.col("y"), bounds, bins)
+    pair = F.col("x") * len(columns) + F.col("y")
+    code = F.col("code")
+    counts = pairs.select(((pair * bins + x_bin) * bins + y_bin).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    names = [F.lit(c) for c in columns]
+    pair = F.floor(code / (bins * bins)).cast("int")
     return counts.select(
-        _by_code(pair, [F.lit(columns[x]) for x, _ in pairs]).alias("x"),
-        _by_code(pair, [F.lit(columns[y]) for _, y in pairs]).alias("y"),
-        F.floor(F.col("code") / bins).cast("int").__mod__(bins).alias("x_bin"),
-        (F.col("code") % bins).alias("y_bin"),
+        _by_code(F.floor(pair / len(columns)), names).alias("x"),
+        _by_code(pair % len(columns), names).alias("y"),
+        (F.floor(code / bins).cast("int") % bins).alias("x_bin"),
+        (code % bins).alias("y_bin"),
         "n",
     )

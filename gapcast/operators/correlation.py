@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapcast.operators.quantiles import lookup
 from gapcast.schema import numeric_columns
 
 
@@ -15,9 +16,9 @@ def corr_with_label(
 ) -> DataFrame:
     """Pearson correlation of the label with each numeric column, the label too.
 
-    One aggregate over one scan. ``nulls="zero"`` counts a null as 0.0 on both
-    sides, as ``df.stat.corr`` does; ``nulls="drop"`` leaves the pair out. The
-    value of a constant column is null.
+    One scan and one aggregate, with a row per column and task. ``nulls="zero"``
+    counts a null as 0.0 on both sides, as ``df.stat.corr`` does; ``nulls="drop"``
+    leaves the pair out. The value of a constant column is null.
     """
     if nulls not in ("zero", "drop"):
         raise ValueError("nulls must be 'zero' or 'drop'")
@@ -27,15 +28,13 @@ def corr_with_label(
         v = F.col(name).cast("double")
         return F.coalesce(v, F.lit(0.0)) if nulls == "zero" else v
 
-    def corr(c: str):
-        x, y = value(label), value(c)
-        if nulls == "drop":
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    y, v = F.col("y"), F.col("v")
+    pairs = (
+        df.select(value(label).alias("y"), F.posexplode(F.array(*map(value, columns))).alias("c", "v"))
+        .filter(y.isNotNull() & v.isNotNull())
+        .groupBy("c")
         # a constant column has no correlation: null rather than a division by zero
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    wide = df.agg(*[corr(c).alias(f"r{i}") for i, c in enumerate(columns)])
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("corr")) for i, c in enumerate(columns)]
+        .agg(F.try_divide(F.covar_pop(y, v), F.stddev_pop(y) * F.stddev_pop(v)).alias("corr"))
     )
-    return wide.select(F.inline(cells))
+    places = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("c"))
+    return places.join(pairs, "c", "left").select(lookup(columns, F.col("c"), "string").alias("column"), "corr")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from gapcast.operators.quantiles import number
 
-# A Gram matrix per task and fold stays small up to about this many columns.
-MAX_COLUMNS = 256
+# Each task sends a Gram matrix per fold: small up to about this many columns.
+MAX_COLUMNS = 64
 
 
 @dataclass(frozen=True)

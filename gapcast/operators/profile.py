@@ -11,8 +11,8 @@ from gapcast.operators.quantiles import (
     SMALL_ROWS,
     ColumnRange,
     approx_quantiles,
+    cells,
     exact_quantiles,
-    number,
 )
 from gapcast.schema import numeric_columns, text_columns
 
@@ -25,26 +25,26 @@ PROFILE_SCHEMA = (
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     """Count, mean, sample deviation, minimum and maximum, in one aggregate.
 
-    The mean is taken from sum and count, as seven buffers per column keep the
-    fourteen columns of a reading below Spark's limit for generated code.
+    The columns are laid under each other first: any number of them takes the
+    same short generated code, and each task sends one row per column.
     """
     if not columns:
         return {}
-    types = dict(df.dtypes)
-    aggregates = []
-    for i, c in enumerate(columns):
-        value = number(c, types[c])
-        aggregates += [
-            F.count(value).alias(f"count{i}"),
-            (F.sum(value) / F.count(value)).alias(f"mean{i}"),
-            F.stddev_samp(value).alias(f"std{i}"),
-            F.min(value).alias(f"min{i}"),
-            F.max(value).alias(f"max{i}"),
-        ]
-    row = df.agg(*aggregates).first()
-    return {
-        c: {k: row[f"{k}{i}"] for k in ("count", "mean", "std", "min", "max")} for i, c in enumerate(columns)
-    }
+    rows = (
+        cells(df, columns)
+        .groupBy("c")
+        .agg(
+            F.count("v").alias("count"),
+            F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"),
+            F.max("v").alias("max"),
+        )
+        .collect()  # one row per column
+    )
+    found = {columns[r["c"]]: {k: r[k] for k in ("count", "mean", "std", "min", "max")} for r in rows}
+    empty = {"count": 0, "mean": None, "std": None, "min": None, "max": None}
+    return {c: found.get(c, dict(empty)) for c in columns}
 
 
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -46,18 +45,34 @@ def column_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnRang
     return {c: ColumnRange(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
 
 
-def _bin(value: Column, low: float, high: float, bins: int) -> Column:
+def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per row and column: ``c``, the column's place, and ``v``, its value.
+
+    What follows is one small expression for all columns, with the bounds of a
+    column looked up by ``c``. A separate expression per column would make code
+    too long for the JVM to compile.
+    """
+    types = dict(df.dtypes)
+    values = F.array(*[number(c, types[c]) for c in columns])
+    return df.select(F.posexplode(values).alias("c", "v")).filter(F.col("v").isNotNull())
+
+
+def lookup(values: Sequence, place: Column, dtype: str = "double") -> Column:
+    """``values[place]`` out of a constant array."""
+    return F.get(F.array(*[F.lit(v).cast(dtype) for v in values]), place)
+
+
+def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Bin of a value in [low, high]; the top bin holds exactly ``high``."""
     share = (value / 2 - low / 2) / (high / 2 - low / 2)
     inner = (F.nanvl(share, F.lit(0.0)) * (bins - 1)).cast("int")
     return F.when(value == high, F.lit(bins - 1)).otherwise(F.least(inner, F.lit(bins - 2)))
 
 
-def _narrow(df: DataFrame, brackets: Sequence[tuple], types: Mapping[str, str], bins: int) -> list:
+def _narrow(df: DataFrame, brackets: Sequence[tuple], bins: int) -> list:
     """One round: for every (bracket, rank) the bin that holds it.
 
-    The brackets of one column do not overlap, so a row has one entry per column
-    at most; rows outside all brackets leave before the entries are spread out.
+    The brackets of one column do not overlap, so a value is in one at most.
     """
     by_column: dict[str, list] = {}
     ranks = []
@@ -65,18 +80,16 @@ def _narrow(df: DataFrame, brackets: Sequence[tuple], types: Mapping[str, str],
         by_column.setdefault(column, []).append((i, low, high))
         ranks += [F.lit(i), F.array(*[F.lit(r).cast("long") for r in wanted])]
 
-    entries, inside = [], []
-    for column, places in by_column.items():
-        value = number(column, types[column])
-        code = F.lit(None).cast("int")
-        for i, low, high in reversed(places):
-            code = F.when(value.between(low, high), F.lit(i * bins) + _bin(value, low, high, bins)).otherwise(code)
-            inside.append(value.between(low, high))
-        entries.append(F.struct(code.alias("code"), value.alias("v")))
+    code = F.lit(None).cast("int")
+    for k in range(max(map(len, by_column.values()))):
+        kth = [places[k] if k < len(places) else (None, None, None) for places in by_column.values()]
+        bracket = lookup([i for i, _, _ in kth], F.col("c"), "int")
+        low, high = (lookup(edge, F.col("c")) for edge in zip(*[(lo, hi) for _, lo, hi in kth]))
+        inside = F.col("v").between(low, high)
+        code = F.when(inside, bracket * bins + _bin(F.col("v"), low, high, bins)).otherwise(code)
     counts = (
-        df.filter(reduce(lambda a, b: a | b, inside))
-        .select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.code", "e.v")
+        cells(df, list(by_column))
+        .select(code.alias("code"), "v")
         .filter(F.col("code").isNotNull())
         .groupBy("code")
         .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
@@ -95,7 +108,6 @@ def _narrow(df: DataFrame, brackets: Sequence[tuple], types: Mapping[str, str],
 def _values_at_ranks(
     df: DataFrame, wanted: Mapping[str, set[int]], ranges: Mapping[str, ColumnRange], bins: int
 ) -> dict[tuple[str, int], float]:
-    types = dict(df.dtypes)
     found: dict[tuple[str, int], float] = {}
     # open[(column, low, high)] = {absolute rank: rank inside the bracket}
     open_: dict[tuple, dict[int, int]] = {}
@@ -111,7 +123,7 @@ def _values_at_ranks(
             settle(c, r, r, ranges[c].low, ranges[c].high)
     while open_:
         work = [(key, sorted(inside.items())) for key, inside in open_.items()]
-        rows = _narrow(df, [(key, sorted({i for _, i in items})) for key, items in work], types, bins)
+        rows = _narrow(df, [(key, sorted({i for _, i in items})) for key, items in work], bins)
         place = {(row["bracket"], row["rank"]): row for row in rows}
         open_ = {}
         for b, ((column, _, _), items) in enumerate(work):
