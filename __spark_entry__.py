@@ -22,7 +22,7 @@ from gapcast.operators import binning, correlation, metrics, profile, quality, q
 from gapcast.operators.models import FittedModel, fit_model
 from gapcast.operators.registry import ModelRegistry
 from gapcast.plans.correlation import correlation_report
-from gapcast.plans.imputation import impute_messages, route_messages
+from gapcast.plans.imputation import complete_readings, route_messages, score_by_label, stage_by_label
 from gapcast.plans.regression import analyse_gap, run_regression
 from gapcast.schema import numeric_columns
 from gapcast.scratch import shared_dir
@@ -563,15 +563,13 @@ def regression_run(spark, sf_dir):
 
 
 def _value_model(routed_df: DataFrame) -> FittedModel:
-    complete = routed_df.filter(F.col("route") == quality.COMPLETE)
-    return fit_model("linear", complete, ["user_id", "k"], "value")
+    return fit_model("linear", complete_readings(routed_df), ["user_id", "k"], "value")
 
 
 def predict_missing(spark, sf_dir):
-    """From raw messages to readings without gaps."""
-    messages = value_gap_messages(spark, sf_dir)
-    models = {"value": [_value_model(routed(messages))]}
-    filled, _ = impute_messages(messages, models, READING)
+    """From raw messages to readings without gaps: parse once, train, fill."""
+    staged = stage_by_label(routed(value_gap_messages(spark, sf_dir)), shared_dir(spark, "staged"))
+    filled, _ = score_by_label(staged, {"value": [_value_model(staged)]}, READING)
     return rounded(filled.select("event_id", "value", "imputed"))
 
 
@@ -585,14 +583,15 @@ def predict_missing_table(spark, sf_dir):
 LABEL_FEATURES = {"value": ["user_id", "k"], "k": ["value", "user_id"], "user_id": ["value", "k"]}
 
 
-def _field_models(messages: DataFrame) -> dict[str, list[FittedModel]]:
-    complete = routed(messages).filter(F.col("route") == quality.COMPLETE)
+def _field_models(routed_df: DataFrame) -> dict[str, list[FittedModel]]:
+    complete = complete_readings(routed_df)
     return {label: [fit_model("linear", complete, fs, label)] for label, fs in LABEL_FEATURES.items()}
 
 
-def score_by_label(spark, sf_dir):
-    messages = field_gap_messages(spark, sf_dir)
-    filled, _ = impute_messages(messages, _field_models(messages), READING)
+def predict_by_label(spark, sf_dir):
+    """Gaps in several fields, each filled by the model of its field."""
+    staged = stage_by_label(routed(field_gap_messages(spark, sf_dir)), shared_dir(spark, "staged"))
+    filled, _ = score_by_label(staged, _field_models(staged), READING)
     return rounded(filled.select("event_id", "label", "value", "user_id", "k"))
 
 
@@ -623,7 +622,7 @@ def stream_impute_values(spark, sf_dir):
 
 def stream_score_by_label(spark, sf_dir):
     messages = field_gap_messages(spark, sf_dir)
-    filled = _run_stream(spark, messages, _field_models(messages), shared_dir(spark, "stream"))
+    filled = _run_stream(spark, messages, _field_models(routed(messages)), shared_dir(spark, "stream"))
     return rounded(filled.select("event_id", "label", "value", "user_id", "k"))
 
 
@@ -718,7 +717,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "regression_run": regression_run,
         "predict_missing": predict_missing,
         "predict_missing_table": predict_missing_table,
-        "score_by_label": score_by_label,
+        "score_by_label": predict_by_label,
         "stream_impute": stream_impute_values,
         "stream_score_by_label": stream_score_by_label,
         "correlation_report": correlation_report_corr,

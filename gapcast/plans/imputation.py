@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gapcast.functions.calendar import CALENDAR_COLUMNS, calendar_columns
 from gapcast.operators.models import FittedModel
-from gapcast.operators.quality import IMPUTE, REJECT, detect_missing, route_readings
+from gapcast.operators.quality import COMPLETE, IMPUTE, REJECT, detect_missing, route_readings
 from gapcast.operators.scoring import predict
 from gapcast.schema import TIMESTAMP, reading_schema
 from gapcast.scratch import shared_dir
@@ -19,6 +19,9 @@ from gapcast.sources.messages import decode_message, typed_fields
 
 Models = Mapping[str, Sequence[FittedModel]]
 
+# Partition column of staged readings: the label to fill, null for the rest.
+FILL = "fill"
+
 
 def route_messages(
     messages: DataFrame,
@@ -70,41 +73,44 @@ def _score_one_label(part: DataFrame, label: str, fitted: Sequence[FittedModel],
 
 
 def stage_by_label(routed: DataFrame, path: str) -> DataFrame:
-    """Write routed readings once, one folder per label to fill.
+    """Write routed readings once and read them back, one folder per label to fill.
 
-    Every scoring branch then reads its own folder instead of parsing all
-    messages again. Only routable labels make folders, so there are few.
+    Training and every scoring branch then read typed columns of the folders
+    they need, where they would parse all messages again. Only routable labels
+    make folders, so there are few.
     """
-    keyed = routed.withColumn("fill", F.when(F.col("route") == IMPUTE, F.col("label")))
-    keyed.write.mode("overwrite").partitionBy("fill").parquet(path)
+    keyed = routed.withColumn(FILL, F.when(F.col("route") == IMPUTE, F.col("label")))
+    keyed.write.mode("overwrite").partitionBy(FILL).parquet(path)
     return routed.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
+def complete_readings(routed: DataFrame) -> DataFrame:
+    """The readings without a gap, for training."""
+    rows = routed.filter(F.col("route") == COMPLETE)
+    return rows.filter(F.col(FILL).isNull()).drop(FILL) if FILL in routed.columns else rows
+
+
 def score_by_label(
     routed: DataFrame,
     models: Models,
     schema: T.StructType | None = None,
     timestamp: str = TIMESTAMP,
     tz: str = "UTC",
-    staging_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(filled readings, rejects). The label of a reading picks its models.
 
     Per label the first model fills the gap; ``predictions`` holds the values of
-    all of its models. Complete readings pass through.
+    all of its models. Complete readings pass through. There is one branch per
+    label, so ``routed`` should be staged or persisted when there are several.
     """
     schema = schema or reading_schema()
     checked = _with_model_check(routed, models, schema.names)
-    columns = checked.columns
-    if staging_dir is not None:
-        checked = stage_by_label(checked, staging_dir)
-        to_fill = {label: checked.filter(F.col("fill") == label).select(*columns) for label in models}
-        others = checked.filter(F.col("fill").isNull()).select(*columns)
-    else:
-        to_fill = {label: checked.filter((F.col("route") == IMPUTE) & (F.col("label") == label)) for label in models}
-        others = checked.filter(F.col("route") != IMPUTE)
-
-    complete = others.filter(F.col("route") != REJECT).withColumns(
+    to_fill = {}
+    for label in models:
+        part = checked.filter((F.col("route") == IMPUTE) & (F.col("label") == label))
+        to_fill[label] = part.filter(F.col(FILL) == label).drop(FILL) if FILL in routed.columns else part
+
+    complete = complete_readings(routed).withColumns(
         {
             "prediction": F.lit(None).cast("double"),
             "predictions": F.lit(None).cast("map<string,double>"),
@@ -114,7 +120,7 @@ def score_by_label(
     filled = reduce(DataFrame.unionByName, parts, complete)
     return (
         filled.withColumn("imputed", F.col("route") == IMPUTE).drop("payload", "missing", "route", "reason"),
-        others.filter(F.col("route") == REJECT),
+        checked.filter(F.col("route") == REJECT).drop(FILL),
     )
 
 
@@ -135,7 +141,9 @@ def impute_messages(
     :func:`stage_by_label`), by default in the cluster's shared folder; with
     None every branch reads and parses the messages for itself.
     """
+    routed = route_messages(messages, schema, timestamp, value, expected_fields, several_missing)
     if staging_dir == "auto":
         staging_dir = shared_dir(messages.sparkSession, "staged") if len(models) > 1 else None
-    routed = route_messages(messages, schema, timestamp, value, expected_fields, several_missing)
-    return score_by_label(routed, models, schema, timestamp, tz, staging_dir)
+    if staging_dir is not None:
+        routed = stage_by_label(routed, staging_dir)
+    return score_by_label(routed, models, schema, timestamp, tz)

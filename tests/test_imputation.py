@@ -9,7 +9,13 @@ from gapcast.operators.models import fit_model
 from gapcast.operators.registry import ModelRegistry
 from gapcast.operators.scoring import predict_missing
 from gapcast.plans.correlation import correlation_report
-from gapcast.plans.imputation import impute_messages, route_messages
+from gapcast.plans.imputation import (
+    complete_readings,
+    impute_messages,
+    route_messages,
+    score_by_label,
+    stage_by_label,
+)
 from gapcast.plans.regression import analyse_gap, run_regression
 from gapcast.schema import SENSOR_FIELDS, reading_schema
 from gapcast.sources.kafka import read_stream_text
@@ -109,10 +115,20 @@ def test_gaps_are_filled(spark, messages, readings, models):
 def test_staged_scoring_is_the_same(spark, messages, models, tmp_path):
     direct = impute_messages(as_messages(spark, messages), models, staging_dir=None)
     staged = impute_messages(as_messages(spark, messages), models, staging_dir=str(tmp_path / "staged"))
+    assert direct[0].columns == staged[0].columns and direct[1].columns == staged[1].columns
     assert bag(direct[0]) == bag(staged[0])
     assert bag(direct[1].drop("payload")) == bag(staged[1].drop("payload"))
 
 
+def test_branches_read_only_their_part(spark, messages, models, tmp_path):
+    staged = stage_by_label(route_messages(as_messages(spark, messages)), str(tmp_path))
+    filled, _ = score_by_label(staged, models)
+    scans = [line for line in filled._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    assert len(scans) == 3
+    assert all("PartitionFilters: [is" in line and "PushedFilters: [Is" in line for line in scans)
+    assert complete_readings(staged).count() == filled.filter("NOT imputed").count()
+
+
 def test_labels_without_model_are_rejected(spark, models):
     reading = {f: 1.0 for f in SENSOR_FIELDS}
     texts = [json.dumps({"timestamp": 1, **reading, "light": None}), json.dumps({"timestamp": 1, **reading, "rain": None})]
