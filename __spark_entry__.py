@@ -656,7 +656,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return predict_missing(spark, ENTRY_DIR)
 
 
+def _corpus_parts():
+    """The modules of the training-data subpackage, or None where it was taken out of the library."""
+    try:
+        import corpus_pipeline
+        from gapcast.llm import queries as llm_queries
+        from gapcast.llm import sql as llm_sql
+    except ModuleNotFoundError as e:
+        if e.name in ("gapcast.llm", "corpus_pipeline"):
+            return None
+        raise
+    return llm_queries, llm_sql, corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    registered = _own_queries()
+    if (parts := _corpus_parts()) is not None:
+        registered |= parts[0].queries() | {"pipeline": parts[2].run}
+    return registered
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "csv_round_trip": csv_round_trip,
         "json_round_trip": json_round_trip,
@@ -728,4 +748,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from oracles import oracle_sql as sql
 
-    return sql()
+    found = sql()
+    if (parts := _corpus_parts()) is not None:
+        found |= parts[1].oracle_sql()
+        if parts[2].ORACLE_SQL is not None:
+            found["pipeline"] = parts[2].ORACLE_SQL
+    return found
