@@ -34,9 +34,10 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def crc_bucket(key: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n; null for a null id."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n)).cast("int")
+def held_out(key: Column, n: int, rest: int) -> Column:
+    """True where crc32 of the id as text, modulo n, is ``rest``; false for a null id."""
+    remainder = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+    return F.coalesce(remainder == rest, F.lit(False))
 
 
 @contextmanager
