@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import quality, simhash, winnowing
+from gapcast.llm import quality, simhash, toxicity, winnowing
 from gapcast.llm.tables import held_out
 
 
@@ -27,6 +27,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,6 +57,7 @@ def queries() -> dict:
     return {
         "op2_quality": op2_quality,
         "op4_line_dedup": op4_line_dedup,
+        "op5_toxicity": op5_toxicity,
         "op7_simhash": op7_simhash,
         "op9_decontamination": op9_decontamination,
     }
