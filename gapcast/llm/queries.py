@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import quality, simhash, toxicity, winnowing
+from gapcast.llm import language, quality, simhash, toxicity, winnowing
 from gapcast.llm.tables import held_out
 
 
@@ -22,6 +22,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = language.fit_languages(docs, ~out)
+    found = language.predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,6 +64,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_quality": op2_quality,
+        "op3_language": op3_language,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op7_simhash": op7_simhash,
