@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import language, quality, simhash, toxicity, winnowing
+from gapcast.llm import embedding_dedup, language, quality, simhash, toxicity, winnowing
 from gapcast.llm.tables import held_out
 
 
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_simhash": op7_simhash,
         "op9_decontamination": op9_decontamination,
     }

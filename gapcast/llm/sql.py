@@ -48,6 +48,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+EMBEDDING_DEDUP = r"""
+WITH RECURSIVE unit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM unit UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), component AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM component
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION}
+    return {"op4_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP, "op9_decontamination": DECONTAMINATION}
