@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import embedding_dedup, language, packing, quality, simhash, toxicity, winnowing
+from gapcast.llm import embedding_dedup, language, packing, quality, simhash, toxicity, warc, winnowing
 from gapcast.llm.tables import held_out
 
 
@@ -56,6 +56,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    responses = warc.response_records(pages, "page_id", "url", "html", date="2026-01-01T00:00:00Z")
+    return warc.derivatives(responses).withColumnRenamed("key", "page_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = winnowing.words_hit()
@@ -78,5 +84,6 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_simhash": op7_simhash,
+        "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
     }
