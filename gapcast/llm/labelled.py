@@ -30,13 +30,13 @@ def slices(batch: pa.RecordBatch, text_index: int) -> Iterator[tuple[pa.RecordBa
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, max_rows: int
 ) -> DataFrame:
-    """(text, label double) of at most ``max_rows`` labelled documents, for a fit on the driver.
+    """(id, text, label double) of at most ``max_rows`` labelled documents, for a fit on the driver.
 
     ``learn`` tells from the columns of ``labels`` which labels may be used. Null
     labels and ids are left out; a document with several labels has their mean,
     rounded up at a half. Sampled ids are those with the least hashes, so the
-    sample is the same on every run. Documents that share an id and text count
-    once per row, up to ``max_rows`` rows in all.
+    sample is the same on every run. Rows that share an id count once, with the
+    least of their texts.
     """
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(
@@ -45,7 +45,8 @@ def labelled_sample(
     present = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     chosen = present.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").limit(max_rows)  # the broadcast side has max_rows rows at most
+    found = texts.join(F.broadcast(chosen), "id")  # the broadcast side has max_rows rows at most
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def with_columns(
