@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import embedding_dedup, language, packing, quality, simhash, toxicity, warc, winnowing
+from gapcast.llm import embedding_dedup, language, license_scan, packing, quality, simhash, toxicity, warc, winnowing
 from gapcast.llm.tables import held_out
 
 
@@ -75,6 +75,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder per source, and in it one per thousand ids."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", "source", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan_licenses(docs.select(path.alias("path"), "text"))
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -86,4 +94,5 @@ def queries() -> dict:
         "op7_simhash": op7_simhash,
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
+        "op10_license_scan": op10_license_scan,
     }
