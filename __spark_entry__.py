@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -28,7 +29,7 @@ from gapcast.schema import numeric_columns
 from gapcast.scratch import shared_dir
 from gapcast.sources import readings as src
 from gapcast.sources import sinks
-from gapcast.sources.kafka import read_stream_text
+from gapcast.sources.kafka import read_stream_raw
 from gapcast.streaming.impute import stream_impute
 
 ENTRY_DIR = "/root/testdata/sf0.001"
@@ -166,6 +167,18 @@ def json_round_trip(spark, sf_dir):
     return src.read_reading_json(spark, path, schema)
 
 
+def json_multiline(spark, sf_dir):
+    """Pretty-printed readings, a thousand to a file."""
+    path = shared_dir(spark, "multiline")
+    record = F.to_json(F.struct("event_id", *READING.names), {"pretty": "true", "ignoreNullFields": "false"})
+    files = event_readings(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 1000)).agg(F.collect_list(record).alias("records"))
+    text = F.concat(F.lit("[\n"), F.array_join("records", ",\n"), F.lit("\n]"))
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), *READING.fields])
+    readings = src.read_reading_json(spark, path, schema, multiline=True, corrupt="bad")
+    return src.split_corrupt(readings, "bad")[0]
+
+
 def parquet_round_trip(spark, sf_dir):
     path = shared_dir(spark, "history")
     sinks.write_history(event_readings(spark, sf_dir), path)
@@ -202,6 +215,15 @@ def rejects(spark, sf_dir):
     return quality.collect_bad_input(routed(mixed_messages(spark, sf_dir))).select("event_id", "reason")
 
 
+def rejects_non_finite(spark, sf_dir):
+    """Texts that convert to no finite number."""
+    turn = F.col("event_id") % 7
+    user = F.when(turn == 0, '"NaN"').when(turn == 1, '"Infinity"').when(turn == 2, '"-Infinity"').otherwise(_text("user_id"))
+    value = F.when(F.col("event_id") % 2 == 0, "null").otherwise(_text("value"))
+    messages = _messages(event_readings(spark, sf_dir), value, user, _text("k"))
+    return quality.collect_bad_input(routed(messages)).select("event_id", "reason")
+
+
 def _text_label(spark, sf_dir):
     turn = F.col("event_id") % 7
     text = F.when(turn == 1, "").when(turn == 2, "undefined").when(turn > 2, F.col("value").cast("string"))
@@ -267,12 +289,17 @@ LINE_NUMBERS = [
 
 def describe_numeric(spark, sf_dir):
     described = profile.describe_all(table(spark, sf_dir, "lineitem"), LINE_NUMBERS)
-    return rounded(described.drop("unique", "top", "freq"))
+    return rounded(described.drop("unique", "top", "freq", "first", "last"))
+
+
+def describe_lineitem(spark, sf_dir):
+    """Every column of a table: numbers, texts and a timestamp."""
+    return rounded(profile.describe_all(table(spark, sf_dir, "lineitem")))
 
 
 def describe_with_gaps(spark, sf_dir):
     described = profile.describe_all(gapped_readings(spark, sf_dir), READING_FIELDS)
-    return rounded(described.drop("unique", "top", "freq"))
+    return rounded(described.drop("unique", "top", "freq", "first", "last"))
 
 
 def describe_text(spark, sf_dir):
@@ -281,14 +308,12 @@ def describe_text(spark, sf_dir):
 
 
 def describe_orders(spark, sf_dir):
-    described = profile.describe_all(table(spark, sf_dir, "orders").drop("o_orderdate"))
-    return rounded(described)
+    return rounded(profile.describe_all(table(spark, sf_dir, "orders")))
 
 
 def quartiles(spark, sf_dir):
-    """The narrowing search for large tables, used whatever the size."""
     df = table(spark, sf_dir, "lineitem")
-    found = quantiles.exact_quantiles(df, LINE_NUMBERS, small_rows=0)
+    found = quantiles.exact_quantiles(df, LINE_NUMBERS)
     rows = [(c, *q) for c, q in found.items()]
     return rounded(spark.createDataFrame(rows, "column string, q25 double, q50 double, q75 double"))
 
@@ -310,7 +335,7 @@ def corr_with_label_drop(spark, sf_dir):
 
 
 def pair_density(spark, sf_dir):
-    return binning.scatter_pairs(table(spark, sf_dir, "lineitem"), LINE_NUMBERS[3:], bins=10)
+    return binning.scatter_pairs(table(spark, sf_dir, "lineitem"), LINE_NUMBERS, bins=10)
 
 
 def pair_density_with_gaps(spark, sf_dir):
@@ -343,6 +368,51 @@ def random_split_counts(spark, sf_dir):
     return both.groupBy("part").agg(F.count("*").alias("n"))
 
 
+def _tallies(**parts: DataFrame) -> DataFrame:
+    """Per order key, how many rows each of some parts of the orders has."""
+    tagged = [
+        df.select("o_orderkey", *[F.lit(int(name == other)).alias(other) for other in parts]) for name, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, tagged).groupBy("o_orderkey").agg(*[F.sum(name).alias(name) for name in parts])
+
+
+def sample_properties(spark, sf_dir):
+    """The 80 % sample is part of the table and has the share asked for, within five deviations."""
+    orders = table(spark, sf_dir, "orders")
+    tallies = _tallies(whole=orders, part=split.sample_fraction(orders, 0.8, seed=3))
+    whole, part = F.sum("whole"), F.sum("part")
+    return tallies.agg(
+        F.bool_and(F.col("part") <= F.col("whole")).alias("is_part"),
+        (F.abs(part - 0.8 * whole) <= 5 * F.sqrt(0.16 * whole)).alias("share_holds"),
+        F.bool_and(F.col("part") <= 1).alias("no_repeats"),
+    )
+
+
+def random_split_properties(spark, sf_dir):
+    """Both parts together are the table, and they share no row."""
+    orders = table(spark, sf_dir, "orders")
+    train, test = split.random_split(orders, 0.7, seed=3)
+    return _tallies(all=orders, train=train, test=test).agg(
+        F.bool_and((F.col("train") == 0) | (F.col("test") == 0)).alias("disjoint"),
+        F.bool_and(F.col("train") + F.col("test") == F.col("all")).alias("whole"),
+    )
+
+
+def quartiles_approximate_error(spark, sf_dir):
+    """Approximate quartiles lie within 1 / accuracy of the ranks asked for."""
+    df = table(spark, sf_dir, "lineitem")
+    found = quantiles.approx_quantiles(df, LINE_NUMBERS)
+    checks = []
+    for c in LINE_NUMBERS:
+        for p, value in zip((0.25, 0.5, 0.75), found[c]):
+            below, upto = (F.avg((op(F.col(c), value)).cast("double")) for op in (Column.__lt__, Column.__le__))
+            checks.append(((below <= p + 0.0002) & (upto >= p - 0.0002)).alias(f"{c}_{int(100 * p)}"))
+    row = df.agg(*checks)
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{q}").alias(f"q{q}_holds") for q in (25, 50, 75)]) for c in LINE_NUMBERS
+    ])).alias("r")).select("r.*")
+
+
 def hash_split_counts(spark, sf_dir):
     train, test = split.hash_split(table(spark, sf_dir, "orders"), "o_orderkey", 0.7, seed=7)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -603,13 +673,24 @@ def _run_stream(spark, messages, models, path) -> DataFrame:
     raw = F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(',"event_id":'), columns[0], F.lit("}"))
     sinks.write_raw_messages(messages.select(raw.alias("value")), f"{path}/in")
     schema = T.StructType([*READING.fields, T.StructField("event_id", T.LongType())])
-    query = stream_impute(
-        read_stream_text(spark, f"{path}/in"), registry, "linear", f"{path}/out", f"{path}/checkpoint", schema=schema
+    _finish(
+        stream_impute(
+            read_stream_raw(spark, f"{path}/in"),
+            registry,
+            "linear",
+            f"{path}/out",
+            f"{path}/checkpoint",
+            f"{path}/rejects",
+            schema=schema,
+        )
     )
+    return spark.read.parquet(f"{path}/out")
+
+
+def _finish(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.parquet(f"{path}/out")
 
 
 def stream_impute_values(spark, sf_dir):
@@ -620,6 +701,18 @@ def stream_impute_values(spark, sf_dir):
     return rounded(filled.select("event_id", "value", "imputed"))
 
 
+def stream_rejects(spark, sf_dir):
+    """Why messages of a stream were turned away."""
+    path = shared_dir(spark, "stream")
+    registry = ModelRegistry(spark, f"{path}/models")
+    registry.save(_value_model(routed(mixed_messages(spark, sf_dir))))
+    sinks.write_raw_messages(mixed_messages(spark, sf_dir), f"{path}/in")
+    messages = read_stream_raw(spark, f"{path}/in")
+    folders = (f"{path}/{name}" for name in ("out", "checkpoint", "rejects"))
+    _finish(stream_impute(messages, registry, ["linear"], *folders, schema=READING))
+    return spark.read.parquet(f"{path}/rejects").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def stream_score_by_label(spark, sf_dir):
     messages = field_gap_messages(spark, sf_dir)
     filled = _run_stream(spark, messages, _field_models(routed(messages)), shared_dir(spark, "stream"))
@@ -680,6 +773,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "csv_round_trip": csv_round_trip,
         "json_round_trip": json_round_trip,
+        "json_multiline": json_multiline,
         "parquet_round_trip": parquet_round_trip,
         "decode_message": decode_message,
         "preview_top5": preview_top5,
@@ -687,6 +781,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "detect_missing_all": detect_missing_all,
         "route_counts": route_counts,
         "rejects": rejects,
+        "rejects_non_finite": rejects_non_finite,
         "cast_label": cast_label,
         "fill_label": fill_label,
         "drop_and_select": drop_and_select,
@@ -696,6 +791,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "epoch_format": epoch_format,
         "hour_range_counts": hour_range_counts,
         "describe_numeric": describe_numeric,
+        "describe_lineitem": describe_lineitem,
         "describe_with_gaps": describe_with_gaps,
         "describe_text": describe_text,
         "describe_orders": describe_orders,
@@ -710,6 +806,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rmse_eval": rmse_eval,
         "sample_fraction": sample_fraction,
         "random_split_counts": random_split_counts,
+        "sample_properties": sample_properties,
+        "random_split_properties": random_split_properties,
+        "quartiles_approximate_error": quartiles_approximate_error,
         "hash_split_counts": hash_split_counts,
         "fold_counts": fold_counts,
         "linear_fit": linear_fit,
@@ -739,6 +838,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predict_missing_table": predict_missing_table,
         "score_by_label": predict_by_label,
         "stream_impute": stream_impute_values,
+        "stream_rejects": stream_rejects,
         "stream_score_by_label": stream_score_by_label,
         "correlation_report": correlation_report_corr,
         "gap_report": gap_report,

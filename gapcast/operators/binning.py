@@ -15,12 +15,24 @@ from gapcast.schema import numeric_columns
 def _bin_index(value: Column, place: Column, ranges: Sequence[ColumnRange], bins: int) -> Column:
     """Equal-width bin between a column's minimum and maximum; the last bin is closed.
 
-    All values of a constant column are in the middle bin.
+    All values of a constant column are in the middle bin, infinite ones in the end bins.
     """
     low = lookup([r.low for r in ranges], place)
     high = lookup([r.high for r in ranges], place)
-    share = F.when(high > low, (value - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.5)
-    return F.least((share * bins).cast("int"), F.lit(bins - 1))
+    share = F.when(high > low, (value / 2 - low / 2) / F.nullif(high / 2 - low / 2, F.lit(0.0))).otherwise(0.5)
+    inner = F.least((F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * bins).cast("long"), F.lit(bins - 1))
+    ends = F.when(value == float("inf"), F.lit(bins - 1)).when(value == float("-inf"), F.lit(0))
+    return F.when(value.isNotNull(), ends.otherwise(inner).cast("long"))
+
+
+def finite_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnRange]:
+    """Ranges of the finite values; infinite ones are counted in the end bins."""
+    types = dict(df.dtypes)
+    finite = {}
+    for c in columns:
+        value = number(c, types[c])
+        finite[c] = F.when(F.abs(value) < float("inf"), value) if types[c] in ("double", "float") else value
+    return column_ranges(df.select(*[v.alias(c) for c, v in finite.items()]), columns)
 
 
 def _edge(bounds: ColumnRange, i: Column, bins: int) -> Column:
@@ -40,7 +52,7 @@ def _prepare(df, columns, ranges, fraction, seed):
     columns = list(columns) if columns is not None else numeric_columns(df)
     if fraction is not None:
         df = sample_fraction(df, fraction, seed)
-    ranges = ranges or column_ranges(df, columns)
+    ranges = ranges or finite_ranges(df, columns)
     return df, columns, ranges
 
 
@@ -62,10 +74,13 @@ def histograms(
     place = F.col("c")
     bin_index = _bin_index(F.col("v"), place, [ranges[c] for c in columns], bins)
     counts = (
-        cells(df, columns).select((place * bins + bin_index).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+        cells(df, columns)
+        .select((place.cast("long") * bins + bin_index).alias("code"))
+        .groupBy("code")
+        .agg(F.count("*").alias("n"))
     )
-    grid = df.sparkSession.range(len(columns) * bins).select(F.col("id").cast("int").alias("code"))
-    which, b = F.floor(F.col("code") / bins), F.col("code") % bins
+    grid = df.sparkSession.range(len(columns) * bins).select(F.col("id").alias("code"))
+    which, b = F.expr(f"code div {bins}"), (F.col("code") % bins).cast("int")
     return grid.join(counts, "code", "left").select(
         _by_code(which, [F.lit(c) for c in columns]).alias("column"),
         b.alias("bin"),
@@ -90,25 +105,29 @@ def scatter_pairs(
     """
     df, columns, ranges = _prepare(df, columns, ranges, fraction, seed)
     types, bounds = dict(df.dtypes), [ranges[c] for c in columns]
-    values = F.array(*[number(c, types[c]) for c in columns])
-    pairs = (
-        df.select(values.alias("row"))
-        .select("row", F.posexplode("row").alias("x", "x_value"))
-        .filter(F.col("x_value").isNotNull())
-        .select("x", "x_value", F.posexplode("row").alias("y", "y_value"))
-        .filter((F.col("y") > F.col("x")) & F.col("y_value").isNotNull())
+    binned = F.transform(
+        F.array(*[number(c, types[c]) for c in columns]), lambda v, place: _bin_index(v, place, bounds, bins)
     )
-    x_bin = _bin_index(F.col("x_value"), F.col("x"), bounds, bins)
-    y_bin = _bin_index(F.col("y_value"), F.col("y"), bounds, bins)
-    pair = F.col("x") * len(columns) + F.col("y")
-    code = F.col("code")
-    counts = pairs.select(((pair * bins + x_bin) * bins + y_bin).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    names = [F.lit(c) for c in columns]
-    pair = F.floor(code / (bins * bins)).cast("int")
+    # One code per real pair of the row, from bins computed once per value; a null bin gives a null code.
+    size = F.lit(len(columns)).cast("long")
+
+    def codes_with(x: int) -> Column:
+        own = F.get("bins", F.lit(x))
+        coded = F.transform(
+            F.slice("bins", x + 2, len(columns)),
+            lambda other, step: ((F.lit(x) * size + F.lit(x + 1) + step) * bins + own) * bins + other,
+        )
+        return F.filter(coded, lambda code: code.isNotNull())
+
+    codes = [codes_with(x) for x in range(len(columns) - 1)]
+    pairs = df.select(binned.alias("bins")).select(F.explode(F.concat(*codes) if codes else F.array().cast("array<bigint>")).alias("code"))
+    counts = pairs.groupBy("code").agg(F.count("*").alias("n"))
+    code, names = F.col("code"), [F.lit(c) for c in columns]
+    pair = F.expr(f"code div {bins * bins}")
     return counts.select(
-        _by_code(F.floor(pair / len(columns)), names).alias("x"),
+        _by_code(F.expr(f"code div {bins * bins * len(columns)}"), names).alias("x"),
         _by_code(pair % len(columns), names).alias("y"),
-        (F.floor(code / bins).cast("int") % bins).alias("x_bin"),
-        (code % bins).alias("y_bin"),
+        (F.expr(f"code div {bins}") % bins).cast("int").alias("x_bin"),
+        (code % bins).cast("int").alias("y_bin"),
         "n",
     )

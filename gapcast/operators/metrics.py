@@ -13,14 +13,16 @@ def rmse_column(label: str, prediction: str = "prediction"):
 
 
 def r2_column(label: str, prediction: str = "prediction"):
+    """Null where the label does not vary. Rows without a label or a prediction do not count."""
+    known = F.when(F.col(prediction).isNotNull(), F.col(label))
     error = F.sum(F.pow(F.col(label) - F.col(prediction), 2))
-    return 1 - error / (F.var_pop(label) * F.count(label))
+    return 1 - F.try_divide(error, F.var_pop(known) * F.count(known))
 
 
 def regression_metrics(scored: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """Row count, root mean squared error and r2, in one aggregate."""
+    """Rows with label and prediction, root mean squared error and r2, in one aggregate."""
     return scored.agg(
-        F.count(label).alias("n"),
+        F.count(F.when(F.col(prediction).isNotNull(), F.col(label))).alias("n"),
         rmse_column(label, prediction).alias("rmse"),
         r2_column(label, prediction).alias("r2"),
     )

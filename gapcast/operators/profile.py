@@ -7,44 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapcast.operators.quantiles import (
-    SMALL_ROWS,
-    ColumnRange,
-    approx_quantiles,
-    cells,
-    exact_quantiles,
-)
-from gapcast.schema import numeric_columns, text_columns
+from gapcast.operators.quantiles import ColumnRange, approx_quantiles, exact_quantiles, number
+from gapcast.schema import date_columns, numeric_columns, text_columns
 
 PROFILE_SCHEMA = (
     "column string, count long, unique long, top string, freq long, mean double, std double, "
-    "min double, q25 double, q50 double, q75 double, max double"
+    "min double, q25 double, q50 double, q75 double, max double, first string, last string"
 )
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Count, mean, sample deviation, minimum and maximum, in one aggregate.
+    """Count, mean, sample deviation, minimum and maximum, in one aggregate over one scan."""
+    if not columns:
+        return {}
+    types = dict(df.dtypes)
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(
+        *[f(number(c, types[c])).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in measures.items()]
+    ).first()
+    return {c: {k: row[f"{k}{i}"] for k in measures} for i, c in enumerate(columns)}
 
-    The columns are laid under each other first: any number of them takes the
-    same short generated code, and each task sends one row per column.
-    """
+
+def date_ends(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """First and last value of date and timestamp columns, as text."""
     if not columns:
         return {}
-    rows = (
-        cells(df, columns)
-        .groupBy("c")
-        .agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
-        .collect()  # one row per column
-    )
-    found = {columns[r["c"]]: {k: r[k] for k in ("count", "mean", "std", "min", "max")} for r in rows}
-    empty = {"count": 0, "mean": None, "std": None, "min": None, "max": None}
-    return {c: found.get(c, dict(empty)) for c in columns}
+    ends = [f(c).cast("string").alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("first", F.min), ("last", F.max))]
+    row = df.agg(*ends).first()
+    return {c: {k: row[f"{k}{i}"] for k in ("first", "last")} for i, c in enumerate(columns)}
 
 
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,30 +62,35 @@ def describe_all(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     approximate: bool = False,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """One row per column, in table order; only aggregates reach the driver.
 
-    Numeric columns get mean, deviation, extremes and quartiles; text columns
-    get distinct count, top value and its frequency. Quartiles are exact unless
-    ``approximate``.
+    Numeric columns get mean, deviation, extremes and quartiles; text, date and
+    timestamp columns get distinct count, top value and its frequency, dates also
+    their first and last. Quartiles are exact unless ``approximate``. A column of
+    another type is refused by name.
     """
     wanted = list(columns) if columns is not None else df.columns
     numeric = [c for c in numeric_columns(df) if c in wanted]
-    text = [c for c in text_columns(df) if c in wanted]
+    dates = [c for c in date_columns(df) if c in wanted]
+    text = [c for c in [*text_columns(df), *dates] if c in wanted]
+    if other := [c for c in wanted if c not in (*numeric, *text)]:
+        raise ValueError(f"no profile for the types of {other}")
 
     rows: dict[str, dict] = numeric_profile(df, numeric)
     if numeric and approximate:
         quartiles = approx_quantiles(df, numeric)
     else:
         ranges = {c: ColumnRange(r["count"], r["min"], r["max"]) for c, r in rows.items()}
-        quartiles = exact_quantiles(df, numeric, ranges=ranges, small_rows=small_rows)
+        quartiles = exact_quantiles(df, numeric, ranges=ranges)
     for c, (q25, q50, q75) in quartiles.items():
         rows[c].update(q25=q25, q50=q50, q75=q75)
     if text:
         rows.update({c: {"count": 0, "unique": 0} for c in text})
         for r in text_profile(df, text).collect():  # one row per text column
             rows[r["column"]] = r.asDict()
+        for c, ends in date_ends(df, dates).items():
+            rows[c].update(ends)
 
     names = [part.split()[0] for part in PROFILE_SCHEMA.split(", ")]
     table = [tuple({"column": c, **rows[c]}.get(k) for k in names) for c in wanted if c in rows]

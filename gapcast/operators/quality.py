@@ -23,6 +23,13 @@ def detect_missing(
     return found.withColumn("label", first_missing(F.col("missing")))
 
 
+def is_number(text: Column, kind: str) -> Column:
+    """True where a text converts to a finite number; texts such as NaN and Infinity do not count."""
+    value = text.try_cast(kind)
+    finite = F.lit(True) if kind == "long" else ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.coalesce(value.isNotNull() & finite, F.lit(False))
+
+
 def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -38,15 +45,14 @@ def route_readings(
 
     Expects the columns of :func:`detect_missing`. With
     ``several_missing="first"`` a reading with more than one gap goes on with
-    its first one as label; its other gaps stay null.
+    its first one as label; its other gaps stay null. Texts that are no finite
+    number (``NaN`` and ``Infinity`` too) are ``not_numeric``.
     """
     raw = F.col(payload)
     inputs = [timestamp, *fields]
     kinds = {f: "long" if f == timestamp else "double" for f in inputs}
     others = [(f, (F.col("label").isNull()) | (F.col("label") != f)) for f in inputs]
-    not_numeric = _any(
-        [other & ~is_missing(raw[f]) & raw[f].try_cast(kinds[f]).isNull() for f, other in others]
-    )
+    not_numeric = _any([other & ~is_missing(raw[f]) & ~is_number(raw[f], kinds[f]) for f, other in others])
     absent = _any([other & ~F.map_contains_key(raw, f) for f, other in others])
     has_gap = F.size("missing") > 0
 

@@ -1,10 +1,12 @@
 """Exact quantiles of many columns with bounded memory per task.
 
 Spark's ``percentile`` keeps every distinct value of a column in the one task
-that finishes the aggregate. That is right for small tables. For large ones the
-ranks are located by narrowing: each round counts the values of the current
-bracket in equal-width bins (map-side combined, a few thousand groups in all)
-and keeps the bin that holds the rank, until a bracket is a single value.
+that finishes the aggregate. Here the ranks are located by narrowing, whatever
+the size of the table: each round counts the values of the current bracket in
+bins (map-side combined, a few thousand groups in all) and keeps the bin that
+holds the rank, until a bracket is a single value. A bracket that spans orders of
+magnitude, zero or an infinity is cut into bins of signed logarithms, any other
+one into bins of equal width, so no data need more than MAX_ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
 BINS = 1024
+# With 1,024 bins: two rounds of logarithms at most, then six of ten bits each for the 52 bits of a mantissa.
+MAX_ROUNDS = 8
+WIDE = 1024.0
+# Signed logarithms are moved away from zero by this; -ln of the least positive double is below 745.
+SHIFT, FARTHEST = 746.0, 1500.0
 
 
 def number(name: str, dtype: str) -> Column:
@@ -62,11 +68,30 @@ def lookup(values: Sequence, place: Column, dtype: str = "double") -> Column:
     return F.get(F.array(*[F.lit(v).cast(dtype) for v in values]), place)
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Bin of a value in [low, high]; the top bin holds exactly ``high``."""
-    share = (value / 2 - low / 2) / (high / 2 - low / 2)
-    inner = (F.nanvl(share, F.lit(0.0)) * (bins - 1)).cast("int")
-    return F.when(value == high, F.lit(bins - 1)).otherwise(F.least(inner, F.lit(bins - 2)))
+def _log(x: float) -> float:
+    """Signed logarithm of a bound; grows with it over all doubles."""
+    if x == 0:
+        return 0.0
+    return math.copysign(FARTHEST if math.isinf(x) else math.log(abs(x)) + SHIFT, x)
+
+
+def _log_column(x: Column) -> Column:
+    size = F.when(F.abs(x) == float("inf"), F.lit(FARTHEST)).otherwise(F.log(F.abs(x)) + SHIFT)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * size)
+
+
+def _is_wide(low: float, high: float) -> bool:
+    return low <= 0 <= high or math.isinf(low) or math.isinf(high) or max(high / low, low / high) > WIDE
+
+
+def _bin(value: Column, low: Column, high: Column, wide: Column, bins: int) -> Column:
+    """Bin of a value between two bounds; the top bin holds exactly ``high``.
+
+    For a wide bracket the bounds are signed logarithms.
+    """
+    scaled = F.when(wide, _log_column(value)).otherwise(value)
+    share = F.least(F.greatest((scaled - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return F.least((F.nanvl(share, F.lit(0.0)) * (bins - 1)).cast("int"), F.lit(bins - 2))
 
 
 def _narrow(df: DataFrame, brackets: Sequence[tuple], bins: int) -> list:
@@ -85,8 +110,14 @@ def _narrow(df: DataFrame, brackets: Sequence[tuple], bins: int) -> list:
         kth = [places[k] if k < len(places) else (None, None, None) for places in by_column.values()]
         bracket = lookup([i for i, _, _ in kth], F.col("c"), "int")
         low, high = (lookup(edge, F.col("c")) for edge in zip(*[(lo, hi) for _, lo, hi in kth]))
+        wides = [lo is not None and _is_wide(lo, hi) for _, lo, hi in kth]
+        ends = [(lo, hi) if lo is None or not w else (_log(lo), _log(hi)) for w, (_, lo, hi) in zip(wides, kth)]
+        from_, to = (lookup(edge, F.col("c")) for edge in zip(*ends))
         inside = F.col("v").between(low, high)
-        code = F.when(inside, bracket * bins + _bin(F.col("v"), low, high, bins)).otherwise(code)
+        top = F.col("v") == high
+        inner = _bin(F.col("v"), from_, to, lookup(wides, F.col("c"), "boolean"), bins)
+        place = F.when(top, F.lit(bins - 1)).otherwise(inner)
+        code = F.when(inside, bracket * bins + place).otherwise(code)
     counts = (
         cells(df, list(by_column))
         .select(code.alias("code"), "v")
@@ -121,7 +152,7 @@ def _values_at_ranks(
     for c, ranks in wanted.items():
         for r in ranks:
             settle(c, r, r, ranges[c].low, ranges[c].high)
-    while open_:
+    while open_:  # at most MAX_ROUNDS rounds with the default bins
         work = [(key, sorted(inside.items())) for key, inside in open_.items()]
         rows = _narrow(df, [(key, sorted({i for _, i in items})) for key, items in work], bins)
         place = {(row["bracket"], row["rank"]): row for row in rows}
@@ -138,23 +169,12 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float] = (0.25, 0.5, 0.75),
     ranges: Mapping[str, ColumnRange] | None = None,
-    small_rows: int = SMALL_ROWS,
     bins: int = BINS,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between neighbours, per column."""
     if not columns:
         return {}
     ranges = ranges or column_ranges(df, columns)
-    types = dict(df.dtypes)
-    if max(ranges[c].count for c in columns) <= small_rows:
-        row = df.agg(
-            *[
-                F.percentile(number(c, types[c]), F.array(*[F.lit(p) for p in probabilities])).alias(f"q{i}")
-                for i, c in enumerate(columns)
-            ]
-        ).first()
-        return {c: row[f"q{i}"] or [None] * len(probabilities) for i, c in enumerate(columns)}
-
     position = {
         c: [(ranges[c].count - 1) * p for p in probabilities] for c in columns if ranges[c].count > 0
     }
@@ -163,7 +183,7 @@ def exact_quantiles(
 
     def interpolate(c: str, x: float) -> float:
         lower, upper = math.floor(x), math.ceil(x)
-        if lower == upper:
+        if lower == upper or at[(c, lower)] == at[(c, upper)]:
             return at[(c, lower)]
         return (upper - x) * at[(c, lower)] + (x - lower) * at[(c, upper)]
 

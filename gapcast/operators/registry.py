@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,14 @@ from gapcast.operators.models import SPECS, FittedModel
 
 MANIFEST = (
     "algorithm string, label string, features array<string>, params string, metrics string, "
-    "split_seed long, created_ms long, spark_version string, path string"
+    "split_seed long, split string, created_ms long, spark_version string, path string"
 )
 
 
+def _as_text(split: Mapping[str, Any] | None) -> str | None:
+    return None if split is None else json.dumps(split, sort_keys=True)
+
+
 class ModelRegistry:
     """Models under ``root/algorithm/label/version``, on a shared file system.
 
@@ -29,9 +35,10 @@ class ModelRegistry:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def save(self, fitted: FittedModel, split_seed: int | None = None) -> str:
+    def save(self, fitted: FittedModel, split_seed: int | None = None, split: Mapping[str, Any] | None = None) -> str:
+        """``split`` says how training rows were chosen and prepared: seed, key, share, time zone, grid."""
         created = int(time.time() * 1000)
-        path = f"{self.root}/{fitted.algorithm}/{fitted.label}/v{created}"
+        path = f"{self.root}/{fitted.algorithm}/{fitted.label}/v{created}-{uuid.uuid4().hex[:8]}"
         fitted.model.write().overwrite().save(f"{path}/model")
         row = (
             fitted.algorithm,
@@ -40,6 +47,7 @@ class ModelRegistry:
             json.dumps(fitted.params, sort_keys=True),
             json.dumps(fitted.metrics, sort_keys=True),
             split_seed,
+            _as_text(split),
             created,
             self.spark.version,
             path,
@@ -59,7 +67,7 @@ class ModelRegistry:
 
     def latest(self, algorithm: str = "*", label: str = "*") -> list:
         """Newest manifest per algorithm and label: a row per trained model."""
-        newest = F.max_by(F.struct("*"), "created_ms").alias("m")
+        newest = F.max_by(F.struct("*"), F.struct("created_ms", "path")).alias("m")
         return self.manifests(algorithm, label).groupBy("algorithm", "label").agg(newest).select("m.*").collect()
 
     def load_manifest(self, m) -> FittedModel:
@@ -85,16 +93,23 @@ class ModelRegistry:
         train: Callable[[], FittedModel],
         retrain: bool = False,
         split_seed: int | None = None,
+        split: Mapping[str, Any] | None = None,
     ) -> FittedModel:
         """Load the saved model, else train and save one.
 
-        A saved model whose feature list differs from the table's is refused:
-        it would read the wrong columns.
+        A saved model whose feature list differs from the table's is refused: it
+        would read the wrong columns. So is one trained on another ``split`` than
+        given: it may have seen the rows it is to be measured on. ``retrain``
+        replaces it.
         """
-        fitted = None if retrain else self.load(algorithm, label)
-        if fitted is None:
+        found = [] if retrain else self.latest(algorithm, label)
+        if not found:
             fitted = train()
-            self.save(fitted, split_seed)
-        elif fitted.features != list(features):
-            raise ValueError(f"saved {algorithm} model of {label} has features {fitted.features}, not {list(features)}")
-        return fitted
+            self.save(fitted, split_seed, split)
+            return fitted
+        saved = found[0]
+        if list(saved["features"]) != list(features):
+            raise ValueError(f"saved {algorithm} model of {label} has features {list(saved['features'])}, not {list(features)}")
+        if split is not None and saved["split"] != _as_text(split):
+            raise ValueError(f"saved {algorithm} model of {label} was trained with {saved['split']}, not {_as_text(split)}")
+        return self.load_manifest(saved)

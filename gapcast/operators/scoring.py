@@ -30,20 +30,51 @@ def predict(
 def predict_missing(
     fitted: FittedModel, df: DataFrame, prediction: str = "prediction", imputed: str = "imputed"
 ) -> DataFrame:
-    """Fill the label where it is null; mark which rows were filled."""
-    label = fitted.label
-    return predict(fitted, df, prediction).withColumns(
-        {imputed: F.col(label).isNull(), label: F.coalesce(F.col(label), F.col(prediction))}
+    """Fill the label where it is null; mark which rows were filled.
+
+    Only these rows are scored: the prediction of the others is null. A row whose
+    label and some feature are null or NaN cannot be filled; it goes on with a null
+    label and ``imputed`` false.
+    """
+    label, types = fitted.label, dict(df.dtypes)
+    gap = F.col(label).isNull()
+    known = F.lit(True)
+    for f in fitted.features:
+        known = known & F.col(f).isNotNull()
+        if types[f] in ("double", "float"):
+            known = known & ~F.isnan(f)
+    fill = gap & known
+    # Features of rows that are not scored are made harmless for the assembler, then put back.
+    stand_in = {f: F.when(fill, F.col(f)).otherwise(F.lit(0)).cast(types[f]) for f in fitted.features}
+    kept = df.select(*[F.col(c) for c in df.columns], F.struct(*fitted.features).alias("own_features"), fill.alias(imputed))
+    scored = predict(fitted, kept.withColumns(stand_in), prediction).withColumns(
+        {f: F.col("own_features")[f] for f in fitted.features}
+    )
+    return scored.drop("own_features").withColumns(
+        {
+            prediction: F.when(F.col(imputed), F.col(prediction)),
+            label: F.when(F.col(imputed), F.col(prediction)).otherwise(F.col(label)),
+        }
     )
 
 
-def score_test(models: Sequence[FittedModel], test: DataFrame) -> dict[str, float]:
-    """Test RMSE of several models of one label, in one scan."""
-    scored, columns = test, {}
+def model_names(models: Sequence[FittedModel]) -> list[str]:
+    """The algorithm of each model; further models of an algorithm get a number (``linear_2``)."""
+    names: list[str] = []
     for m in models:
-        columns[m.algorithm] = f"prediction_{m.algorithm}"
-        scored = predict(m, scored, columns[m.algorithm])
-    return rmse_of_many(scored, models[0].label, columns)
+        earlier = sum(other.algorithm == m.algorithm for other in models[: len(names)])
+        names.append(f"{m.algorithm}_{earlier + 1}" if earlier else m.algorithm)
+    return names
+
+
+def score_test(models: Sequence[FittedModel], test: DataFrame) -> list[float]:
+    """Test RMSE of several models of one label, in their order, in one scan."""
+    scored, columns = test, {}
+    for i, m in enumerate(models):
+        columns[f"m{i}"] = f"prediction_{i}"
+        scored = predict(m, scored, columns[f"m{i}"])
+    found = rmse_of_many(scored, models[0].label, columns)
+    return [found[f"m{i}"] for i in range(len(models))]
 
 
 def feature_importance(spark: SparkSession, fitted: FittedModel) -> DataFrame:

@@ -274,8 +274,8 @@ def cross_validate(
 def model_comparison(models: Sequence[FittedModel], test: DataFrame) -> DataFrame:
     """(algorithm, label, params, rmse) of fitted models on one test part, best first."""
     errors = score_test(models, test)
-    rows = [(m.algorithm, m.label, json.dumps(m.params, sort_keys=True), errors[m.algorithm]) for m in models]
-    rows.sort(key=lambda r: r[3])
+    rows = [(m.algorithm, m.label, json.dumps(m.params, sort_keys=True), e) for m, e in zip(models, errors)]
+    rows.sort(key=lambda r: (r[3], r[0], r[2]))
     return test.sparkSession.createDataFrame(rows, "algorithm string, label string, params string, rmse double")
 
 

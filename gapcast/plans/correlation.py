@@ -31,7 +31,6 @@ def correlation_report(
     seed: int = 0,
     bins: int = 10,
     nulls: str = "zero",
-    small_rows: int | None = None,
 ) -> CorrelationReport:
     """Profile, correlations with the label, pair densities and histograms.
 
@@ -40,7 +39,7 @@ def correlation_report(
     table = history if timestamp is None else calendar_features(history, timestamp, tz, as_int=True)
     columns = numeric_columns(table)
     ranges = column_ranges(table, columns)
-    profile = describe_all(table) if small_rows is None else describe_all(table, small_rows=small_rows)
+    profile = describe_all(table)
     return CorrelationReport(
         profile,
         corr_with_label(table, label, columns, nulls),

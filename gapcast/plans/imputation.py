@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gapcast.functions.calendar import CALENDAR_COLUMNS, calendar_columns
 from gapcast.operators.models import FittedModel
 from gapcast.operators.quality import COMPLETE, IMPUTE, REJECT, detect_missing, route_readings
-from gapcast.operators.scoring import predict
+from gapcast.operators.scoring import model_names, predict
 from gapcast.schema import TIMESTAMP, reading_schema
 from gapcast.scratch import shared_dir
 from gapcast.sources.messages import decode_message, typed_fields
@@ -66,7 +66,8 @@ def _score_one_label(part: DataFrame, label: str, fitted: Sequence[FittedModel],
     columns = [f"prediction_{i}" for i in range(len(fitted))]
     for model, column in zip(fitted, columns):
         scored = predict(model, scored, column)
-    by_algorithm = [x for m, c in zip(fitted, columns) for x in (F.lit(m.algorithm), F.col(c))]
+    names = model_names(fitted)
+    by_algorithm = [x for name, c in zip(names, columns) for x in (F.lit(name), F.col(c))]
     return scored.withColumns(
         {"prediction": F.col(columns[0]), "predictions": F.create_map(*by_algorithm), label: F.col(columns[0])}
     ).drop(*columns, *CALENDAR_COLUMNS)
@@ -84,9 +85,11 @@ def stage_by_label(routed: DataFrame, path: str) -> DataFrame:
     return routed.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
-def complete_readings(routed: DataFrame) -> DataFrame:
-    """The readings without a gap, for training."""
+def complete_readings(routed: DataFrame, needed: Sequence[str] = ()) -> DataFrame:
+    """The readings without a gap, for training: of these, the ones that have all ``needed`` fields."""
     rows = routed.filter(F.col("route") == COMPLETE)
+    if needed:
+        rows = rows.dropna(subset=list(needed))
     return rows.filter(F.col(FILL).isNull()).drop(FILL) if FILL in routed.columns else rows
 
 

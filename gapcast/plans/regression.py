@@ -32,6 +32,7 @@ class RegressionRun:
     importance: DataFrame | None = None
     steps: DataFrame | None = None
     rules: DataFrame | None = None
+    unlabelled: DataFrame | None = None
 
 
 @dataclass
@@ -60,11 +61,15 @@ def run_regression(
     """Train the best model of a grid, or load it, and score test part and new readings.
 
     The split is by hash: a model loaded later is measured on the same test
-    part, which it has never seen.
+    part, which it has never seen. A saved model of another split, zone or grid is
+    refused unless ``retrain``. Rows whose label is no number take no part;
+    ``unlabelled`` counts them.
     """
     if label == timestamp:
         raise ValueError("the timestamp is replaced by calendar features and cannot be the label")
-    train_part, test_part = hash_split(labelled(cast_label_double(history, label), label), key, train, seed)
+    cast = cast_label_double(history, label)
+    unlabelled = cast.agg((F.count("*") - F.count(F.when(~F.isnan(label), F.col(label)))).alias("n"))
+    train_part, test_part = hash_split(labelled(cast, label), key, train, seed)
     if timestamp is not None:
         train_part, test_part = (calendar_features(p, timestamp, tz) for p in (train_part, test_part))
     features = feature_columns(train_part, label)
@@ -72,7 +77,14 @@ def run_regression(
     def tune() -> FittedModel:
         return cross_validate(algorithm, train_part, features, label, grid, seed=seed + 1).best
 
-    fitted = registry.train_or_load(algorithm, label, features, tune, retrain, seed)
+    split = {
+        "seed": seed,
+        "key": [key] if isinstance(key, str) else list(key or ()),
+        "train": train,
+        "tz": tz if timestamp is not None else None,
+        "grid": {k: list(v) for k, v in (grid or SPECS[algorithm].grid).items()},
+    }
+    fitted = registry.train_or_load(algorithm, label, features, tune, retrain, seed, split)
     scored = predict(fitted, test_part, keep_features=True).select("prediction", label, "features")
 
     new_scored = None
@@ -91,6 +103,7 @@ def run_regression(
         importance=feature_importance(spark, fitted) if algorithm in TREES else None,
         steps=isotonic_steps(spark, fitted) if algorithm == "isotonic" else None,
         rules=tree_dump(spark, fitted) if algorithm == "decision_tree" else None,
+        unlabelled=unlabelled,
     )
 
 

@@ -46,3 +46,9 @@ def numeric_columns(df: DataFrame, strict_types: bool = False) -> list[str]:
 def text_columns(df: DataFrame) -> list[str]:
     """Columns profiled by frequency: text and flags."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+
+
+def date_columns(df: DataFrame) -> list[str]:
+    """Dates and timestamps, in table order."""
+    kinds = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]

@@ -33,6 +33,14 @@ def read_stream_kafka(spark: SparkSession, servers: str, topic: str, **kwargs) -
     return spark.readStream.format("kafka").options(**kafka_options(servers, topic, **kwargs)).load()
 
 
+def read_stream_raw(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same binary ``value`` column from a folder that ``write_raw_messages`` filled."""
+    reader = spark.readStream.schema("value binary")
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
+
+
 def read_stream_text(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same ``value`` column from a folder of line-JSON files."""
     reader = spark.readStream

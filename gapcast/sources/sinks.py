@@ -13,8 +13,8 @@ def write_reading_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def write_raw_messages(df: DataFrame, path: str, value: str = "value", mode: str = "overwrite") -> None:
-    """Messages as they came, one per line."""
-    df.select(df[value].cast("string").alias("value")).write.mode(mode).text(path)
+    """Messages as they came, byte by byte, whatever line ends or encodings they hold."""
+    df.select(df[value].cast("binary").alias("value")).write.mode(mode).parquet(path)
 
 
 def write_history(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:

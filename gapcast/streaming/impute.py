@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gapcast.operators.models import FittedModel
+from gapcast.operators.models import SPECS, FittedModel
 from gapcast.operators.registry import ModelRegistry
 from gapcast.plans.imputation import route_messages, score_by_label
 from gapcast.schema import TIMESTAMP
@@ -22,6 +22,8 @@ class ModelCache:
     def __init__(self, registry: ModelRegistry, algorithms: Sequence[str]):
         self.registry = registry
         self.algorithms = list(algorithms)
+        if unknown := sorted(set(self.algorithms) - set(SPECS)):
+            raise ValueError(f"unknown algorithms {unknown}; there are {sorted(SPECS)}")
         self._loaded: dict[str, FittedModel] = {}
 
     def by_label(self) -> dict[str, list[FittedModel]]:
@@ -39,7 +41,7 @@ def stream_impute(
     algorithms: str | Sequence[str],
     output_dir: str,
     checkpoint_dir: str,
-    rejects_dir: str | None = None,
+    rejects_dir: str,
     raw_dir: str | None = None,
     schema: T.StructType | None = None,
     timestamp: str = TIMESTAMP,
@@ -50,12 +52,16 @@ def stream_impute(
 ) -> StreamingQuery:
     """Score every micro-batch like a table and write it as parquet.
 
+    Every message ends in ``output_dir`` or, with a reason, in ``rejects_dir``.
     Each batch overwrites its own ``batch_id`` folder: a batch replayed after a
     failure leaves the same files, so every reading is written once. Models are
     only loaded here; training is a batch job, and a model saved meanwhile is
-    picked up by the next batch.
+    picked up by the next batch. A registry without a model of the algorithms is
+    refused at the start.
     """
     models = ModelCache(registry, [algorithms] if isinstance(algorithms, str) else algorithms)
+    if not models.by_label():
+        raise ValueError(f"no model of {models.algorithms} in {registry.root}")
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         if raw_dir is not None:
@@ -65,8 +71,7 @@ def stream_impute(
         try:
             filled, rejects = score_by_label(routed, models.by_label(), schema, timestamp, tz)
             filled.write.mode("overwrite").parquet(f"{output_dir}/batch_id={batch_id}")
-            if rejects_dir is not None:
-                rejects.write.mode("overwrite").parquet(f"{rejects_dir}/batch_id={batch_id}")
+            rejects.write.mode("overwrite").parquet(f"{rejects_dir}/batch_id={batch_id}")
         finally:
             routed.unpersist()
 

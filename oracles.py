@@ -178,6 +178,22 @@ def text_row(c: str, source: str, extra: str = "") -> str:
   FROM (SELECT {c} AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)"""
 
 
+def described(source: str, numbers, texts, dates) -> str:
+    """All rows of a profile, with every column of its schema."""
+    no_text = 'CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, '
+    no_ends = 'CAST(NULL AS VARCHAR) AS "first", CAST(NULL AS VARCHAR) AS "last", '
+    no_number = ", NULL AS mean, NULL AS std, NULL AS min, NULL AS q25, NULL AS q50, NULL AS q75, NULL AS max"
+    order = '"column", count, "unique", top, freq, mean, std, min, q25, q50, q75, max, "first", "last"'
+    rows = [f"SELECT {order} FROM ({numeric_row(c, source, no_text + no_ends)})" for c in numbers]
+    ends = ', CAST(NULL AS VARCHAR) AS "first", CAST(NULL AS VARCHAR) AS "last"'
+    rows += [f"SELECT {order} FROM ({text_row(c, source, no_number + ends)})" for c in texts]
+    for c in dates:
+        both = f""", (SELECT CAST(min({c}) AS VARCHAR) FROM {source}) AS "first", (SELECT CAST(max({c}) AS VARCHAR) FROM {source}) AS "last\""""
+        text = f"(SELECT CAST({c} AS VARCHAR) AS {c} FROM {source})"
+        rows.append(f"SELECT {order} FROM ({text_row(c, text, no_number + both)})")
+    return union(rows)
+
+
 def union(rows) -> str:
     return "\nUNION ALL\n".join(rows)
 
@@ -278,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "csv_round_trip": events,
         "json_round_trip": gapped,
+        "json_multiline": events,
         "parquet_round_trip": events,
         "decode_message": gapped,
         "preview_top5": f"WITH {READINGS} SELECT event_id, value, k FROM r ORDER BY value DESC, event_id LIMIT 5",
@@ -290,6 +307,16 @@ FROM events WHERE event_id % 13 NOT IN (4, 5)""",
         "route_counts": f"""SELECT CASE WHEN {MIXED_REASON} IS NOT NULL THEN 'reject'
   WHEN event_id % 13 = 0 THEN 'impute' ELSE 'complete' END AS route, count(*) AS n FROM events GROUP BY 1""",
         "rejects": f"SELECT event_id, reason FROM (SELECT event_id, {MIXED_REASON} AS reason FROM events) WHERE reason IS NOT NULL",
+        "rejects_non_finite": "SELECT event_id, 'not_numeric' AS reason FROM events WHERE event_id % 7 < 3",
+        "stream_rejects": f"""SELECT reason, count(*) AS n FROM (SELECT {MIXED_REASON} AS reason FROM events)
+WHERE reason IS NOT NULL GROUP BY reason""",
+        "sample_properties": "SELECT count(*) > 0 AS is_part, count(*) > 0 AS share_holds, count(*) > 0 AS no_repeats FROM orders",
+        "random_split_properties": "SELECT count(*) > 0 AS disjoint, count(*) > 0 AS whole FROM orders",
+        "quartiles_approximate_error": union(
+            f"""SELECT '{c}' AS "column", count({c}) > 0 AS q25_holds, count({c}) > 0 AS q50_holds, count({c}) > 0 AS q75_holds
+FROM lineitem"""
+            for c in LINE_NUMBERS
+        ),
         "cast_label": f"WITH {GAPPED} SELECT event_id, value, k FROM g",
         "fill_label": f"WITH {GAPPED} SELECT event_id, coalesce(value, 0.0) AS value, k FROM g",
         "drop_and_select": f"WITH {READINGS} SELECT k, value, event_id FROM r",
@@ -306,15 +333,9 @@ FROM (SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events)""",
         "describe_numeric": union(numeric_row(c, "lineitem") for c in LINE_NUMBERS),
         "describe_with_gaps": f"WITH {GAPPED} " + union(numeric_row(c, "g") for c in FIELDS),
         "describe_text": union(text_row(c, "documents") for c in ("text", "lang", "source")),
-        "describe_orders": union(
-            [
-                numeric_row(c, "orders", 'CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, ')
-                for c in ("o_orderkey", "o_custkey", "o_totalprice")
-            ]
-            + [
-                text_row(c, "orders", ", NULL AS mean, NULL AS std, NULL AS min, NULL AS q25, NULL AS q50, NULL AS q75, NULL AS max")
-                for c in ("o_orderstatus", "o_orderpriority")
-            ]
+        "describe_lineitem": described("lineitem", LINE_NUMBERS, ("l_returnflag", "l_linestatus"), ("l_shipdate",)),
+        "describe_orders": described(
+            "orders", ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority"), ("o_orderdate",)
         ),
         "quartiles": union(
             f"""SELECT '{c}' AS "column", """
@@ -327,7 +348,7 @@ FROM (SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events)""",
         ),
         "corr_with_label": f"WITH {GAPPED} " + corr_rows("value", FIELDS, "g", True),
         "corr_with_label_drop": f"WITH {GAPPED} " + corr_rows("value", FIELDS, "g", False),
-        "pair_density": f"WITH {binned(LINE_NUMBERS, 'lineitem')} {pair_counts(LINE_NUMBERS[3:])}",
+        "pair_density": f"WITH {binned(LINE_NUMBERS, 'lineitem')} {pair_counts(LINE_NUMBERS)}",
         "pair_density_with_gaps": f"WITH {GAPPED}, {binned(FIELDS, 'g')} {pair_counts(FIELDS)}",
         "histograms": f"WITH {binned(LINE_NUMBERS, 'lineitem')} {histogram_rows(LINE_NUMBERS)}",
         "histograms_with_gaps": f"WITH {GAPPED}, {binned(FIELDS, 'g')} {histogram_rows(FIELDS)}",

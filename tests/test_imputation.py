@@ -18,7 +18,8 @@ from gapcast.plans.imputation import (
 )
 from gapcast.plans.regression import analyse_gap, run_regression
 from gapcast.schema import SENSOR_FIELDS, reading_schema
-from gapcast.sources.kafka import read_stream_text
+from gapcast.sources.kafka import read_stream_raw, read_stream_text
+from gapcast.sources.sinks import write_raw_messages
 from gapcast.streaming.impute import stream_impute
 
 FIELDS = ["timestamp", *SENSOR_FIELDS]
@@ -30,7 +31,7 @@ def make_readings(n, seed=1):
     for i in range(n):
         r = {f: round(rng.uniform(0, 10), 3) for f in SENSOR_FIELDS}
         r["temperature"] = round(2 * r["humidity"] - r["pressure"] + rng.gauss(0, 0.01), 4)
-        out.append({"timestamp": 1678134763546 + i * 3_600_000, **r})
+        out.append({"timestamp": 1700000000123 + i * 3_600_000, **r})
     return out
 
 
@@ -182,7 +183,8 @@ def test_stream_equals_batch(spark, messages, models, tmp_path, files):
     assert streamed.select("batch_id").distinct().count() == files
     assert bag(streamed) == bag(filled)
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == rejects.count()
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "raw")).collect()) == sorted(messages)
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    assert sorted(bytes(r["value"]).decode() for r in raw.collect()) == sorted(messages)
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, messages, models, tmp_path):
@@ -202,6 +204,57 @@ def test_stream_goes_on_from_its_checkpoint(spark, messages, models, tmp_path):
     assert total == 150
 
 
+@pytest.fixture
+def poison():
+    """A good gap, a gap beside a text that is no finite number, and a complete reading with such a text."""
+    reading = {k: 5.0 for k in SENSOR_FIELDS} | {"timestamp": 1700000000123}
+    return [
+        json.dumps(reading | {"temperature": None}),
+        json.dumps(reading | {"temperature": None, "rain": "NaN"}),
+        json.dumps(reading | {"rain": "Infinity"}),
+    ]
+
+
+def test_texts_that_are_no_number_are_rejected(spark, models, poison):
+    filled, rejects = impute_messages(as_messages(spark, poison), models)
+    assert filled.filter("imputed").count() == filled.count() == 1
+    assert [r["reason"] for r in rejects.collect()] == ["not_numeric"] * 2
+
+
+def test_the_stream_rejects_them_too(spark, models, poison, tmp_path):
+    registry = ModelRegistry(spark, str(tmp_path / "models"))
+    registry.save(models["temperature"][0])
+    write_raw_messages(as_messages(spark, [*poison, "{broken"]), str(tmp_path / "in"))
+    stream_impute(
+        read_stream_raw(spark, str(tmp_path / "in")),
+        registry,
+        "linear",
+        *(str(tmp_path / part) for part in ("out", "checkpoint", "rejects")),
+    ).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    reasons = sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect())
+    assert reasons == ["bad_json", "not_numeric", "not_numeric"]
+
+
+def test_a_stream_without_models_is_refused(spark, tmp_path):
+    registry = ModelRegistry(spark, str(tmp_path / "models"))
+    folders = [str(tmp_path / part) for part in ("out", "checkpoint", "rejects")]
+    for algorithm in ("linear", "lineer"):
+        with pytest.raises(ValueError):
+            stream_impute(read_stream_raw(spark, str(tmp_path)), registry, algorithm, *folders)
+
+
+def test_a_model_of_another_split_is_refused(spark, history, tmp_path):
+    registry = ModelRegistry(spark, str(tmp_path))
+    args, grid = (history, "temperature", "linear", registry), {"regParam": [0.001]}
+    run_regression(*args, grid=grid, seed=1)
+    for other in ({"seed": 2}, {"seed": 1, "tz": "Asia/Tokyo"}, {"seed": 1, "train": 0.6}):
+        with pytest.raises(ValueError, match="was trained with"):
+            run_regression(*args, grid=grid, **other)
+    assert run_regression(*args, grid=grid, seed=2, retrain=True).rmse < 0.2
+    assert registry.manifests().count() == 2
+
+
 def test_run_regression(spark, history, tmp_path):
     registry = ModelRegistry(spark, str(tmp_path))
     new = spark.createDataFrame(

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gapcast.operators import quantiles
 from gapcast.operators.binning import histograms, scatter_pairs
 from gapcast.operators.correlation import corr_with_label
 from gapcast.operators.profile import describe_all
@@ -59,7 +60,7 @@ def test_empty_and_null_columns(spark):
     x, s = describe_all(df).collect()
     assert x["count"] == 0 and x["mean"] is None and x["q50"] is None
     assert s["count"] == 0 and s["unique"] == 0 and s["top"] is None
-    assert describe_all(df, small_rows=-1).first()["q50"] is None
+    assert describe_all(df).first()["q50"] is None
 
 
 PROBS = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
@@ -67,7 +68,7 @@ PROBS = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
 
 def check_quantiles(spark, values, bins):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    found = exact_quantiles(df, ["v"], PROBS, small_rows=0, bins=bins)["v"]
+    found = exact_quantiles(df, ["v"], PROBS, bins=bins)["v"]
     expected = np.quantile(np.array(values), PROBS)
     assert found == pytest.approx(expected.tolist(), rel=1e-12, abs=1e-300)
 
@@ -86,11 +87,63 @@ def test_narrowing_with_a_hot_value_and_outliers(spark):
 
 def test_narrowing_of_several_columns_at_once(spark, mixed):
     df, pdf = mixed
-    found = exact_quantiles(df, ["x", "y", "n"], small_rows=0, bins=8)
+    found = exact_quantiles(df, ["x", "y", "n"], bins=8)
     for c in ("x", "y", "n"):
         assert found[c] == pytest.approx(pdf[c].quantile([0.25, 0.5, 0.75]).tolist(), rel=1e-12)
 
 
+def count_rounds(monkeypatch):
+    rounds, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *args: rounds.append(1) or narrow(*args))
+    return rounds
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [float("-inf")] * 3 + [float(i) for i in range(3000)] + [float("inf")],
+        [s * 10.0**e for e in range(-282, 283) for s in (-1, 1)] + [0.0],
+        [5e-324 * i for i in range(1, 2000)] + [1.0],
+        [1 + i * 2.0**-52 for i in range(3000)],
+    ],
+    ids=["infinities", "spread over logarithms", "least doubles", "neighbouring doubles"],
+)
+def test_rounds_are_bounded(spark, monkeypatch, values):
+    rounds = count_rounds(monkeypatch)
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    found = exact_quantiles(df, ["v"], (0.0, 0.3, 0.5, 1.0))["v"]
+    ordered = sorted(values)
+    for p, q in zip((0.0, 0.3, 0.5, 1.0), found):
+        x = (len(ordered) - 1) * p
+        low, high = ordered[math.floor(x)], ordered[math.ceil(x)]
+        assert low == q == high or low <= q <= high
+    assert len(rounds) <= quantiles.MAX_ROUNDS
+
+
+def test_dates_are_profiled_and_unknown_types_refused(spark):
+    df = spark.sql("SELECT 'w' AS t, date'2024-02-01' AS d UNION ALL SELECT 'x', date'2024-03-05' UNION ALL SELECT 'y', NULL")
+    row = describe_all(df, ["d"]).first()
+    assert (row["count"], row["unique"], row["top"], row["freq"]) == (2, 2, "2024-02-01", 1)
+    assert (row["first"], row["last"], row["mean"]) == ("2024-02-01", "2024-03-05", None)
+    with pytest.raises(ValueError, match="a"):
+        describe_all(spark.sql("SELECT array(1) AS a"))
+
+
+def test_infinities_are_in_the_end_bins(spark):
+    values = [0.0, 1.0, 9.0, 10.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v, v) for v in values], "x double, y double")
+    counts = {r["bin"]: r["n"] for r in histograms(df, ["x"], bins=10).collect()}
+    assert counts[0] == 2 and counts[1] == 1 and counts[9] == 3 and sum(counts.values()) == 6
+    assert scatter_pairs(df, bins=10).agg(F.sum("n")).first()[0] == 6
+
+
+def test_many_columns_and_bins_do_not_overflow(spark):
+    df = spark.range(3).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(20)])
+    found = scatter_pairs(df, bins=3000)
+    assert found.agg(F.sum("n")).first()[0] == 3 * 190
+    assert found.select("x", "y").distinct().count() == 190
+
+
 def test_approximate_quantiles_are_close(spark):
     df = spark.range(10_000).select(F.col("id").cast("double").alias("v"))
     for q, p in zip(approx_quantiles(df, ["v"])["v"], (0.25, 0.5, 0.75)):

@@ -10,7 +10,7 @@ from oracle_check import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
 
-# Rows only: no SQL can give their values.
+# Rows only: no SQL can give their values. Three of them have a query of their properties with SQL beside them.
 WITHOUT_SQL = {
     "quartiles_approximate",
     "sample_fraction",
@@ -30,10 +30,11 @@ def con():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.oracle_sql()) == set(entry.queries()) - WITHOUT_SQL
+    own = set(entry._own_queries())
+    assert set(entry.oracle_sql()) & own == own - WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry._own_queries()) - SLOW))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     if name in WITHOUT_SQL:
