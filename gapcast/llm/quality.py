@@ -178,7 +178,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60
     step = 0
     for epoch in range(epochs):
         rate = 4e-3 * (1 - epoch / epochs)
-        for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // 256)):
+        for rows in np.array_split(rng.permutation(learn), max(12, len(learn) // 256)):
             h = np.tanh(z[rows] @ weights[0] + weights[1])
             error = 1 / (1 + np.exp(-np.clip(h @ weights[2] + weights[3][0], -30, 30))) - y[rows]
             back = np.outer(error, weights[2]) * (1 - h * h) / len(rows)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gapcast.llm.labelled import labelled_sample, slices, with_columns
 from gapcast.llm.tables import stage
@@ -138,13 +139,11 @@ def fit_toxicity(
                 both = np.unique((doc << bits) | gram)
                 cuts = np.searchsorted(both, np.arange(1, len(texts)) << bits)
                 parts = [_packed(p) for p in np.split(both & ((1 << bits) - 1), cuts)]
-                order = [xxhash.xxh64_intdigest(p) >> 1 for p in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts, pa.binary()), piece.column(1), pa.array(order, pa.int64())], ["grams", "label", "at"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *piece.columns[1:]], ["grams", "label", "at"])
 
-    rows = sample.select("text", "label").mapInArrow(distinct, "grams binary, label double, at long")
-    rows = stage(rows.repartition(8, "at").sortWithinPartitions("at", "label"), "toxicity-sample")
+    rows = sample.select("text", "label", F.xxhash64("id").alias("at"))
+    rows = rows.mapInArrow(distinct, "grams binary, label double, at long")
+    rows = stage(rows.repartition(8, "at").sortWithinPartitions("at"), "toxicity-sample")
     ftrl = Ftrl(bits, alpha, beta, l1, l2)
     for _ in range(epochs):
         for row in rows.toLocalIterator():
