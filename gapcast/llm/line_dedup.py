@@ -180,9 +180,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lambda a, b: F.slice("lines", a + 2, b - a - 1),
     )
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(slices), "\n"))
-    return joined.select(
-        *[F.col(f"rest.{c}").alias(c) for c in rest],
-        kept.alias(text_col),
+    made = joined.select(
+        "rest",
+        kept.alias("kept"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
     )
+    return made.select(*[F.col(f"rest.{c}").alias(c) for c in rest], F.col("kept").alias(text_col), "n_lines", "n_dropped")
