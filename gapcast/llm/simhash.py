@@ -126,7 +126,7 @@ def near_duplicates(
         F.col("node").alias("fingerprint"), F.col("component")
     )
     labelled = nodes.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = stage(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "fingerprint-components")
     classes = stage(labelled.join(least, "component").select("fingerprint", "component_id"), "fingerprint-classes")
     # Both sides come from files: one fingerprint with a third of all rows is split by adaptive execution.
     return prints.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
@@ -236,13 +236,14 @@ def similar_documents(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted = stage(wanted, "compared")
     texts = source.join(wanted, source["id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
-    sets = stage(_shingle_sets(texts, size, seed), "shingle-sets").dropDuplicates(["node"])
+    # What follows joins on nodes with very many pairs: all sides come from files, so large partitions are split.
+    sets = stage(_shingle_sets(texts, size, seed).dropDuplicates(["node"]), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
     found = connected_components(links).select("node", F.col("component"))
     labelled = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = stage(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "similar-components")
     classes = stage(labelled.join(least, "component").select("node", "component_id"), "similar-classes")
     return sketched.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
