@@ -28,11 +28,12 @@ from gapcast.llm.tables import partitions, stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-# In a text of these characters alone, words between blanks are tokenized one by one with the same
-# result as the whole: none of them composes with a neighbour, changes length in lower case, or is a
-# blank that str.split and the tokenizer see differently.
-PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*").fullmatch
-KNOWN_WORDS = 300_000
+# In a text of these characters alone, the tokenizer's words can be cut out beforehand and tokenized
+# one by one with the same result: none of them composes with a neighbour, changes length in lower
+# case, or is a blank, letter or digit to one side only.
+PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ]*").fullmatch
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+KNOWN_WORDS = 800_000
 LONG_WORD = 64
 
 
@@ -48,19 +49,37 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Tokenize words that are not known yet, in one call."""
+        if len(self) + len(words) > KNOWN_WORDS:
+            self.clear()
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))
+        for word, start, end in zip(words, starts.tolist(), starts[1:].tolist()):
+            self[word] = ids[start:end].tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= LONG_WORD:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.encode(word)  # too long to keep, or forgotten meanwhile
+
+    def documents(self, texts: list[str | None]) -> list[bytes]:
+        """The tokenizer's ids of whole texts; special tokens are left to the tokenizer."""
+        cut = [CUT(t.lower()) if t and "<|" not in t and PLAIN(t) else None for t in texts]
+        new = {w for words in cut if words for w in words}.difference(self)
+        if new := sorted(w for w in new if len(w) <= LONG_WORD):
+            self.learn(new)
+        known = self.__getitem__
+        return [(self.encode(t) if t else b"") if words is None else b"".join(map(known, words)) for t, words in zip(texts, cut)]
+
+
+_words: dict[str, WordIds] = {}
 
-    def document(self, text: str) -> bytes:
-        """The tokenizer's ids of a whole text; special tokens are left to the tokenizer."""
-        if "<|" in text or not PLAIN(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+
+def word_ids(path: str) -> WordIds:
+    """The words that this worker process knows; tasks that follow each other share them."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
 
 
 def tokenized_pieces(
@@ -77,12 +96,12 @@ def tokenized_pieces(
     width, end = 4 * length, np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             for part, texts in slices(batch, 1):
                 rows, pieces = [], []
-                for row, text in enumerate(texts):
-                    ids = (words.document(text) if text else b"") + end
+                for row, ids in enumerate(words.documents(texts)):
+                    ids += end
                     for piece, at in enumerate(range(0, len(ids), width)):
                         own = ids[at : at + width]
                         rows.append(row)
@@ -129,45 +148,54 @@ def best_filling(values: np.ndarray, capacity: int) -> dict[int, int]:
     return chosen
 
 
-def fractional_fillings(counts: np.ndarray, capacity: int, rounds: int, heat: float = 10.0) -> list[tuple[dict[int, int], float]]:
-    """Fillings with their fractional use, by multiplicative weights.
+def fractional_fillings(counts: np.ndarray, capacity: int, rounds: int, heat: float = 2.0) -> list[tuple[dict[int, int], float]]:
+    """Fillings with their fractional use, by multiplicative weights; the fullest first.
 
     A round raises the use of the filling that is worth most by half of what its
-    scarcest length allows; a length weighs exp(-heat x covered share) / count.
+    scarcest length allows. A length is worth exp(-heat x covered share), times a
+    little more than its tokens: long pieces are the hard ones to place.
     """
-    covered = np.zeros(len(counts))
+    covered, size = np.zeros(len(counts)), np.arange(len(counts), dtype=np.float64)
     used: dict[tuple, float] = {}
-    present = counts > 0
     for _ in range(rounds):
-        values = np.zeros(len(counts))
-        open_ = present & (covered < counts)
+        open_ = (counts > 0) & (covered < counts)
         if not open_.any():
             break
-        # Worth per token is what counts: lengths weigh with their tokens, so that full sequences win.
-        share = covered[open_] / counts[open_]
-        values[open_] = np.exp(-heat * share) * np.flatnonzero(open_)
+        values = np.zeros(len(counts))
+        values[open_] = np.exp(-heat * covered[open_] / counts[open_]) * size[open_] ** 1.1
         filling = best_filling(values, capacity)
         step = max(1.0, 0.5 * min(counts[n] / m for n, m in filling.items()))
         key = tuple(sorted(filling.items(), reverse=True))
         used[key] = used.get(key, 0.0) + step
         for n, m in filling.items():
             covered[n] += step * m
-    return [(dict(k), x) for k, x in used.items()]
+    fullest = sorted(used.items(), key=lambda f: (-sum(n * m for n, m in f[0]), f[0]))
+    return [(dict(k), x) for k, x in fullest]
 
 
 def plan(counts: np.ndarray, capacity: int, rounds: int = 200) -> list[Filling]:
-    """Fillings that hold every piece of the histogram ``counts`` (by length) exactly once."""
+    """Fillings that hold every piece of the histogram ``counts`` (by length) exactly once.
+
+    Uses are rounded down, for all fillings that waste no more than a share of the
+    sequence; best fit packs the rest. The share with the fewest sequences wins, and
+    one of the candidates is best fit alone.
+    """
+    fillings = fractional_fillings(counts, capacity, rounds)
+    plans = [_rounded(fillings, counts, capacity, waste) for waste in (0.0, 0.005, 0.05)]
+    plans.append(_rounded([], counts, capacity, 0.0))
+    return min(plans, key=lambda p: sum(f.copies for f in p))
+
+
+def _rounded(fillings: list, counts: np.ndarray, capacity: int, waste: float) -> list[Filling]:
     left = counts.astype(np.int64).copy()
     done: list[Filling] = []
-    fillings = fractional_fillings(counts, capacity, rounds)
-    fillings.sort(key=lambda f: -sum(n * m for n, m in f[0].items()))
-    for filling, use in fillings:  # rounded down, and never beyond what is left
-        copies = min([int(use), *(int(left[n]) // m for n, m in filling.items())])
-        if copies:
+    for filling, use in fillings:
+        space = capacity - sum(n * m for n, m in filling.items())
+        copies = min([int(use), *(int(left[n]) // m for n, m in filling.items())])  # never beyond what is left
+        if copies and space <= waste * capacity:
             for n, m in filling.items():
                 left[n] -= copies * m
-            parts = sorted(filling.items(), reverse=True)
-            done.append(Filling(parts, copies, capacity - sum(n * m for n, m in parts)))
+            done.append(Filling(sorted(filling.items(), reverse=True), copies, space))
     return _best_fit(left, capacity, done)
 
 
