@@ -76,8 +76,9 @@ def terms(text: Column) -> Column:
 
 
 def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unseen: Column) -> DataFrame:
-    """(keys, term, weight, norm2) of term lists: counts times inverse document frequency."""
-    counted = passages.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    """(keys, term, weight) of term lists: counts times inverse document frequency. Terms go by their hashes."""
+    hashed = passages.select(*keys, F.explode(F.transform("terms", lambda t: F.xxhash64(t))).alias("term"))
+    counted = hashed.groupBy(*keys, "term").agg(F.count("*").alias("n"))
     return counted.join(F.broadcast(idf), "term", "left").withColumn(
         "weight", F.col("n") * F.coalesce("idf", unseen)  # idf has the templates' terms only
     )
@@ -104,7 +105,7 @@ def _similarities(files: DataFrame, least: float) -> DataFrame:
     frequency = files.select(F.explode(F.array_intersect(terms(F.col("text")), own)).alias("term")).groupBy("term").count()
     n = files.count()
     frequency = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(frequency, "term", "left")
-    idf = frequency.select("term", F.log((n + 1) / (F.coalesce("count", F.lit(0)) + 1)).alias("idf"))
+    idf = frequency.select(F.xxhash64("term").alias("term"), F.log((n + 1) / (F.coalesce("count", F.lit(0)) + 1)).alias("idf"))
     idf = stage(idf.withColumn("idf", F.col("idf") + 1), "license-terms")  # one row per template term
     unseen = F.lit(math.log(n + 1) + 1)
 
@@ -147,9 +148,10 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     not read.
     """
     rows = files.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("file", F.sha2(F.concat_ws("\n", F.coalesce("path", F.lit("")), F.sha2("text", 256)), 256))
+    rows = rows.withColumn("file", F.unhex(F.md5(F.concat_ws("\n", F.coalesce("path", F.lit("")), F.md5("text")))))
     found = stage(_similarities(rows, least), "license-passages-scored")
-    named = rows.select("file", "path").distinct()
+    small = stage(rows.select("file", "path", parent(F.col("path")).alias("dir")), "license-files")
+    named = small.select("file", "path").distinct()
     best = found.groupBy("file").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"), F.max(F.col("place") < 0).alias("whole"))
     own = stage(best.select("file", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"), "whole"), "license-own")
 
@@ -159,7 +161,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         F.min(F.struct(-F.col("score"), "path", "license")).alias("s")
     )
     of_dir = stage(of_dir, "license-directories")
-    dirs = named.where("path IS NOT NULL").select(parent(F.col("path")).alias("dir")).distinct()
+    dirs = small.where("path IS NOT NULL").select("dir").distinct()
     steps = F.filter(F.split("dir", "/"), lambda s: s != "")
     climbs = dirs.select(
         "dir",
@@ -171,7 +173,6 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     nearest = stage(nearest.select("dir", "s.path", "s.license", (-F.col("s.col1")).alias("score")), "license-nearest")
 
     # A directory may hold a third of all files: both sides are files, so large partitions can be split.
-    small = rows.select("file", "path", parent(F.col("path")).alias("dir"))
     joined = small.join(own.select("file", F.col("license").alias("own"), F.col("score").alias("own_score")), "file", "left").join(
         nearest.select("dir", F.col("path").alias("above"), F.col("license").alias("up"), F.col("score").alias("up_score")), "dir", "left"
     )
