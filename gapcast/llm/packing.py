@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ END_ID = 1
 # one by one with the same result: none of them composes with a neighbour, changes length in lower
 # case, or is a blank, letter or digit to one side only.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ]*").fullmatch
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+CUT = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+").findall
 KNOWN_WORDS = 800_000
 LONG_WORD = 64
 
@@ -65,8 +66,8 @@ class WordIds(dict):
     def documents(self, texts: list[str | None]) -> list[bytes]:
         """The tokenizer's ids of whole texts; special tokens are left to the tokenizer."""
         cut = [CUT(t.lower()) if t and "<|" not in t and PLAIN(t) else None for t in texts]
-        new = {w for words in cut if words for w in words}.difference(self)
-        if new := sorted(w for w in new if len(w) <= LONG_WORD):
+        seen = set(chain.from_iterable(filter(None, cut)))
+        if new := [w for w in seen if w not in self and len(w) <= LONG_WORD]:
             self.learn(new)
         known = self.__getitem__
         return [(self.encode(t) if t else b"") if words is None else b"".join(map(known, words)) for t, words in zip(texts, cut)]
