@@ -151,7 +151,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, seed: int)
                 chunks = list(_hash_chunks(tokens, size, seed))
                 known = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
                 nodes.append(_node(known, seed))
-                prints = _majority(chunks, LANES)
+                # Of the set, as the similarity is: a line repeated in one text has no more weight than once.
+                prints = _majority((known[i : i + CHUNK] for i in range(0, len(known), CHUNK)), LANES)
                 lanes.append(prints.tolist())
                 whole = int.from_bytes(prints.tobytes(), "little")
                 bands.append([whole >> (b * WIDTH) & ((1 << WIDTH) - 1) for b in range(BANDS)])
@@ -211,7 +212,7 @@ def similar_documents(
 ) -> DataFrame:
     """(id, component_id) of every row: groups of documents with similar sets of word shingles.
 
-    A SimHash of 384 bits is cut into bands. Ball hashing finds documents that
+    A SimHash of 384 bits of the set of shingles is cut into bands. Ball hashing finds documents that
     come within two bits in a band; a pair far apart in the whole fingerprint is
     dropped, the rest are compared by the exact Jaccard similarity of their sets
     of ``size``-word shingles, and link at ``similarity`` or more. Documents with

@@ -86,6 +86,17 @@ def test_a_large_group_of_near_copies_is_one(make_docs):
     assert similar_documents(make_docs(rows)).select("component_id").distinct().count() == 1
 
 
+def test_a_line_repeated_hundreds_of_times_hides_no_copy(make_docs):
+    rng = random.Random(4)
+    rows = []
+    for i in range(10):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+        line = " ".join(f"v{i}x{k}" for k in range(12))
+        rows += [(i, base), (100 + i, "\n".join([base, *[line] * 400]))]
+    found = {r["doc_id"]: r["component_id"] for r in similar_documents(make_docs(rows)).collect()}
+    assert all(found[100 + i] == found[i] == i for i in range(10))
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
