@@ -97,6 +97,21 @@ def test_a_line_repeated_hundreds_of_times_hides_no_copy(make_docs):
     assert all(found[100 + i] == found[i] == i for i in range(10))
 
 
+def test_true_copies_in_a_large_family_that_is_not_alike(make_docs):
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(204))
+    rows = []
+    for i in range(1000):
+        own = [f"o{i}x{k}" for k in range(40)]
+        rows.append((i, f"{common} {' '.join(own)}"))
+        if i < 60:
+            own[rng.randrange(30, 38)] = "changed"
+            rows.append((5000 + i, f"{common} {' '.join(own)}"))
+    found = {r["doc_id"]: r["component_id"] for r in similar_documents(make_docs(rows)).collect()}
+    assert all(found[i] == i for i in range(1000))
+    assert sum(found[5000 + i] == i for i in range(60)) >= 59  # the bands meet 98 % or more of such pairs
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
