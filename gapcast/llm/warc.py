@@ -19,6 +19,7 @@ from gapcast.llm.labelled import slices
 
 # Elements whose content is no text, and elements that end a line of text (fixed values of HTML).
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title"}
+MARKED_UP = {"noscript", "template", "svg", "iframe", "object"}  # of these, elements whose content can hold links
 LINES = set(
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -31,7 +32,7 @@ BLANKS = re.compile(r"[^\S\n]+")
 
 def read_page(html: str, base: str | None) -> tuple[str, str | None, list[dict]]:
     """(plain text, title, links) of a page; reads it once from front to back, whatever is left open."""
-    text, title, links, at = [], None, [], 0
+    text, title, links, at, unclosed = [], None, [], 0, set()
     while (tag := TAG.search(html, at)) is not None:
         text.append(html[at : tag.start()])
         at = tag.end()
@@ -47,11 +48,18 @@ def read_page(html: str, base: str | None) -> tuple[str, str | None, list[dict]]
         for found in LINK.finditer(tag[3]):
             url = entities.unescape(next(g for g in found.groups()[1:] if g is not None)).strip()
             links.append({"path": f"{name.upper()}@/{found[1].lower()}", "url": _absolute(base, url)})
-        if name in RAW:
-            end = CLOSE[name].search(html, at)
+        if name in RAW and not (name == "svg" and tag[3].endswith("/")):
+            end = None if name in unclosed else CLOSE[name].search(html, at)
             if name == "title" and title is None:
                 title = " ".join(entities.unescape(html[at : end.start() if end else len(html)]).split())
-            at = end.end() if end else len(html)
+            if end is None:
+                unclosed.add(name)  # nor does any later one close: only the tags are dropped
+                if name in ("script", "style"):
+                    at = len(html)
+                continue
+            if name in MARKED_UP:
+                links += read_page(html[at : end.start()], base)[2]  # holds no end tag of this name, so it nests once a name
+            at = end.end()
     text.append(html[at:])
     lines = (BLANKS.sub(" ", line).strip() for line in entities.unescape("".join(text)).split("\n"))
     return "\n".join(line for line in lines if line), title, links

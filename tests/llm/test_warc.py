@@ -66,3 +66,16 @@ def test_records_survive_a_file(spark, tmp_path):
     assert read.count() == 3
     text = warc.derivatives(read).where("warc_type = 'conversion'").first()
     assert text["block"] == "hello" and text["refers_to"] == "<urn:uuid:1>"
+
+
+def test_elements_left_open_or_closed_in_themselves_hide_nothing():
+    page = '<p>one</p><svg width="1"/><p>two <a href="/x">x</a></p><svg><a href="/in"><text>no</text></a></svg><p>three</p>'
+    text, _, links = warc.read_page(page, "http://h.org/")
+    assert text == "one\ntwo x\nthree" and [k["url"] for k in links] == ["http://h.org/x", "http://h.org/in"]
+    for name in ("svg", "noscript", "template", "object", "iframe", "textarea"):
+        text, _, links = warc.read_page(f'<p>one</p><{name}><p>two</p><{name}><img src="i.png">three', "http://h.org/")
+        assert text == "one\ntwo\nthree" and [k["url"] for k in links] == ["http://h.org/i.png"]
+    page = '<noscript><object data="o"><img src="a.png"></object><!-- <a href="no"> --></noscript><iframe><a href="b">b</a></iframe>end'
+    text, _, links = warc.read_page(page, "http://h.org/")
+    assert text == "end" and [k["path"] for k in links] == ["IMG@/src", "A@/href"]
+    assert warc.read_page("<p>one</p><style>.a {} <p>two", None)[0] == "one"
