@@ -79,8 +79,8 @@ def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unseen: Colum
     """(keys, term, weight) of term lists: counts times inverse document frequency. Terms go by their hashes."""
     hashed = passages.select(*keys, F.explode(F.transform("terms", lambda t: F.xxhash64(t))).alias("term"))
     counted = hashed.groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(idf), "term", "left").withColumn(
-        "weight", F.col("n") * F.coalesce("idf", unseen)  # idf has the templates' terms only
+    return counted.join(idf, "term", "left").withColumn(
+        "weight", F.col("n") * F.coalesce("idf", unseen)  # idf has all terms of passages that any file holds
     )
 
 
@@ -100,13 +100,14 @@ def _similarities(files: DataFrame, least: float) -> DataFrame:
     spark = files.sparkSession
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
     templates = spark.createDataFrame(rows, "template int, license string, text string").withColumn("terms", terms(F.col("text")))
-    vocabulary = sorted({r["term"] for r in templates.select(F.explode("terms").alias("term")).distinct().collect()})
-    own = F.array(*map(F.lit, vocabulary))
-    frequency = files.select(F.explode(F.array_intersect(terms(F.col("text")), own)).alias("term")).groupBy("term").count()
+    passages = stage(_passages(files), "license-passages")
     n = files.count()
-    frequency = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(frequency, "term", "left")
-    idf = frequency.select(F.xxhash64("term").alias("term"), F.log((n + 1) / (F.coalesce("count", F.lit(0)) + 1)).alias("idf"))
-    idf = stage(idf.withColumn("idf", F.col("idf") + 1), "license-terms")  # one row per template term
+    hashes = F.explode(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t)))).alias("term")
+    wanted = passages.select(hashes).union(templates.select(hashes)).distinct()
+    wanted = stage(wanted, "license-wanted")
+    frequency = files.select(terms(F.col("text")).alias("terms")).select(hashes).join(wanted, "term", "left_semi").groupBy("term").count()
+    # One row per term of a passage or template: as many as there are words, so it is joined by hash, not broadcast.
+    idf = stage(frequency.select("term", (F.log((n + 1) / (F.col("count") + 1)) + 1).alias("idf")), "license-terms")
     unseen = F.lit(math.log(n + 1) + 1)
 
     weights = _vectors(templates, ["template", "license"], idf, unseen).select("template", "license", "term", "weight")
@@ -115,7 +116,6 @@ def _similarities(files: DataFrame, least: float) -> DataFrame:
         "template", "license", "term", (F.col("weight") / F.col("norm")).alias("share")
     ), "license-weights")
 
-    passages = stage(_passages(files), "license-passages")
     vectors = _vectors(passages, ["file", "place"], idf, unseen)
     length = vectors.groupBy("file", "place").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
     dots = vectors.join(F.broadcast(weights), "term").groupBy("file", "place", "template", "license").agg(

@@ -73,3 +73,22 @@ def test_scan(spark):
 
 def test_empty_table(spark):
     assert ls.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def true_scores(text, texts):
+    """Cosines of one passage with all templates, with the frequencies of all terms over all files."""
+    cut = lambda t: TERM.findall(t.translate(FOLD))
+    held = [set(cut(t)) for t in texts]
+    idf = lambda w: math.log((len(texts) + 1) / (sum(w in h for h in held) + 1)) + 1
+    vectors = [{w: t.count(w) * idf(w) for w in t} for t in map(cut, (text, *(t for _, t in ls.TEMPLATES)))]
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    first, *others = vectors
+    return max(sum(first[w] * v.get(w, 0) for w in first) / size(first) / size(v) for v in others)
+
+
+def test_common_words_beside_a_notice_weigh_little(spark):
+    notice = "Released under the MIT License with love everywhere always"
+    rows = [("z/own.txt", notice)] + [(f"z/{i}.txt", f"love everywhere always w{i} with") for i in range(300)]
+    expected = true_scores(notice, [t for _, t in rows])
+    found = [r for r in ls.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect() if r["origin"] == "own"]
+    assert [(r["path"], r["license"]) for r in found] == [("z/own.txt", "MIT")] and abs(found[0]["score"] - expected) < 1e-6
