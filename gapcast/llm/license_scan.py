@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine with templates, then inheritance from the nearest directory.
 
-DataFrame functions only. Every text is searched whole for passages that mention
-a licence: single lines, blocks of lines between blank ones, and the text as one.
+DataFrame functions only. Every text is searched whole for passages that can come
+close to a template: single lines, blocks of lines between blank ones, sentences,
+and the text as one.
 Passages and templates become sparse TF-IDF vectors, with document frequencies
 counted over all files. A file takes the licence of its closest passage; a file
 that is a licence text as a whole, or is named like one, stands for its directory
@@ -11,6 +12,7 @@ and for everything below that has no licence of its own.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-# Every template holds one of these.
+# Every template holds one of these. The scan does not rely on it: see _needed.
 CUE = "licen[sc]e|permi(?:ssion|tted)|copyright|public domain"
 NAMES = r"^(?:(?:un)?licen[sc]e|copying|notice)(?:[.-].*)?$"
 TERM = r"([0-9]+(?:\.[0-9]+)*|[a-z\x{80}-\x{10FFFF}]+)"
@@ -84,13 +86,36 @@ def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unseen: Colum
     )
 
 
-def _passages(files: DataFrame) -> DataFrame:
-    """(file, place, whole, terms) of lines and blocks with a cue, and of whole texts that have one."""
-    cued = files.where(lower_ascii(F.col("text")).rlike(CUE))
+def _needed(templates: list[list[str]], counts: dict[str, int], n: int, least: float) -> str:
+    """A pattern that every text, in lower case, matches whose cosine with a template can come up to ``least``.
+
+    The cosine is at most the root of the sum of squared shares of the template's
+    terms that a text holds. So of each template the rarest terms are taken until
+    the rest alone cannot come up to ``least``: a text without any of them cannot.
+    """
+    needed = set()
+    for words in templates:
+        weights = {w: (words.count(w) * (math.log((n + 1) / (counts.get(w, 0) + 1)) + 1)) ** 2 for w in words}
+        total = rest = sum(weights.values())
+        for word in sorted(weights, key=lambda w: (counts.get(w, 0), -weights[w], w)):
+            if least > 0 and rest < (least**2 - 1e-6) * total:
+                break
+            needed.add(word)
+            rest -= weights[word]
+    letters = "a-z\\x{80}-\\x{10FFFF}"
+    names, numbers = ("|".join(re.escape(w) for w in sorted(needed) if w[0].isdigit() == d) for d in (False, True))
+    either = [f"(?<![{letters}])(?:{names})(?![{letters}])"] if names else []
+    return "|".join(either + ([f"(?<![0-9])(?:{numbers})(?![0-9])"] if numbers else []))
+
+
+def _passages(files: DataFrame, needed: str) -> DataFrame:
+    """(file, place, whole, terms) of lines, blocks and sentences that match the pattern, and of whole texts that do."""
+    cued = files.where(lower_ascii(F.col("text")).rlike(needed))
     line = F.expr("split(text, '\\n', -1)")
     block = F.expr("split(text, '\\n[ \\t\\r]*\\n', -1)")
-    parts = F.array_distinct(F.concat(line, block))
-    pieces = cued.select("file", F.posexplode(F.filter(parts, lambda p: lower_ascii(p).rlike(CUE))).alias("place", "part"))
+    sentence = F.split("text", r"(?<=[.!?;])\s+")
+    parts = F.array_distinct(F.concat(line, block, sentence))
+    pieces = cued.select("file", F.posexplode(F.filter(parts, lambda p: lower_ascii(p).rlike(needed))).alias("place", "part"))
     whole = cued.select("file", F.lit(-1).alias("place"), F.col("text").alias("part"))
     return pieces.unionByName(whole).select("file", "place", terms(F.col("part")).alias("terms"))
 
@@ -100,8 +125,12 @@ def _similarities(files: DataFrame, least: float) -> DataFrame:
     spark = files.sparkSession
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
     templates = spark.createDataFrame(rows, "template int, license string, text string").withColumn("terms", terms(F.col("text")))
-    passages = stage(_passages(files), "license-passages")
+    words = [r["terms"] for r in templates.select("terms").collect()]
+    own = F.array(*map(F.lit, sorted({w for t in words for w in t})))
     n = files.count()
+    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), own)).alias("term")).groupBy("term").count()
+    needed = _needed(words, {r["term"]: r["count"] for r in held.collect()}, n, least)  # one row per template term
+    passages = stage(_passages(files, needed), "license-passages")
     hashes = F.explode(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t)))).alias("term")
     wanted = passages.select(hashes).union(templates.select(hashes)).distinct()
     wanted = stage(wanted, "license-wanted")

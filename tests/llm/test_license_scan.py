@@ -92,3 +92,18 @@ def test_common_words_beside_a_notice_weigh_little(spark):
     expected = true_scores(notice, [t for _, t in rows])
     found = [r for r in ls.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect() if r["origin"] == "own"]
     assert [(r["path"], r["license"]) for r in found] == [("z/own.txt", "MIT")] and abs(found[0]["score"] - expected) < 1e-6
+
+
+def test_notices_without_a_cue_and_inside_a_long_line(spark):
+    notices = ["Creative Commons Attribution 4.0 International", "GNU Affero General Public, version 3", "CC0 1.0 Universal", "CC BY 4.0"]
+    prose = "Some prose about other things altogether. " * 40
+    rows = [(f"y{i}/about.txt", t) for i, t in enumerate(notices)] + [("y/line.txt", f"{prose}Released under the MIT License. {prose}")]
+    rows += [(f"x/{i}.txt", f"prose about the other version of things by w{i}") for i in range(200)]
+    found = {r["path"]: r for r in ls.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    texts = [t for _, t in rows]
+    for i, notice in enumerate(notices):
+        expected = true_scores(notice, texts)
+        row = found[f"y{i}/about.txt"]
+        assert (row["origin"] == "own") == (expected >= 0.6) and abs((row["score"] or expected) - expected) < 1e-6
+    assert sum(r["origin"] == "own" for r in found.values()) >= 4
+    assert found["y/line.txt"]["license"] == "MIT" and found["y/line.txt"]["score"] > 0.999
