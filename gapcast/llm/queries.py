@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import embedding_dedup, language, license_scan, packing, quality, simhash, toxicity, warc, winnowing
+from gapcast.llm import embedding_dedup, language, license_scan, packing, quality, simhash, super_kmers, toxicity, warc, winnowing
 from gapcast.llm.tables import held_out
 
 
@@ -83,6 +83,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs.select(path.alias("path"), "text"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = super_kmers.drop_repeated_passages(docs, window=13)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -95,4 +101,5 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
+        "op11_substring_dedup": op11_substring_dedup,
     }

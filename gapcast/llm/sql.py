@@ -63,6 +63,31 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, com
 FROM component
 """
 
+SUBSTRING_DEDUP = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS span
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY span) AS least FROM windows) WHERE doc_id > least
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM repeated) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(w) AS n, coalesce(len(places), 0) AS n_gone,
+         CASE WHEN places IS NULL THEN w
+              ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(places, p)), lambda p: w[p]) END AS words
+  FROM doc LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256
+FROM kept
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP, "op9_decontamination": DECONTAMINATION}
+    return {
+        "op4_line_dedup": LINE_DEDUP,
+        "op6_embedding_dedup": EMBEDDING_DEDUP,
+        "op9_decontamination": DECONTAMINATION,
+        "op11_substring_dedup": SUBSTRING_DEDUP,
+    }
