@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import embedding_dedup, language, license_scan, packing, quality, simhash, super_kmers, toxicity, warc, winnowing
+from gapcast.llm import embedding_dedup, language, license_scan, packing, quality, simhash, super_kmers, toxicity, warc, winnowing, zone_clusters
 from gapcast.llm.tables import held_out
 
 
@@ -89,6 +89,12 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zone_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5, scale=256, seed=2)
+    digests = F.array(*[F.lit(d) for d in found.centroid_digests()]).cast("array<string>")
+    return found.members.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -102,4 +108,5 @@ def queries() -> dict:
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
         "op11_substring_dedup": op11_substring_dedup,
+        "op12_centroid_clustering": op12_centroid_clustering,
     }

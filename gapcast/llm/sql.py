@@ -83,6 +83,43 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed
 FROM kept
 """
 
+# Vectors and centroids as rows (id, dimension, value); a round is one nearest search and one floored mean.
+CLUSTER_ROUND = """,
+distance_{i} AS (
+  SELECT vec_id, number, sum((part.x - c.x) * (part.x - c.x)) AS d
+  FROM part JOIN centroid_{i} c USING (dim) GROUP BY vec_id, number
+), nearest_{i} AS (
+  SELECT vec_id, number, d FROM distance_{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, number) = 1
+), mean_{i} AS (
+  SELECT number, dim, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS HUGEINT) AS x
+  FROM part JOIN nearest_{i} USING (vec_id) GROUP BY number, dim
+), centroid_{j} AS (
+  SELECT number, dim, coalesce(mean_{i}.x, c.x) AS x FROM centroid_{i} c LEFT JOIN mean_{i} USING (number, dim)
+)"""
+
+
+def centroid_clustering(rounds: int = 5) -> str:
+    start = """
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), part AS (
+  SELECT vec_id, unnest(range(1, 65)) AS dim, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x FROM kept
+), centroid_0 AS (
+  SELECT number, dim, x
+  FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS number FROM kept QUALIFY number < 40)
+  JOIN part USING (vec_id)
+)"""
+    steps = "".join(CLUSTER_ROUND.format(i=i, j=i + 1) for i in range(rounds + 1))
+    return f"""{start}{steps},
+digest AS (
+  SELECT number, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM centroid_{rounds} GROUP BY number
+)
+SELECT vec_id, CAST(number AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM nearest_{rounds} JOIN digest USING (number)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -90,4 +127,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": EMBEDDING_DEDUP,
         "op9_decontamination": DECONTAMINATION,
         "op11_substring_dedup": SUBSTRING_DEDUP,
+        "op12_centroid_clustering": centroid_clustering(),
     }
