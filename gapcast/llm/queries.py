@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup as lines
-from gapcast.llm import embedding_dedup, language, license_scan, packing, quality, simhash, super_kmers, toxicity, warc, winnowing, zone_clusters
-from gapcast.llm.tables import held_out
+from gapcast.llm import embedding_dedup, language, license_scan, merkle, packing, quality, simhash, super_kmers, toxicity, warc, winnowing, zone_clusters
+from gapcast.llm.tables import held_out, lower_ascii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,26 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.members.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document (by crc32 of its id) is checked with its text in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in columns]
+    tampered = F.when(held_out(F.col("doc_id"), 3, 0), F.unhex(merkle.leaf_hash(changed)))
+    made = merkle.merkle_manifest(docs, "doc_id", columns, "lang", {"tampered": tampered})
+    folded = merkle.fold(F.coalesce(F.lower(F.hex("tampered")), F.col("leaf")), F.col("witness"))
+    checked = made.withColumn("folded_root", folded)
+    return checked.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof(F.col("witness")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -109,4 +129,5 @@ def queries() -> dict:
         "op10_license_scan": op10_license_scan,
         "op11_substring_dedup": op11_substring_dedup,
         "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }

@@ -121,6 +121,65 @@ FROM nearest_{rounds} JOIN digest USING (number)
 """
 
 
+def _merkle_level(tree: str, i: int) -> str:
+    """Nodes of level i with their siblings, and the nodes of the level above; a lone node goes up as it is."""
+    run = "PARTITION BY g, place // 8 ORDER BY place ROWS BETWEEN"
+    return f""",
+{tree}_side_{i} AS (
+  SELECT g, place, n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {tree}_{i})
+), {tree}_{i + 1} AS (
+  SELECT g, place // 8 AS place, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE min(h) END AS h
+  FROM {tree}_{i} JOIN (SELECT g, count(*) AS n FROM {tree}_{i} GROUP BY g) USING (g) GROUP BY g, place // 8
+)"""
+
+
+def _merkle_fold(tree: str, i: int, step: int) -> str:
+    """One step of all documents up from level i of a tree."""
+    return f""",
+fold_{step + 1} AS (
+  SELECT doc_id, f.g, place_of // 8 AS place_of, siblings || before || behind AS siblings,
+         CASE WHEN n > 1 THEN sha256(before || folded || behind) ELSE folded END AS folded
+  FROM fold_{step} f JOIN {tree}_side_{i} s ON s.g = f.g AND s.place = f.place_of
+)"""
+
+
+def merkle_manifest(levels: int = 7, group_levels: int = 3) -> str:
+    """Trees of up to 8^levels documents a language and 8^group_levels languages."""
+
+    def part(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    before_text = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    byte_step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: {byte_step}), 4294967295)"
+    up = "".join(_merkle_level("leaf", i) for i in range(levels))
+    across = "".join(_merkle_level("sub", i) for i in range(group_levels))
+    steps = "".join(_merkle_fold("leaf", i, i) for i in range(levels))
+    turn = f""",
+fold_{levels + 1} AS (SELECT doc_id, 0 AS g, g AS place_of, siblings, folded FROM fold_{levels})"""
+    steps += turn + "".join(_merkle_fold("sub", i, levels + 1 + i) for i in range(group_levels))
+    last = levels + 1 + group_levels
+    return f"""
+WITH doc AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+         sha256({before_text} || {part("text")}) AS h, sha256({before_text} || {part(lowered)}) AS changed, {crc} % 3 = 0 AS tampered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS place FROM doc
+), leaf_0 AS (SELECT g, place, h FROM placed){up},
+sub_0 AS (SELECT 0 AS g, g AS place, h FROM leaf_{levels}){across},
+fold_0 AS (
+  SELECT doc_id, g, place AS place_of, '' AS siblings, CASE WHEN tampered THEN changed ELSE h END AS folded FROM placed
+){steps}
+SELECT doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM placed p JOIN fold_{last} USING (doc_id) JOIN sub_0 s ON s.place = p.g, sub_{group_levels} r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": LINE_DEDUP,
@@ -128,4 +187,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": DECONTAMINATION,
         "op11_substring_dedup": SUBSTRING_DEDUP,
         "op12_centroid_clustering": centroid_clustering(),
+        "op13_merkle_manifest": merkle_manifest(),
     }
