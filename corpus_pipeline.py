@@ -7,7 +7,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import line_dedup, packing, quality, simhash, winnowing
@@ -36,16 +36,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of similar ones (five words, Jaccard 0.8).
+    """One document, that of the smallest id, of every group of SimHash near duplicates (three words, two bits).
 
-    Of rows that share an id one stays. Rows without an id stay unless they are
-    similar to a row that has one.
+    Rows without an id stay only where no document of their group has one.
     """
-    groups = simhash.similar_documents(docs, similarity=0.8, size=5)
-    kept = stage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
-    left = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "kept"), F.expr("doc_id <=> kept"), "left_semi")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return left.withColumn("row", F.row_number().over(same)).where("row = 1").select(*COLUMNS)
+    return simhash.one_of_each_group(docs.select(*COLUMNS), radius=2, size=3)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

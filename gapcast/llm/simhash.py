@@ -38,39 +38,40 @@ def _hash_chunks(tokens: list[bytes], size: int, seed: int) -> Iterator[np.ndarr
         yield np.fromiter((digest(s, seed) for s in islice(runs, n)), np.uint64, n)
 
 
-def fingerprint(tokens: list[bytes], size: int, seed: int, lanes: int = 1) -> np.ndarray:
-    """Bits set in over half of the shingle hashes; 0 without words. Signed, as Spark keeps them.
-
-    Lane 0 takes the hashes themselves; further lanes of 64 bits mix them anew.
-    """
-    return _majority(_hash_chunks(tokens, size, seed), lanes)
+def fingerprint(tokens: list[bytes], size: int, seed: int) -> np.ndarray:
+    """Bits set in over half of the shingle hashes; 0 without words. Signed, as Spark keeps them."""
+    return _majority(_hash_chunks(tokens, size, seed))
 
 
-def _majority(chunks: Iterable[np.ndarray], lanes: int) -> np.ndarray:
-    ones, total = np.zeros((lanes, 64), np.int64), 0
+def _majority(chunks: Iterable[np.ndarray]) -> np.ndarray:
+    ones, total = np.zeros(64, np.int64), 0
     for hashes in chunks:
         total += len(hashes)
-        for lane in range(lanes):
-            if lane:
-                hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * lane)
-                hashes ^= hashes >> np.uint64(32)
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[lane] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.int64).ravel()
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > total, bitorder="little").view(np.int64)
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 3,
+    seed: int = 42,
+    carried: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(id, fingerprint long) of every row. Null and empty text give fingerprint zero."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, fingerprint long) of every row, and ``carried`` columns. Null and empty text give fingerprint zero."""
+    extra = [c.alias(name) for name, c in (carried or {}).items()]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra)
+    kept = [f for f in source.schema.fields if f.name != "text"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [int(fingerprint(words(t.as_py()), size, seed)[0]) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fingerprint"])
+            columns = [batch.column(i) for i in range(batch.num_columns) if i != 1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prints, pa.int64())], [f.name for f in kept] + ["fingerprint"])
 
-    return source.mapInArrow(hashed, f"id {source.schema['id'].dataType.simpleString()}, fingerprint long")
+    return source.mapInArrow(hashed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", fingerprint long")
 
 
 def ball(radius: int) -> list[int]:
@@ -121,181 +122,43 @@ def near_duplicates(
     the input are not read.
     """
     prints = stage(fingerprints(docs, id_col, text_col, size, seed), "fingerprints")
-    nodes = stage(prints.groupBy("fingerprint").agg(F.min("id").alias("first")), "fingerprint-nodes")
-    found = connected_components(close_pairs(nodes, radius)).select(
-        F.col("node").alias("fingerprint"), F.col("component")
-    )
-    labelled = nodes.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = stage(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "fingerprint-components")
-    classes = stage(labelled.join(least, "component").select("fingerprint", "component_id"), "fingerprint-classes")
+    nodes = _linked(prints, radius)
+    least = stage(nodes.groupBy("component").agg(F.min("first").alias("component_id")), "fingerprint-components")
+    classes = stage(nodes.join(least, "component").select("fingerprint", "component_id"), "fingerprint-classes")
     # Both sides come from files: one fingerprint with a third of all rows is split by adaptive execution.
     return prints.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-# ------------------------------------------- similar documents, by shingle sets
-
-BANDS, WIDTH, LANES = 12, 28, 6
-# Bits of the parity sketch: which of this many classes of hashes hold an odd number of a set's shingles.
-PARITY = 1024
-# Of 384 bits, documents with a Jaccard similarity of 0.8 differ in about 58 and hardly ever in more than this; unrelated ones in 192.
-FAR_BITS = 100
-
-
-def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
-    """(id, node, n, lanes, bands, parity): node is a 64-bit hash of the set of shingles, n its size."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, lanes, bands, parity = [], [], [], [], []
-            for text in batch.column(1):
-                tokens = words(text.as_py())
-                chunks = list(_hash_chunks(tokens, size, seed))
-                known = np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
-                nodes.append(_node(known, seed))
-                sizes.append(len(known))
-                parity.append(_parity(known).tolist())
-                # Of the set, as the similarity is: a line repeated in one text has no more weight than once.
-                prints = _majority((known[i : i + CHUNK] for i in range(0, len(known), CHUNK)), LANES)
-                lanes.append(prints.tolist())
-                whole = int.from_bytes(prints.tobytes(), "little")
-                bands.append([whole >> (b * WIDTH) & ((1 << WIDTH) - 1) for b in range(BANDS)])
-            arrays = [pa.array(c, pa.int64()) for c in (nodes, sizes)] + [pa.array(c, pa.list_(pa.int64())) for c in (lanes, bands, parity)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "node", "n", "lanes", "bands", "parity"])
-
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(sketch, f"id {kind}, node long, n long, lanes array<long>, bands array<long>, parity array<long>")
-
-
-def _meetings(nodes: DataFrame) -> DataFrame:
-    """(key, node, centre) of nodes that come within two bits of another in a band: every value emits all within one bit.
-
-    Each of the nodes that meet on a variant gets one of them as its centre, by an
-    order of the band's own. The key of the variant is null where only two meet,
-    so that centre and node are all there is to compare.
-    """
-    masks = F.array(*[F.lit(m) for m in (0, *(1 << i for i in range(WIDTH)))])
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(
-        "node", F.col("band").cast("long").alias("band"), "value", F.explode(masks).alias("mask")
-    )
-    key = F.shiftleft("band", WIDTH).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask")))
-    met = banded.select("node", key.alias("key"))
-    order = F.struct(F.xxhash64("node", F.shiftright("key", WIDTH)), "node")
-    at = Window.partitionBy("key")
-    met = met.select("key", "node", F.min(order).over(at)["node"].alias("centre"), F.count("*").over(at).alias("members"))
-    return met.where("members > 1").select(F.when(F.col("members") > 2, F.col("key")).alias("key"), "node", "centre")
-
-
-def _may_link(similarity: float) -> Column:
-    """False where nodes a and b cannot reach the similarity, by set sizes and parity sketches, or are far apart in the lanes.
-
-    Every bit in which parity sketches differ stands for a shingle of one set only, so this bound loses no pair.
-    """
-
-    def differing(name: str) -> Column:
-        bits = F.zip_with(f"a.{name}", f"b.{name}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
-
-    total, least = F.col("a.n") + F.col("b.n"), F.least("a.n", "b.n")
-    sizes = least >= similarity * (total - least)
-    apart = differing("parity") <= total * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return sizes & apart & (differing("lanes") <= FAR_BITS)
-
-
-def _star_candidates(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of node and centre that may link."""
-    pairs = met.where("node <> centre").select(F.greatest("node", "centre").alias("x"), F.least("node", "centre").alias("y")).distinct()
-    sides = [nodes.select(F.col("node").alias(name), F.struct("n", "lanes", "parity").alias(s)) for name, s in (("x", "a"), ("y", "b"))]
-    pairs = pairs.join(sides[0], "x").join(sides[1], "y")
-    return pairs.where(_may_link(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
-def _rest_candidates(met: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs that meet on a variant and may link, of nodes that the links of the stars leave in different components."""
-    at = Window.partitionBy("key")
-    parts = met.where("key IS NOT NULL").select("key", "node").join(found, "node", "left")
-    parts = parts.select("key", "node", F.coalesce("component", "node").alias("component"))
-    parts = parts.withColumns({"least": F.min("component").over(at), "most": F.max("component").over(at)})
-    open_ = stage(parts.where("least <> most").select("key", "node", "component"), "open-variants")
-    open_ = stage(open_.join(nodes.select("node", "n", "lanes", "parity"), "node"), "open-meetings")
-    # Pairs are made and thrown away inside the join, never written; a variant that very many share is split with its partition.
-    sides = [open_.select("key", F.col("component").alias(f"of_{s}"), F.struct("node", "n", "lanes", "parity").alias(s)) for s in "ab"]
-    pairs = sides[0].join(sides[1], "key").where(F.expr("a.node > b.node AND of_a <> of_b") & _may_link(similarity))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-
-
-def _parity(shingle_set: np.ndarray) -> np.ndarray:
-    classes = (shingle_set >> np.uint64(54)).astype(np.int64)
-    return np.packbits(np.bincount(classes, minlength=PARITY) & 1, bitorder="little").view(np.int64)
-
-
-def _node(shingle_set: np.ndarray, seed: int) -> int:
-    return xxhash.xxh64_intdigest(shingle_set.tobytes(), seed) - (1 << 63)
-
-
-def _shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
-    chunks = list(_hash_chunks(words(text), size, seed))
-    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
-
-
-def _shingle_sets(texts: DataFrame, size: int, seed: int) -> DataFrame:
-    """(node, shingles) of a frame of texts: the distinct shingle hashes, sorted."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_shingle_set(t.as_py(), size, seed) for t in batch.column(0)]
-            nodes = pa.array([_node(s, seed) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return texts.mapInArrow(hashed, "node long, shingles array<long>")
+def _linked(prints: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, first, component): smallest id and component of every distinct fingerprint."""
+    nodes = stage(prints.groupBy("fingerprint").agg(F.min("id").alias("first")), "fingerprint-nodes")
+    found = connected_components(close_pairs(nodes, radius)).select(F.col("node").alias("fingerprint"), "component")
+    return nodes.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
 
 
-def similar_documents(
+def one_of_each_group(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    similarity: float = 0.8,
-    size: int = 5,
+    radius: int = 2,
+    size: int = 3,
     seed: int = 42,
 ) -> DataFrame:
-    """(id, component_id) of every row: groups of documents with similar sets of word shingles.
-
-    A SimHash of 384 bits of the set of shingles is cut into bands. Ball hashing
-    finds documents that come within two bits in a band. Each is compared with one
-    of those it meets, and then with all that this leaves in another component. A
-    pair far apart in the whole fingerprint, or that sizes and parity sketches
-    prove less similar, is dropped; the rest are compared by the exact Jaccard
-    similarity of their sets of ``size``-word shingles, and link at ``similarity``
-    or more. Documents with equal sets are one node and always link.
-
-    Texts without words are alike. Null ids are never the smallest; a component
-    of null ids alone has a null component_id. Repeated rows share a component.
-    Other columns are not read.
+    """The rows of ``docs`` without near duplicates: of each group that ``near_duplicates`` links, one row stays.
+
+    It is the row of the smallest id; a row without an id stays only where none of
+    its group has one. Rows are chosen, not ids: of rows that share an id each
+    belongs to the group of its own text, and where several of a group hold the
+    smallest id, the one of the least text hash stays. Rows equal in id and text
+    are one. An empty table gives an empty table.
     """
-    sketched = stage(_sketches(docs, id_col, text_col, size, seed), "sketches")
-    columns = [F.min(c).alias(c) for c in ("n", "lanes", "bands", "parity")]
-    nodes = stage(sketched.groupBy("node").agg(F.min("id").alias("first"), *columns), "sketch-nodes")
-    met = stage(_meetings(nodes), "meetings")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("first").distinct()
-        wanted = stage(wanted, "compared")
-        texts = source.join(wanted, source["id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
-        # What follows joins on nodes with very many pairs: all sides come from files, so large partitions are split.
-        sets = stage(_shingle_sets(texts, size, seed).dropDuplicates(["node"]), "shingle-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-        return stage(links, "similar-links")
-
-    links = verified(stage(_star_candidates(met, nodes, similarity), "close-candidates"))
-    found = stage(connected_components(links).select("node", F.col("component")), "similar-found")
-    rest = stage(_rest_candidates(met, nodes, found, similarity), "rest-candidates")
-    if not rest.isEmpty():
-        found = connected_components(links.unionByName(verified(rest))).select("node", F.col("component"))
-    labelled = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    least = stage(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "similar-components")
-    classes = stage(labelled.join(least, "component").select("node", "component_id"), "similar-classes")
-    return sketched.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
+    given = F.col(id_col).isNull()
+    keys = {f"row_key_{i}": F.xxhash64(F.lit(i), given, id_col, F.col(text_col).isNull(), text_col) for i in range(2)}
+    prints = stage(fingerprints(docs, id_col, text_col, size, seed, keys), "row-fingerprints")
+    nodes = stage(_linked(prints, radius).select("fingerprint", "component"), "fingerprint-groups")
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", *keys)
+    best = prints.join(nodes, "fingerprint").groupBy("component").agg(F.min(order).alias("best"))
+    kept = stage(best.select(*[f"best.{k}" for k in keys]), "kept-rows")
+    # Repeated rows fall together before the shuffle; the join then reuses its partitioning.
+    rows = docs.withColumns(keys).dropDuplicates(list(keys))
+    return rows.join(kept, list(keys), "left_semi").select(*docs.columns)

@@ -8,6 +8,7 @@ from gapcast.llm import sql
 from oracle_check import compare, duck
 from test_line_dedup import plain as plain_lines
 from test_packing import check_packing
+from test_simhash import components, plain_print
 from test_winnowing import plain as plain_leaks
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(sql.oracle_sql()) <= names
 
 
@@ -40,15 +41,9 @@ def test_stages(spark):
 
     assert sorted(texts["line_dedup"].items()) == sorted((i, t) for i, t, _, _ in plain_lines(list(kept.items())))
 
-    def shingles(text):
-        w = text.lower().split()
-        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-    sets = {i: shingles(t) for i, t in texts["line_dedup"].items()}
-    alike = lambda a, b: a == b or bool(a | b) and len(a & b) >= 0.8 * len(a | b)
-    for i, s in sets.items():
-        smaller = [j for j in sets if j < i and alike(s, sets[j])]
-        assert (i in texts["near_duplicates"]) == (not smaller)
+    prints = {i: plain_print(t) for i, t in texts["line_dedup"].items()}
+    groups = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert set(texts["near_duplicates"]) == set(groups.values())
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     clean = {i for i, _, hit, _ in plain_leaks(list(texts["near_duplicates"].items()), items) if hit == 0}

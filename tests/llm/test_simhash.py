@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gapcast.llm.graph import connected_components
-from gapcast.llm.simhash import ball, fingerprint, near_duplicates, similar_documents, words
+from gapcast.llm.simhash import ball, fingerprint, near_duplicates, one_of_each_group, words
 
 
 def plain_print(text, size=3):
@@ -60,56 +60,34 @@ def test_components_equal_brute_force(make_docs, radius):
     assert near_duplicates(make_docs([])).count() == 0
 
 
-def test_similar_documents(make_docs):
+def test_one_of_each_group_chooses_rows_not_ids(make_docs):
+    """An id that two rows share, and null ids: the unique text of each stays, its copies go."""
     rng = random.Random(9)
-    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(20)]
-    near = [t.split() for t in texts[:10]]
-    for i, tokens in enumerate(near):
-        for k in range(1 + i % 3):
-            tokens[40 + 90 * k] = "changed"
-    far = [t.split()[:150] + texts[-1].split()[150:] for t in texts[10:13]]
-    rows = list(enumerate(texts)) + [(100 + i, " ".join(t)) for i, t in enumerate(near)] + [(200 + i, " ".join(t)) for i, t in enumerate(far)]
-    rows += [(300, None), (301, " "), (302, texts[5].upper()), (None, texts[6])]
-    found = {r["doc_id"]: r["component_id"] for r in similar_documents(make_docs(rows)).collect()}
-    assert all(found[100 + i] == i for i in range(10)) and found[302] == 5 and found[301] == 300 and found[None] == 6
-    assert all(found[i] == i for i in range(20)) and all(found[200 + i] == 200 + i for i in range(3))
-
-
-def test_a_large_group_of_near_copies_is_one(make_docs):
-    rng = random.Random(3)
-    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(4)]
+    first, other, third, own = texts
+    near = f"{first} more"
+    assert (plain_print(first) ^ plain_print(near)).bit_count() <= 2
+    rows = [(1, first), (2, near), (2, other), (None, near), (None, own), (3, third), (3, third), (4, third.upper()), (5, None), (6, "")]
+    found = one_of_each_group(make_docs(rows))
+    got = {(r["doc_id"], r["text"]) for r in found.collect()}
+    assert got == {(1, first), (2, other), (None, own), (3, third), (5, None)} and found.count() == 5
+    assert found.columns == make_docs(rows).columns
+    assert one_of_each_group(make_docs([])).count() == 0
+
+
+def test_one_of_each_group_keeps_the_smallest_id_of_brute_force_groups(make_docs):
+    rng = random.Random(12)
+    base = [" ".join(rng.choices("abcdefghij", k=400)) for _ in range(5)]
     rows = []
-    for i in range(400):
-        tokens = list(base)
-        tokens[rng.randrange(200)] = f"x{i}"
+    for i in range(60):
+        tokens = rng.choice(base).split()
+        for _ in range(rng.randint(0, 3)):
+            tokens[rng.randrange(len(tokens))] = "new"
         rows.append((i, " ".join(tokens)))
-    assert similar_documents(make_docs(rows)).select("component_id").distinct().count() == 1
-
-
-def test_a_line_repeated_hundreds_of_times_hides_no_copy(make_docs):
-    rng = random.Random(4)
-    rows = []
-    for i in range(10):
-        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
-        line = " ".join(f"v{i}x{k}" for k in range(12))
-        rows += [(i, base), (100 + i, "\n".join([base, *[line] * 400]))]
-    found = {r["doc_id"]: r["component_id"] for r in similar_documents(make_docs(rows)).collect()}
-    assert all(found[100 + i] == found[i] == i for i in range(10))
-
-
-def test_true_copies_in_a_large_family_that_is_not_alike(make_docs):
-    rng = random.Random(6)
-    common = " ".join(f"c{i}" for i in range(204))
-    rows = []
-    for i in range(1000):
-        own = [f"o{i}x{k}" for k in range(40)]
-        rows.append((i, f"{common} {' '.join(own)}"))
-        if i < 60:
-            own[rng.randrange(30, 38)] = "changed"
-            rows.append((5000 + i, f"{common} {' '.join(own)}"))
-    found = {r["doc_id"]: r["component_id"] for r in similar_documents(make_docs(rows)).collect()}
-    assert all(found[i] == i for i in range(1000))
-    assert sum(found[5000 + i] == i for i in range(60)) >= 59  # the bands meet 98 % or more of such pairs
+    prints = {i: plain_print(t) for i, t in rows}
+    groups = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    kept = [r["doc_id"] for r in one_of_each_group(make_docs(rows)).collect()]
+    assert sorted(kept) == sorted(set(groups.values()))
 
 
 def test_connected_components(spark):
