@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,58 @@ def histograms(
     )
 
 
+# Cells of the count array a task keeps; beyond it, counts are given out batch by batch.
+DENSE_CELLS = 4_000_000
+
+
+def bin_numbers(values: np.ndarray, bounds: ColumnRange, bins: int) -> np.ndarray:
+    """The bins of ``_bin_index`` for an array of values; -1 for NaN."""
+    if bounds.low is None:  # no finite value: infinite ones go to the end bins all the same
+        share = np.full(len(values), 0.5)
+    else:
+        low, width = bounds.low / 2, bounds.high / 2 - bounds.low / 2
+        share = (values / 2 - low) / width if width > 0 else np.full(len(values), 0.5)
+    inner = np.minimum((np.clip(np.nan_to_num(share), 0.0, 1.0) * bins).astype(np.int64), bins - 1)
+    inner = np.where(values == np.inf, bins - 1, np.where(values == -np.inf, 0, inner))
+    return np.where(np.isnan(values), -1, inner)
+
+
+def _pair_codes(df: DataFrame, columns: Sequence[str], bounds: Sequence[ColumnRange], bins: int) -> DataFrame:
+    """(code, n): counts per pair of columns and cell, one row per task and cell that holds a row.
+
+    A task adds the cells of whole batches to one dense array: codes are never rows.
+    """
+    size, grid = len(columns), bins * bins
+    pairs = [(x, y) for x in range(size) for y in range(x + 1, size)]
+    dense = len(pairs) * grid <= DENSE_CELLS
+    types = dict(df.dtypes)
+    values = df.select(*[number(c, types[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def out(place: int, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        x, y = pairs[place]
+        return pa.RecordBatch.from_arrays([pa.array((x * size + y) * grid + cell, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(pairs), grid), np.int64) if dense else None
+        for batch in batches:
+            with np.errstate(invalid="ignore", over="ignore"):
+                binned = [bin_numbers(batch.column(i).to_numpy(zero_copy_only=False).astype(float), bounds[i], bins) for i in range(size)]
+            gaps = [(b < 0).any() for b in binned]
+            for place, (x, y) in enumerate(pairs):
+                cell = binned[x] * bins + binned[y]
+                if gaps[x] or gaps[y]:
+                    cell = cell[(binned[x] >= 0) & (binned[y] >= 0)]
+                if dense:
+                    counts[place] += np.bincount(cell, minlength=grid)
+                else:
+                    yield out(place, *np.unique(cell, return_counts=True))
+        for place in range(len(pairs) if dense else 0):
+            held = np.flatnonzero(counts[place])
+            yield out(place, held, counts[place][held])
+
+    return values.mapInArrow(run, "code bigint, n bigint")
+
+
 def scatter_pairs(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -100,28 +154,13 @@ def scatter_pairs(
 ) -> DataFrame:
     """Counts per cell of a bins x bins grid, for every pair of columns.
 
-    A scatter matrix without its points: all pairs come from one scan, as
-    integer codes counted before the shuffle. Cells without rows are left out.
+    A scatter matrix without its points: all pairs come from one scan, counted in
+    one array per task before the shuffle. Cells without rows are left out, and
+    rows where one of the two values is missing.
     """
     df, columns, ranges = _prepare(df, columns, ranges, fraction, seed)
-    types, bounds = dict(df.dtypes), [ranges[c] for c in columns]
-    binned = F.transform(
-        F.array(*[number(c, types[c]) for c in columns]), lambda v, place: _bin_index(v, place, bounds, bins)
-    )
-    # One code per real pair of the row, from bins computed once per value; a null bin gives a null code.
-    size = F.lit(len(columns)).cast("long")
-
-    def codes_with(x: int) -> Column:
-        own = F.get("bins", F.lit(x))
-        coded = F.transform(
-            F.slice("bins", x + 2, len(columns)),
-            lambda other, step: ((F.lit(x) * size + F.lit(x + 1) + step) * bins + own) * bins + other,
-        )
-        return F.filter(coded, lambda code: code.isNotNull())
-
-    codes = [codes_with(x) for x in range(len(columns) - 1)]
-    pairs = df.select(binned.alias("bins")).select(F.explode(F.concat(*codes) if codes else F.array().cast("array<bigint>")).alias("code"))
-    counts = pairs.groupBy("code").agg(F.count("*").alias("n"))
+    counted = _pair_codes(df, columns, [ranges[c] for c in columns], bins)
+    counts = counted.groupBy("code").agg(F.sum("n").alias("n"))
     code, names = F.col("code"), [F.lit(c) for c in columns]
     pair = F.expr(f"code div {bins * bins}")
     return counts.select(

@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from gapcast.functions.calendar import calendar_features
-from gapcast.operators.binning import histograms, scatter_pairs
+from gapcast.operators.binning import finite_ranges, histograms, scatter_pairs
 from gapcast.operators.correlation import corr_with_label
 from gapcast.operators.profile import describe_all
-from gapcast.operators.quantiles import column_ranges
 from gapcast.schema import TIMESTAMP, numeric_columns
 
 
@@ -38,7 +37,7 @@ def correlation_report(
     """
     table = history if timestamp is None else calendar_features(history, timestamp, tz, as_int=True)
     columns = numeric_columns(table)
-    ranges = column_ranges(table, columns)
+    ranges = finite_ranges(table, columns)
     profile = describe_all(table)
     return CorrelationReport(
         profile,

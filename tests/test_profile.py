@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gapcast.operators import quantiles
+from gapcast.plans.correlation import correlation_report
 from gapcast.operators.binning import histograms, scatter_pairs
 from gapcast.operators.correlation import corr_with_label
 from gapcast.operators.profile import describe_all
@@ -137,6 +138,15 @@ def test_infinities_are_in_the_end_bins(spark):
     assert scatter_pairs(df, bins=10).agg(F.sum("n")).first()[0] == 6
 
 
+def test_a_report_with_infinities_has_finite_bins(spark):
+    rows = [(float(i), float(i), None) for i in range(10)] + [(float("inf"), 3.0, None)]
+    report = correlation_report(spark.createDataFrame(rows, "x double, y double, z double"), "y", timestamp=None)
+    own = {r["bin"]: r for r in report.histograms.where("column = 'x'").collect()}
+    assert [own[b]["n"] for b in range(10)] == [1] * 9 + [2]
+    assert (own[0]["bin_low"], own[9]["bin_high"]) == (0.0, 9.0)
+    assert report.pairs.agg(F.sum("n")).first()[0] == 11
+
+
 def test_many_columns_and_bins_do_not_overflow(spark):
     df = spark.range(3).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(20)])
     found = scatter_pairs(df, bins=3000)
