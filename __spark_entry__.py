@@ -28,7 +28,7 @@ from gapcast.plans.regression import analyse_gap, run_regression
 from gapcast.schema import numeric_columns
 from gapcast.scratch import shared_dir
 from gapcast.sources import readings as src
-from gapcast.sources import sinks
+from gapcast.sources import sinks, topic
 from gapcast.sources.kafka import read_stream_raw
 from gapcast.streaming.impute import stream_impute
 
@@ -666,25 +666,50 @@ def predict_by_label(spark, sf_dir):
 
 
 def _run_stream(spark, messages, models, path) -> DataFrame:
+    sinks.write_raw_messages(_with_event_id(messages), f"{path}/in")
+    _finish(_impute(read_stream_raw(spark, f"{path}/in"), _registry(spark, models, path), path))
+    return spark.read.parquet(f"{path}/out")
+
+
+def _registry(spark, models, path) -> ModelRegistry:
     registry = ModelRegistry(spark, f"{path}/models")
     for fitted in models.values():
         registry.save(fitted[0])
-    columns = [F.col("event_id").cast("string"), F.col("value")]
-    raw = F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(',"event_id":'), columns[0], F.lit("}"))
-    sinks.write_raw_messages(messages.select(raw.alias("value")), f"{path}/in")
+    return registry
+
+
+def _with_event_id(messages) -> DataFrame:
+    """The messages with their event id as one more field."""
+    head, event = F.expr("substring(value, 1, length(value) - 1)"), F.col("event_id").cast("string")
+    return messages.select(F.concat(head, F.lit(',"event_id":'), event, F.lit("}")).alias("value"))
+
+
+def _impute(stream, registry, path, trigger=None):
     schema = T.StructType([*READING.fields, T.StructField("event_id", T.LongType())])
-    _finish(
-        stream_impute(
-            read_stream_raw(spark, f"{path}/in"),
-            registry,
-            "linear",
-            f"{path}/out",
-            f"{path}/checkpoint",
-            f"{path}/rejects",
-            schema=schema,
-        )
-    )
-    return spark.read.parquet(f"{path}/out")
+    folders = (f"{path}/{name}" for name in ("out", "checkpoint", "rejects"))
+    return stream_impute(stream, registry, "linear", *folders, schema=schema, trigger=trigger)
+
+
+def stream_topic_resume(spark, sf_dir):
+    """A stream that starts at the latest offsets of a topic, stops, and goes on from its checkpoint.
+
+    A third of the messages is there before the start, a third comes while the
+    stream runs, the rest while it is stopped: the last two thirds are filled.
+    """
+    messages = value_gap_messages(spark, sf_dir)
+    path = shared_dir(spark, "topic")
+    registry = _registry(spark, {"value": [_value_model(routed(messages))]}, path)
+    parts = [_with_event_id(messages.where(F.col("event_id") % 3 == i)) for i in range(3)]
+    topic.create_topic(spark, f"{path}/topic", 4)
+    topic.append_to_topic(parts[0], f"{path}/topic")
+    query = _impute(topic.read_stream_topic(spark, f"{path}/topic", "latest"), registry, path, {"processingTime": "0 seconds"})
+    query.processAllAvailable()
+    topic.append_to_topic(parts[1], f"{path}/topic")
+    query.processAllAvailable()
+    query.stop()
+    topic.append_to_topic(parts[2], f"{path}/topic")
+    _finish(_impute(topic.read_stream_topic(spark, f"{path}/topic", "latest"), registry, path))
+    return rounded(spark.read.parquet(f"{path}/out").select("event_id", "value", "imputed"))
 
 
 def _finish(query) -> None:
@@ -839,6 +864,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "score_by_label": predict_by_label,
         "stream_impute": stream_impute_values,
         "stream_rejects": stream_rejects,
+        "stream_topic_resume": stream_topic_resume,
         "stream_score_by_label": stream_score_by_label,
         "correlation_report": correlation_report_corr,
         "gap_report": gap_report,

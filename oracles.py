@@ -424,6 +424,7 @@ SELECT {r4("sqrt(avg(power(signal - (b0 + ba * l_orderkey + bb * l_quantity), 2)
         "predict_missing": FILLED_VALUES,
         "predict_missing_table": FILLED_VALUES,
         "stream_impute": FILLED_VALUES,
+        "stream_topic_resume": f"SELECT * FROM ({FILLED_VALUES}) WHERE event_id % 3 <> 0",
         "score_by_label": FILLED_FIELDS,
         "stream_score_by_label": FILLED_FIELDS,
         "correlation_report": f"""WITH {READINGS}, c AS (SELECT value, user_id, k, month(ts) AS month, day(ts) AS day,
