@@ -8,7 +8,11 @@ is how often the table is read:
 * isotonic: once, to distinct feature values per fold;
 * boosted trees: one fit per fold and tree shape, as the boosting rounds of a
   long run contain every shorter run;
-* tree and forest: ``CrossValidator`` over a narrow persisted table.
+* tree and forest: one fit per fold and bins, to the greatest depth and number of
+  trees; smaller ones are read off it, cut off at their depth and after their
+  number of trees. A tree cut off at a depth is the tree that a fit to that depth
+  finds; a forest's first trees are a forest of their own, as good as one with
+  another seed.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapcast.operators.flat_models import flat_trees, truncated_errors
 from gapcast.operators.models import (
     DEVIATION,
     POINT,
@@ -208,6 +213,48 @@ def _tune_gbt(rows, features, label, points, folds, parallelism, fold_col):
         table.unpersist()
 
 
+def _tune_trees(algorithm, rows, features, label, points, folds, parallelism, fold_col):
+    """Errors of all depths and numbers of trees from the largest fit of each fold and shape."""
+    spark, own = rows.sparkSession, make_estimator(algorithm, label)
+
+    def size_of(params):
+        depth = params.get("maxDepth", own.getMaxDepth())
+        return depth, params.get("numTrees", own.getNumTrees()) if algorithm == "random_forest" else 1
+
+    def shape_of(params):
+        return {k: v for k, v in params.items() if k not in ("maxDepth", "numTrees")}
+
+    shapes: list[dict] = []
+    for p in points:
+        if shape_of(p) not in shapes:
+            shapes.append(shape_of(p))
+
+    table = assembled_rows(rows, features, label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _check_folds({r[fold_col] for r in table.select(fold_col).distinct().collect()}, folds)
+
+        def fold_errors(job):
+            shape, fold = job
+            depths, counts = zip(*[size_of(p) for p in points if shape_of(p) == shape])
+            largest = {"maxDepth": max(depths)} | ({"numTrees": max(counts)} if algorithm == "random_forest" else {})
+            model = make_estimator(algorithm, label, {**shape, **largest}).fit(table.filter(F.col(fold_col) != fold))
+            flat = flat_trees(spark, model, [1.0])
+            return truncated_errors(flat, table.filter(F.col(fold_col) == fold), label, depths, counts)
+
+        jobs = [(s, f) for s in shapes for f in range(folds)]
+        errors = _in_threads(spark, fold_errors, jobs, parallelism)
+
+        def mean_rmse(params):
+            return np.mean([e[size_of(params)] for (shape, _), e in zip(jobs, errors) if shape == shape_of(params)])
+
+        means = np.array([mean_rmse(p) for p in points])
+        best = points[int(np.argmin(means))]
+        model = make_estimator(algorithm, label, best).fit(table)
+        return means, FittedModel(algorithm, label, list(features), model, dict(best))
+    finally:
+        table.unpersist()
+
+
 def _tune_rows(algorithm, rows, features, label, points, grid, folds, parallelism, fold_col):
     table = assembled_rows(rows, features, label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -265,6 +312,8 @@ def cross_validate(
         means, best = _tune_isotonic(*args)
     elif method == "auto" and algorithm == "gbt" and _sequential_rounds(points):
         means, best = _tune_gbt(*args)
+    elif method == "auto" and algorithm in ("decision_tree", "random_forest"):
+        means, best = _tune_trees(algorithm, *args)
     else:
         means, best = _tune_rows(algorithm, rows, list(features), label, points, grid, folds, parallelism, fold_col)
     best.metrics["cv_rmse"] = float(np.min(means))

@@ -21,6 +21,7 @@ from gapcast.operators.models import (
 from gapcast.operators.moments import collect_moments, linear_sse
 from gapcast.operators.registry import ModelRegistry
 from gapcast.operators.split import kfold
+from gapcast.operators.flat_models import FlatSteps, flat_trees, predict_by_key, truncated_errors
 from gapcast.operators.tuning import cross_validate, cross_validator, fit_all, model_comparison
 
 FEATURES = ["a", "b", "c"]
@@ -211,6 +212,7 @@ GRIDS = {
     "linear": {"regParam": [0.001, 0.5], "elasticNetParam": [0.0, 0.5], "maxIter": [1, 20]},
     "isotonic": {"isotonic": [True, False]},
     "gbt": {"maxDepth": [2, 3], "maxBins": [20], "maxIter": [1, 3]},
+    "decision_tree": {"maxDepth": [0, 1, 3, 8], "maxBins": [8, 32]},
 }
 
 
@@ -228,6 +230,49 @@ def test_short_cuts_equal_the_plain_search(rows, algorithm):
     assert both.filter(F.abs(F.col("p1") - F.col("p2")) > 1e-6).count() == 0
 
 
+def test_forests_read_off_the_largest_equal_the_same_trees_scored_apart(spark, rows):
+    """Errors per depth and number of trees, against predictions put together tree by tree by MLlib."""
+    table = assemble_features(rows, FEATURES)
+    fit = make_estimator("random_forest", "y", {"maxDepth": 4, "maxBins": 16, "numTrees": 5, "seed": 3}).fit(table)
+    found = truncated_errors(flat_trees(spark, fit, [1.0]), table, "y", [1, 4], [2, 5])
+    y = np.array([r["y"] for r in table.collect()])
+    each = np.array([[r["prediction"] for r in t.transform(table).collect()] for t in fit.trees])
+    for count in (2, 5):
+        assert found[(4, count)] == pytest.approx(np.sqrt(np.mean((each[:count].mean(axis=0) - y) ** 2)))
+    same = {"bootstrap": False, "featureSubsetStrategy": "all", "seed": 3}
+    shallow = make_estimator("random_forest", "y", {"maxDepth": 1, "maxBins": 16, "numTrees": 2, **same}).fit(table)
+    deep = make_estimator("random_forest", "y", {"maxDepth": 4, "maxBins": 16, "numTrees": 5, **same}).fit(table)
+    apart = np.array([r["prediction"] for r in shallow.transform(table).collect()])
+    assert truncated_errors(flat_trees(spark, deep, [1.0]), table, "y", [1], [2])[(1, 2)] == pytest.approx(np.sqrt(np.mean((apart - y) ** 2)))
+
+
+def test_a_forest_grid_of_equal_trees_is_the_tree_grid(rows):
+    df = kfold(rows, 2, "id")
+    same = {"bootstrap": [False], "featureSubsetStrategy": ["all"]}
+    forest = cross_validate("random_forest", df, FEATURES, "y", {"maxDepth": [2, 5], "maxBins": [16], "numTrees": [1, 3], **same}, 2, fold_col="fold")
+    tree = cross_validate("decision_tree", df, FEATURES, "y", {"maxDepth": [2, 5], "maxBins": [16]}, 2, fold_col="fold", method="rows")
+    by_depth = {p["maxDepth"]: e for p, e in zip(tree.points, tree.mean_rmse)}
+    assert [e for e in forest.mean_rmse] == pytest.approx([by_depth[p["maxDepth"]] for p in forest.points])
+
+
+@pytest.mark.parametrize("algorithm", SPECS)
+def test_flat_models_predict_as_mllib_does(spark, rows, algorithm):
+    params = {"gbt": {"maxIter": 3}, "random_forest": {"numTrees": 4, "seed": 2}}.get(algorithm)
+    fitted = fit_model(algorithm, rows, FEATURES, "y", params)
+    scored = scoring.predict(fitted, rows).withColumn("which", F.when(F.col("id") % 3 > 0, "y"))
+    both = scored.withColumn("flat", predict_by_key(spark, {"y": [fitted, fitted]}, F.col("which"))).collect()
+    assert all((r["flat"] is None) == (r["which"] is None) for r in both)
+    for r in both:
+        if r["flat"] is not None:
+            assert r["flat"] == pytest.approx([r["prediction"]] * 2, rel=1e-12)
+
+
+def test_flat_steps_beyond_between_and_on_the_boundaries():
+    steps = FlatSteps(0, np.array([1.0, 2.0, 4.0]), np.array([5.0, 6.0, 10.0]))
+    assert steps.apply(np.array([[0.0], [1.0], [1.5], [2.0], [3.0], [4.0], [9.0]])).tolist() == [5, 5, 5.5, 6, 8, 10, 10]
+    assert FlatSteps(0, np.array([1.0]), np.array([5.0])).apply(np.array([[0.0], [2.0]])).tolist() == [5, 5]
+
+
 def test_plain_search_is_the_cross_validator(rows):
     df = kfold(rows, 2, "id")
     grid = {"maxDepth": [1, 3], "maxBins": [16]}
