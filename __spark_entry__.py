@@ -580,6 +580,22 @@ def cv_decision_tree(spark, sf_dir):
     return rounded(result.table(spark).select("point", "mean_rmse", "best"))
 
 
+def cv_tree_grid(spark, sf_dir):
+    """Several depths from one fit per fold."""
+    df = split.kfold(lineitem(spark, sf_dir), 2, "l_orderkey", seed=11)
+    grid = {"maxDepth": [0, 1], "maxBins": [64]}
+    result = tuning.cross_validate("decision_tree", df, ["l_quantity"], "signal", grid, 2, fold_col="fold")
+    return rounded(result.table(spark).select("point", "mean_rmse", "best"))
+
+
+def cv_forest_grid(spark, sf_dir):
+    """Several depths and numbers of trees from one fit per fold; without draws all trees are the same."""
+    df = split.kfold(lineitem(spark, sf_dir), 2, "l_orderkey", seed=11)
+    grid = {"maxDepth": [0, 1], "maxBins": [64], "numTrees": [1, 3], "bootstrap": [False], "featureSubsetStrategy": ["all"]}
+    result = tuning.cross_validate("random_forest", df, ["l_quantity"], "signal", grid, 2, fold_col="fold")
+    return rounded(result.table(spark).select("point", "mean_rmse"))
+
+
 def cv_gbt(spark, sf_dir):
     df = split.kfold(lineitem(spark, sf_dir), 2, "l_orderkey", seed=11)
     grid = {"maxDepth": [1], "maxBins": [64], "maxIter": [1, 2]}
@@ -854,6 +870,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_grid_point": best_grid_point,
         "cv_isotonic": cv_isotonic,
         "cv_decision_tree": cv_decision_tree,
+        "cv_tree_grid": cv_tree_grid,
+        "cv_forest_grid": cv_forest_grid,
         "cv_gbt": cv_gbt,
         "cv_random_forest": cv_random_forest,
         "model_comparison": model_comparison,

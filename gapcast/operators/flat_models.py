@@ -62,7 +62,10 @@ class FlatLinear:
     intercept: float
 
     def apply(self, rows: np.ndarray) -> np.ndarray:
-        return rows @ self.coefficients + self.intercept
+        total = np.zeros(len(rows))
+        for i, c in enumerate(self.coefficients):  # in a fixed order: a row's value does not depend on its batch
+            total += rows[:, i] * c
+        return total + self.intercept
 
 
 @dataclass(frozen=True)
@@ -122,7 +125,13 @@ def flat_trees(spark: SparkSession, model, weights: Sequence[float]) -> FlatTree
 
 
 def flatten(spark: SparkSession, fitted: FittedModel) -> FlatTrees | FlatLinear | FlatSteps:
-    """The flat form of a fitted model."""
+    """The flat form of a fitted model, made once."""
+    if fitted.flat is None:
+        fitted.flat = _flatten(spark, fitted)
+    return fitted.flat
+
+
+def _flatten(spark: SparkSession, fitted: FittedModel) -> FlatTrees | FlatLinear | FlatSteps:
     model = fitted.model
     if fitted.algorithm == "linear":
         return FlatLinear(model.coefficients.toArray(), float(model.intercept))

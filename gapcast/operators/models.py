@@ -114,6 +114,7 @@ class FittedModel:
     model: Any
     params: dict[str, Any] = field(default_factory=dict)
     metrics: dict[str, float] = field(default_factory=dict)
+    flat: Any = field(default=None, repr=False, compare=False)
 
 
 def make_estimator(algorithm: str, label: str, params: Mapping[str, Any] | None = None):

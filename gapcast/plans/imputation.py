@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapcast.functions.calendar import CALENDAR_COLUMNS, calendar_columns
+from gapcast.operators.flat_models import predict_by_key
 from gapcast.operators.models import FittedModel
 from gapcast.operators.quality import COMPLETE, IMPUTE, REJECT, detect_missing, route_readings
-from gapcast.operators.scoring import model_names, predict
+from gapcast.operators.scoring import model_names
 from gapcast.schema import TIMESTAMP, reading_schema
 from gapcast.scratch import shared_dir
-from gapcast.sources.messages import decode_message, typed_fields
+from gapcast.sources.messages import decode_message, once, typed_fields
 
 Models = Mapping[str, Sequence[FittedModel]]
 
@@ -61,24 +62,12 @@ def _with_model_check(routed: DataFrame, models: Models, fields: Sequence[str])
     )
 
 
-def _score_one_label(part: DataFrame, label: str, fitted: Sequence[FittedModel], timestamp: str, tz: str) -> DataFrame:
-    scored = part.withColumns(calendar_columns(F.col(timestamp), tz))
-    columns = [f"prediction_{i}" for i in range(len(fitted))]
-    for model, column in zip(fitted, columns):
-        scored = predict(model, scored, column)
-    names = model_names(fitted)
-    by_algorithm = [x for name, c in zip(names, columns) for x in (F.lit(name), F.col(c))]
-    return scored.withColumns(
-        {"prediction": F.col(columns[0]), "predictions": F.create_map(*by_algorithm), label: F.col(columns[0])}
-    ).drop(*columns, *CALENDAR_COLUMNS)
-
-
 def stage_by_label(routed: DataFrame, path: str) -> DataFrame:
     """Write routed readings once and read them back, one folder per label to fill.
 
-    Training and every scoring branch then read typed columns of the folders
-    they need, where they would parse all messages again. Only routable labels
-    make folders, so there are few.
+    Training and scoring then read typed columns of the folders they need, where
+    they would parse all messages again. Only routable labels make folders, so
+    there are few.
     """
     keyed = routed.withColumn(FILL, F.when(F.col("route") == IMPUTE, F.col("label")))
     keyed.write.mode("overwrite").partitionBy(FILL).parquet(path)
@@ -103,27 +92,30 @@ def score_by_label(
     """(filled readings, rejects). The label of a reading picks its models.
 
     Per label the first model fills the gap; ``predictions`` holds the values of
-    all of its models. Complete readings pass through. There is one branch per
-    label, so ``routed`` should be staged or persisted when there are several.
+    all of its models. Complete readings pass through. One pass scores all labels:
+    flat forms of the models are sent along once, and each batch of readings is
+    dealt to the models of their labels. Only label and features go to Python.
     """
     schema = schema or reading_schema()
     checked = _with_model_check(routed, models, schema.names)
-    to_fill = {}
-    for label in models:
-        part = checked.filter((F.col("route") == IMPUTE) & (F.col("label") == label))
-        to_fill[label] = part.filter(F.col(FILL) == label).drop(FILL) if FILL in routed.columns else part
-
-    complete = complete_readings(routed).withColumns(
-        {
-            "prediction": F.lit(None).cast("double"),
-            "predictions": F.lit(None).cast("map<string,double>"),
-        }
-    )
-    parts = [_score_one_label(to_fill[label], label, fitted, timestamp, tz) for label, fitted in models.items()]
-    filled = reduce(DataFrame.unionByName, parts, complete)
+    if FILL in checked.columns:
+        checked = checked.drop(FILL)
+    gap = F.col("route") == IMPUTE
+    filled = checked.filter(F.col("route") != REJECT).withColumn("imputed", gap)
+    if models:
+        filled = filled.withColumns(calendar_columns(F.col(timestamp), tz))
+        found = predict_by_key(routed.sparkSession, models, F.when(gap, F.col("label")))
+        filled = once(filled, found=found).drop(*[c for c in CALENDAR_COLUMNS if c not in routed.columns])
+    else:
+        filled = filled.withColumn("found", F.lit(None).cast("array<double>"))
+    names = F.lit(None).cast("array<string>")
+    for label, fitted in models.items():
+        names = F.when(F.col("label") == label, F.array(*map(F.lit, model_names(fitted)))).otherwise(names)
+    filled = filled.withColumns({"prediction": F.get("found", F.lit(0)), "predictions": F.map_from_arrays(names, "found")})
+    values = {n: F.when(gap & (F.col("label") == n), F.col("prediction")).otherwise(F.col(n)) for n in models}
     return (
-        filled.withColumn("imputed", F.col("route") == IMPUTE).drop("payload", "missing", "route", "reason"),
-        checked.filter(F.col("route") == REJECT).drop(FILL),
+        filled.withColumns(values).drop("payload", "missing", "route", "reason", "found"),
+        checked.filter(F.col("route") == REJECT),
     )
 
 
@@ -142,7 +134,7 @@ def impute_messages(
 
     With models for several labels the routed readings are staged (see
     :func:`stage_by_label`), by default in the cluster's shared folder; with
-    None every branch reads and parses the messages for itself.
+    None the filled readings and the rejects each parse the messages.
     """
     routed = route_messages(messages, schema, timestamp, value, expected_fields, several_missing)
     if staging_dir == "auto":

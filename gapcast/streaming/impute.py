@@ -67,7 +67,7 @@ def stream_impute(
         if raw_dir is not None:
             write_raw_messages(batch, f"{raw_dir}/batch_id={batch_id}", value)
         routed = route_messages(batch, schema, timestamp, value, several_missing=several_missing)
-        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)  # read once per label
+        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)  # read for the filled readings and for the rejects
         try:
             filled, rejects = score_by_label(routed, models.by_label(), schema, timestamp, tz)
             filled.write.mode("overwrite").parquet(f"{output_dir}/batch_id={batch_id}")

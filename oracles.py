@@ -288,6 +288,14 @@ e AS (
 )
 
 
+# Mean errors of a tree without splits and of one with a single split.
+TREE_GRID = f"""{complement(2)}, {stump("t", "p", "fold")},
+w AS (SELECT fold, sum(s) / sum(n) AS mean FROM p GROUP BY fold),
+m AS (SELECT fold, sqrt(avg(power(signal - mean, 2))) AS e0, sqrt(avg(power(signal - {STUMP_SPLIT}, 2))) AS e1
+      FROM lf JOIN t USING (fold) JOIN w USING (fold) GROUP BY fold),
+a AS (SELECT avg(e0) AS e0, avg(e1) AS e1 FROM m)"""
+
+
 def oracle_sql() -> dict[str, str]:
     events = f"WITH {READINGS} SELECT event_id, timestamp, value, user_id, k FROM r"
     gapped = f"WITH {GAPPED} SELECT event_id, timestamp, value, user_id, k FROM g"
@@ -410,6 +418,12 @@ UNION ALL SELECT false AS isotonic, {r4("avg(d)")} AS mean_rmse FROM m""",
         "cv_decision_tree": f"""WITH {complement(2)}, {stump("t", "p", "fold")},
 m AS (SELECT fold, sqrt(avg(power(signal - {STUMP_SPLIT}, 2))) AS e FROM lf JOIN t USING (fold) GROUP BY fold)
 SELECT 0 AS point, {r4("avg(e)")} AS mean_rmse, true AS best FROM m""",
+        "cv_tree_grid": f"""WITH {TREE_GRID}
+SELECT 0 AS point, {r4("e0")} AS mean_rmse, e0 <= e1 AS best FROM a
+UNION ALL SELECT 1 AS point, {r4("e1")} AS mean_rmse, e1 < e0 AS best FROM a""",
+        "cv_forest_grid": f"""WITH {TREE_GRID}
+SELECT point, CASE WHEN point < 2 THEN {r4("e0")} ELSE {r4("e1")} END AS mean_rmse
+FROM a, (SELECT unnest([0, 1, 2, 3]) AS point)""",
         "cv_gbt": f"""WITH {complement(2)}, {boosted("fold")},
 m AS (SELECT fold, sqrt(avg(power(signal - CASE WHEN l_quantity <= t1.threshold THEN t1.lo ELSE t1.hi END, 2))) AS e1,
              sqrt(avg(power(signal - {BOOSTED}, 2))) AS e2

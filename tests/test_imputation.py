@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapcast.functions.calendar import calendar_columns
+from gapcast.operators import scoring
 from gapcast.operators.models import fit_model
 from gapcast.operators.registry import ModelRegistry
 from gapcast.operators.scoring import predict_missing
@@ -121,12 +123,11 @@ def test_staged_scoring_is_the_same(spark, messages, models, tmp_path):
     assert bag(direct[1].drop("payload")) == bag(staged[1].drop("payload"))
 
 
-def test_branches_read_only_their_part(spark, messages, models, tmp_path):
+def test_scoring_reads_the_staged_table_once(spark, messages, models, tmp_path):
     staged = stage_by_label(route_messages(as_messages(spark, messages)), str(tmp_path))
     filled, _ = score_by_label(staged, models)
     scans = [line for line in filled._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
-    assert len(scans) == 3
-    assert all("PartitionFilters: [is" in line and "PushedFilters: [Is" in line for line in scans)
+    assert len(scans) == 1
     assert complete_readings(staged).count() == filled.filter("NOT imputed").count()
 
 
@@ -311,3 +312,22 @@ def test_routing_keeps_every_message(spark, messages):
     routed = route_messages(as_messages(spark, messages))
     assert routed.count() == len(messages)
     assert isinstance(routed.schema["timestamp"].dataType, T.LongType)
+
+
+def test_all_labels_are_scored_in_one_scan(spark, messages, models):
+    """Whatever the number of labels the plan has one scan and one function, and MLlib's predictions come out."""
+    routed = route_messages(as_messages(spark, messages))
+    filled, _ = score_by_label(routed, models)
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan") == 1 and "Union" not in plan
+    for label, fitted in models.items():
+        part = routed.where((F.col("route") == "impute") & (F.col("label") == label)).withColumns(calendar_columns(F.col("timestamp"), "UTC"))
+        for model in fitted:
+            part = scoring.predict(model, part, f"p_{model.algorithm}")
+        expected = {r["timestamp"]: r for r in part.collect()}
+        got = filled.where((F.col("label") == label) & F.col("imputed")).collect()
+        assert len(got) > 0
+        for r in got:
+            for name, value in r["predictions"].items():
+                assert value == pytest.approx(expected[r["timestamp"]][f"p_{name}"], rel=1e-9)
+            assert r[label] == r["prediction"] == r["predictions"][fitted[0].algorithm]
