@@ -149,6 +149,36 @@ def _spans(owner: np.ndarray, start: np.ndarray, window: int) -> Iterator[tuple[
         yield int(own[a]), both[a:b].ravel().tolist()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Differences of numbers, all their lowest bytes first: compresses well."""
+    return np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8, n * 8).reshape(8, -1).T.copy().view("<i8").ravel())
+
+
+def _encoded(keys: list[tuple], ordinal: np.ndarray, place: np.ndarray) -> bytes:
+    """Documents (id, row hash) of a bucket's strings, and per string its document and place."""
+    named = bool(keys) and isinstance(keys[0][0], str)
+    texts = [k[0].encode() for k in keys] if named else []
+    ids = np.array([len(t) for t in texts] if named else [k[0] for k in keys], np.int64)
+    head = np.array([len(keys), len(ordinal), named], np.int64).tobytes()
+    return b"".join([head, _planes(ids), np.array([k[1] for k in keys], np.int64).tobytes(), _planes(ordinal), _planes(place), *texts])
+
+
+def _decoded(data: bytes) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """(ids, row hashes, documents of the strings, places of the strings)."""
+    docs, strings, named = np.frombuffer(data, np.int64, 3).tolist()
+    at = 24 + np.cumsum([0, docs * 8, docs * 8, strings * 8, strings * 8])
+    ids = _from_planes(data[at[0] : at[1]], docs).tolist()
+    if named:
+        ends = np.cumsum(ids) + at[4]
+        ids = [data[e - n : e].decode() for e, n in zip(ends.tolist(), ids)]
+    rows = np.frombuffer(data[at[1] : at[2]], np.int64).tolist()
+    return ids, rows, _from_planes(data[at[2] : at[3]], strings), _from_planes(data[at[3] : at[4]], strings)
+
+
 def _ranks(ids: list) -> np.ndarray:
     """Ranks of ids in their order; equal ids share one."""
     known = {v: i for i, v in enumerate(sorted(set(ids)))}
@@ -189,7 +219,11 @@ class _Chunk:
         return flat, starts, ends, at, owner, place, hashes[at], least[at]
 
     def settled(self) -> Iterator[tuple]:
-        """Rows (bucket, ids, row hashes, meta, packed) for the exchange."""
+        """Rows (bucket, ids, row hashes, meta, packed) for the exchange.
+
+        Words to remove (one id, one row hash, spans as meta), or packed strings
+        with their documents and places as meta.
+        """
         keys = list(self.rows)
         ranks = _ranks([k[0] for k in keys])
         flat, starts, ends, at, owner, place, hashes, least = self.windows()
@@ -215,13 +249,12 @@ class _Chunk:
         run, bucket, lengths = run[order], bucket[order], lengths[order]
         first, last = starts[at[run]], ends[at[run] + lengths + self.window - 2]
         strings = [flat[a:b] for a, b in zip(first.tolist(), last.tolist())]
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=5).compress
         cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             own, ordinal = np.unique(owner[run[a:b]], return_inverse=True)
-            meta = np.stack([ordinal, place[run[a:b]]]).astype(np.int32)
-            chosen = [keys[i] for i in own.tolist()]
-            yield int(bucket[a]), [k[0] for k in chosen], [k[1] for k in chosen], meta.tobytes(), pack(b"\n".join(strings[a:b]))
+            meta = _encoded([keys[i] for i in own.tolist()], ordinal, place[run[a:b]])
+            yield int(bucket[a]), None, None, pack(meta), pack(b"\n".join(strings[a:b]))
 
 
 def _slices(text: bytes, window: int) -> Iterator[tuple[int, bytes]]:
@@ -290,18 +323,18 @@ class _Bucket:
     lengths: list = field(default_factory=list)
     volume: int = 0
 
-    def add(self, ids: list, rows: list, meta: bytes, packed: bytes) -> None:
-        text = zstandard.ZstdDecompressor().decompress(packed)
+    def add(self, meta: bytes, packed: bytes) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        text, (ids, rows, ordinal, place) = unpack(packed), _decoded(unpack(meta))
         starts, ends, breaks = self._places(text)
         codes = _word_codes(text, starts, ends)
         string = np.searchsorted(breaks, starts)
         hashes = _run_hashes(codes, self.window)
         at = np.flatnonzero(string[: len(hashes)] == string[self.window - 1 :])
-        ordinal, place = np.frombuffer(meta, np.int32).reshape(2, -1)
         begun = np.searchsorted(string, np.arange(len(ordinal)))
         own = string[at]
-        self.owners.append(ordinal[own].astype(np.int64) + len(self.ids))
-        self.places.append(place[own].astype(np.int64) + at - begun[own])
+        self.owners.append(ordinal[own] + len(self.ids))
+        self.places.append(place[own] + at - begun[own])
         self.hashes.append(hashes[at])
         self.firsts.append(starts[at] + self.volume)
         self.lengths.append((ends[at + self.window - 1] - starts[at]).astype(np.int32))
@@ -352,7 +385,7 @@ def _reduced(dealt: DataFrame, window: int, most: int) -> DataFrame:
                     elif held.volume >= most:
                         yield from out(held.settled(False))
                         held, parts = _Bucket(window), parts + 1
-                    held.add(ids, hashes, meta, packed)
+                    held.add(meta, packed)
                 if len(rows) >= 4096:
                     yield from out(rows)
                     rows = []

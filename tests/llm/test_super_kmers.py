@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gapcast.llm import super_kmers
-from gapcast.llm.super_kmers import _larger, _minimisers, _run_hashes, _slices, _word_codes, _words, drop_repeated_passages
+from gapcast.llm.super_kmers import _decoded, _encoded, _larger, _minimisers, _run_hashes, _slices, _word_codes, _words, drop_repeated_passages
 
 
 def plain(rows, window=13):
@@ -103,3 +103,11 @@ def test_windows_with_equal_hashes_and_other_words():
     first, last = np.array([0, 2, 4, 6]), np.array([2, 4, 6, 8])
     gone = _larger(np.array([7, 7, 7, 7], np.uint64), np.array([1, 0, 3, 4]), text, first, last)
     assert gone.tolist() == [False, False, True, False]
+
+
+@pytest.mark.parametrize("ids", [[5, -3, 2**62], ["b", "", "naïve\n"], []])
+def test_documents_and_places_survive_packing(ids):
+    keys = [(i, 7 - 2**k) for k, i in enumerate(ids)]
+    ordinal, place = np.arange(len(ids) * 2) // 2, np.arange(len(ids) * 2) * 1000 % 777
+    got = _decoded(_encoded(keys, ordinal, place))
+    assert [list(g) for g in got] == [ids, [k[1] for k in keys], ordinal.tolist(), place.tolist()]
