@@ -2,27 +2,56 @@
 
 DataFrame functions only. Every text is searched whole for passages that can come
 close to a template: single lines, blocks of lines between blank ones, sentences,
-and the text as one.
+runs of up to five sentences, and the text as one. A file whose words, all taken
+together, cannot bring any template up to the threshold is not cut into passages.
 Passages and templates become sparse TF-IDF vectors, with document frequencies
-counted over all files. A file takes the licence of its closest passage; a file
-that is a licence text as a whole, or is named like one, stands for its directory
-and for everything below that has no licence of its own.
+counted over all files. Licences of one family differ in a word or a number that
+weighs little, so a passage must also hold the words that tell its licence from
+the others, and an SPDX tag allows the licence that it names and no other. A file
+takes the licence of its closest passage; a file that is a licence text as a
+whole, or is named like one, stands for its directory and for everything below
+that has no licence of its own.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapcast.llm.tables import lower_ascii, stage
 
-# Usual notices of well-known licences, in natural order.
-TEMPLATES = [
+# Per licence the words that its passages hold (one of each group), and words that they lack.
+LICENSES = {
+    "MIT": ([("mit", "charge")], ("isc", "fee")),
+    "Apache-2.0": ([("apache",), ("2.0", "2")], ()),
+    "GPL-2.0": ([("gnu", "gpl"), ("2", "2.0")], ("lesser", "lgpl", "affero", "agpl")),
+    "GPL-3.0": ([("gnu", "gpl"), ("3", "3.0")], ("lesser", "lgpl", "affero", "agpl")),
+    "LGPL-2.1": ([("lesser", "lgpl"), ("2.1",)], ("affero", "agpl")),
+    "LGPL-3.0": ([("lesser", "lgpl"), ("3", "3.0")], ("affero", "agpl")),
+    "AGPL-3.0": ([("affero", "agpl"), ("3", "3.0")], ("lesser", "lgpl")),
+    "MPL-2.0": ([("mozilla", "mpl"), ("2.0", "2")], ()),
+    "EPL-2.0": ([("eclipse", "epl"), ("2.0", "2")], ()),
+    "BSD-2-Clause": ([("bsd", "redistributions"), ("2", "reproduce")], ("neither", "endorse", "3")),
+    "BSD-3-Clause": ([("bsd", "redistribution", "redistributions", "endorse")], ("2",)),
+    "ISC": ([("isc", "fee")], ("mit", "charge")),
+    "CC-BY-4.0": ([("cc", "commons"), ("by", "attribution"), ("4.0",)], ("nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives")),
+    "CC-BY-NC-4.0": ([("cc", "commons"), ("nc", "noncommercial"), ("4.0",)], ("sa", "sharealike", "nd", "noderivatives")),
+    "CC-BY-SA-4.0": ([("cc", "commons"), ("sa", "sharealike"), ("4.0",)], ("nc", "noncommercial")),
+    "CC0-1.0": ([("cc",), ("0",), ("1.0",)], ()),
+    "Unlicense": ([("unlicense", "unencumbered")], ()),
+}
+GNU_HEADER = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public "
+    "License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later "
+    "version."
+)
+# Usual notices of well-known licences.
+NOTICES = [
     ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -30,7 +59,6 @@ TEMPLATES = [
         "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
     ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     (
         "Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
@@ -38,24 +66,48 @@ TEMPLATES = [
         "applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version.",
-    ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", GNU_HEADER.format("program", ";", "", ";", "2")),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", GNU_HEADER.format("program", ":", "", ",", "3")),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", GNU_HEADER.format("library", ";", "Lesser ", ";", "2.1")),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", GNU_HEADER.format("library", ":", "Lesser ", ",", "3")),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", GNU_HEADER.format("program", ":", "Affero ", ",", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    ),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    (
+        "BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: redistributions must retain the above copyright notice, this list of conditions and "
         "the following disclaimer.",
     ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+    ),
+    ("ISC", "Licensed under the ISC License."),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
@@ -67,8 +119,10 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-# Every template holds one of these. The scan does not rely on it: see _needed.
-CUE = "licen[sc]e|permi(?:ssion|tted)|copyright|public domain"
+TEMPLATES = NOTICES + [(name, f"SPDX-License-Identifier: {name}") for name in LICENSES]
+SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9][a-z0-9.+-]*)"
+# Sentences of a notice at most.
+RUN = 5
 NAMES = r"^(?:(?:un)?licen[sc]e|copying|notice)(?:[.-].*)?$"
 TERM = r"([0-9]+(?:\.[0-9]+)*|[a-z\x{80}-\x{10FFFF}]+)"
 
@@ -86,8 +140,8 @@ def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unseen: Colum
     )
 
 
-def _needed(templates: list[list[str]], counts: dict[str, int], n: int, least: float) -> str:
-    """A pattern that every text, in lower case, matches whose cosine with a template can come up to ``least``.
+def _needed(templates: list[list[str]], counts: dict[str, int], n: int, least: float) -> list[str]:
+    """Terms of which every text holds one whose cosine with a template can come up to ``least``.
 
     The cosine is at most the root of the sum of squared shares of the template's
     terms that a text holds. So of each template the rarest terms are taken until
@@ -102,22 +156,79 @@ def _needed(templates: list[list[str]], counts: dict[str, int], n: int, least: f
                 break
             needed.add(word)
             rest -= weights[word]
+    return sorted(needed)
+
+
+def _pattern(needed: list[str]) -> str:
+    """A pattern that matches a text in lower case which holds one of the terms."""
     letters = "a-z\\x{80}-\\x{10FFFF}"
-    names, numbers = ("|".join(re.escape(w) for w in sorted(needed) if w[0].isdigit() == d) for d in (False, True))
+    names, numbers = ("|".join(re.escape(w) for w in needed if w[0].isdigit() == d) for d in (False, True))
     either = [f"(?<![{letters}])(?:{names})(?![{letters}])"] if names else []
     return "|".join(either + ([f"(?<![0-9])(?:{numbers})(?![0-9])"] if numbers else []))
 
 
-def _passages(files: DataFrame, needed: str) -> DataFrame:
-    """(file, place, whole, terms) of lines, blocks and sentences that match the pattern, and of whole texts that do."""
-    cued = files.where(lower_ascii(F.col("text")).rlike(needed))
-    line = F.expr("split(text, '\\n', -1)")
-    block = F.expr("split(text, '\\n[ \\t\\r]*\\n', -1)")
-    sentence = F.split("text", r"(?<=[.!?;])\s+")
-    parts = F.array_distinct(F.concat(line, block, sentence))
-    pieces = cued.select("file", F.posexplode(F.filter(parts, lambda p: lower_ascii(p).rlike(needed))).alias("place", "part"))
-    whole = cued.select("file", F.lit(-1).alias("place"), F.col("text").alias("part"))
-    return pieces.unionByName(whole).select("file", "place", terms(F.col("part")).alias("terms"))
+def _may_reach(held: Column, templates: list[list[str]], counts: dict[str, int], n: int, least: float) -> Column:
+    """False where the template terms that a text holds cannot bring its cosine with any template up to ``least``."""
+    parts = []
+    for words in templates:
+        weights = {w: (words.count(w) * (math.log((n + 1) / (counts.get(w, 0) + 1)) + 1)) ** 2 for w in words}
+        total = sum(weights.values()) or 1.0
+        shares = [F.struct(F.lit(w).alias("word"), F.lit(v / total).alias("share")) for w, v in sorted(weights.items())]
+        parts.append(F.array(*shares))
+
+    def reach(template: Column) -> Column:
+        return F.aggregate(template, F.lit(0.0), lambda sum_, x: sum_ + F.when(F.array_contains(held, x["word"]), x["share"]).otherwise(0.0))
+
+    return F.exists(F.array(*parts), lambda t: reach(t) >= least**2 - 1e-6)
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row: the optimizer copies no expression through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _sentence_runs(sentences: Column, needed: str) -> Column:
+    """All runs of two to RUN sentences around a sentence that matches the pattern."""
+    places = F.filter(F.sequence(F.lit(0), F.size(sentences) - 1), lambda k: lower_ascii(F.get(sentences, k)).rlike(needed))
+
+    def around(k: Column) -> Column:
+        lengths = F.array(*map(F.lit, range(2, RUN + 1)))
+        starts = F.flatten(
+            F.transform(lengths, lambda n: F.transform(F.sequence(F.greatest(k - n + 1, F.lit(0)), k), lambda at: F.struct(at.alias("at"), n.alias("n"))))
+        )
+        return F.transform(F.filter(starts, lambda r: r["at"] + r["n"] <= F.size(sentences)), lambda r: F.array_join(F.slice(sentences, r["at"] + 1, r["n"]), " "))
+
+    return F.flatten(F.transform(places, around))
+
+
+def _allowed(passage: Column, words: Column) -> Column:
+    """The licences that a passage may have: those whose words it holds and lacks, or the one of its SPDX tag."""
+
+    def fits(groups, lacking) -> Column:
+        holds = [F.arrays_overlap(words, F.array(*map(F.lit, group))) for group in groups]
+        lacks = ~F.arrays_overlap(words, F.array(*map(F.lit, lacking))) if lacking else F.lit(True)
+        return reduce(lambda a, b: a & b, holds) & lacks
+
+    fitting = F.filter(F.array(*[F.when(fits(*rule), F.lit(name)) for name, rule in LICENSES.items()]), lambda name: name.isNotNull())
+    tag = F.lower(F.regexp_replace(F.regexp_extract(passage, SPDX, 1), r"(?i)(-only|-or-later|\+)$", ""))
+    named = F.filter(F.array(*map(F.lit, LICENSES)), lambda name: F.lower(name) == tag)
+    return F.when(tag == "", fitting).otherwise(named)
+
+
+def _passages(files: DataFrame, needed: str, may_reach: Column) -> DataFrame:
+    """(file, place, terms, allowed) of lines, blocks, sentences and runs of them that match the pattern, and of whole texts.
+
+    Only files that ``may_reach`` the threshold are cut.
+    """
+    kept = _once(files.where(may_reach), sentences=F.split("text", r"(?<=[.!?;])\s+"))
+    line = F.expr("split(text, '\n', -1)")
+    block = F.expr("split(text, '\n[ \t\r]*\n', -1)")
+    single = F.filter(F.concat(line, block, "sentences"), lambda p: lower_ascii(p).rlike(needed))
+    parts = F.array_distinct(F.concat(single, _sentence_runs(F.col("sentences"), needed)))
+    pieces = kept.select("file", F.posexplode(parts).alias("place", "part"))
+    whole = kept.select("file", F.lit(-1).alias("place"), F.col("text").alias("part"))
+    found = _once(pieces.unionByName(whole), terms=terms(F.col("part")))
+    return found.select("file", "place", "terms", _allowed(F.col("part"), F.col("terms")).alias("allowed")).where(F.size("allowed") > 0)
 
 
 def _similarities(files: DataFrame, least: float) -> DataFrame:
@@ -125,18 +236,20 @@ def _similarities(files: DataFrame, least: float) -> DataFrame:
     spark = files.sparkSession
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
     templates = spark.createDataFrame(rows, "template int, license string, text string").withColumn("terms", terms(F.col("text")))
-    words = [r["terms"] for r in templates.select("terms").collect()]
-    own = F.array(*map(F.lit, sorted({w for t in words for w in t})))
+    words = [r["terms"] for r in templates.orderBy("template").select("terms").collect()]
+    own = sorted({w for t in words for w in t})
+    # Counted before the shuffle: what a task sends are its distinct words.
+    hashes = F.explode(F.transform(F.array_distinct(terms(F.col("text"))), lambda t: F.xxhash64(t))).alias("term")
+    frequency = stage(files.select(hashes).groupBy("term").agg(F.count("*").alias("count")), "license-terms")
     n = files.count()
-    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), own)).alias("term")).groupBy("term").count()
-    needed = _needed(words, {r["term"]: r["count"] for r in held.collect()}, n, least)  # one row per template term
-    passages = stage(_passages(files, needed), "license-passages")
-    hashes = F.explode(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t)))).alias("term")
-    wanted = passages.select(hashes).union(templates.select(hashes)).distinct()
-    wanted = stage(wanted, "license-wanted")
-    frequency = files.select(terms(F.col("text")).alias("terms")).select(hashes).join(wanted, "term", "left_semi").groupBy("term").count()
-    # One row per term of a passage or template: as many as there are words, so it is joined by hash, not broadcast.
-    idf = stage(frequency.select("term", (F.log((n + 1) / (F.col("count") + 1)) + 1).alias("idf")), "license-terms")
+    known = spark.createDataFrame([(w,) for w in own], "word string").withColumn("term", F.xxhash64("word"))
+    counts = {r["word"]: r["count"] for r in frequency.join(F.broadcast(known), "term").collect()}  # one row per template term
+    needed = _needed(words, counts, n, least)
+    held = F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, own)))
+    narrowed = _once(files, held=held).where(F.arrays_overlap("held", F.array(*map(F.lit, needed))))
+    passages = stage(_passages(narrowed, _pattern(needed), _may_reach(F.col("held"), words, counts, n, least)), "license-passages")
+    # One row per word of any file: joined by hash, not broadcast.
+    idf = frequency.select("term", (F.log((n + 1) / (F.col("count") + 1)) + 1).alias("idf"))
     unseen = F.lit(math.log(n + 1) + 1)
 
     weights = _vectors(templates, ["template", "license"], idf, unseen).select("template", "license", "term", "weight")
@@ -145,16 +258,15 @@ def _similarities(files: DataFrame, least: float) -> DataFrame:
         "template", "license", "term", (F.col("weight") / F.col("norm")).alias("share")
     ), "license-weights")
 
-    vectors = _vectors(passages, ["file", "place"], idf, unseen)
+    vectors = stage(_vectors(passages, ["file", "place"], idf, unseen), "license-vectors")
     length = vectors.groupBy("file", "place").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
     dots = vectors.join(F.broadcast(weights), "term").groupBy("file", "place", "template", "license").agg(
         F.sum(F.col("weight") * F.col("share")).alias("dot")
     )
-    scored = dots.join(length, ["file", "place"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
+    scored = dots.join(length, ["file", "place"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= least)
+    scored = scored.join(passages.select("file", "place", "allowed"), ["file", "place"]).where(F.array_contains("allowed", F.col("license")))
     best = scored.groupBy("file", "place").agg(F.min(F.struct(-F.col("score"), "license")).alias("best"))
-    return best.select("file", "place", F.col("best.license").alias("license"), (-F.col("best.col1")).alias("score")).where(
-        F.col("score") >= least
-    )
+    return best.select("file", "place", F.col("best.license").alias("license"), (-F.col("best.col1")).alias("score"))
 
 
 def parent(path: Column) -> Column:

@@ -5,16 +5,33 @@ from gapcast.llm import license_scan as ls
 
 TERM = re.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z\x80-\U0010ffff]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-CUE = re.compile(ls.CUE)
+
+
+def passages(text):
+    """Lines, blocks, sentences, runs of two to five sentences, and the text."""
+    sentences = re.split(r"(?<=[.!?;])\s+", text)
+    runs = {" ".join(sentences[i : i + n]) for n in range(1, ls.RUN + 1) for i in range(len(sentences) - n + 1)}
+    return {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), *runs, text}
+
+
+def allowed(passage, words):
+    if tag := re.search(ls.SPDX, passage):
+        name = re.sub(r"(-only|-or-later|\+)$", "", tag[1].lower())
+        return [n for n in ls.LICENSES if n.lower() == name]
+    return [n for n, (groups, lacking) in ls.LICENSES.items() if all(words & {*g} for g in groups) and not words & {*lacking}]
 
 
 def plain_own(rows, least=0.6):
-    """The closest template over all passages of each text."""
+    """The closest template over all passages of each text, with frequencies of all terms over all files."""
     cut = lambda t: TERM.findall(t.translate(FOLD))
     texts = [t or "" for _, t in rows]
-    vocabulary = {w for _, t in ls.TEMPLATES for w in cut(t)}
-    df = {w: sum(w in set(cut(t)) for t in texts) for w in vocabulary}
-    idf = lambda w: math.log((len(texts) + 1) / (df.get(w, 0) + 1)) + 1 if w in vocabulary else math.log(len(texts) + 1) + 1
+    held = [set(cut(t)) for t in texts]
+    known = {}
+
+    def idf(w):
+        if w not in known:
+            known[w] = math.log((len(texts) + 1) / (sum(w in h for h in held) + 1)) + 1
+        return known[w]
 
     def vector(t):
         words = cut(t)
@@ -28,18 +45,20 @@ def plain_own(rows, least=0.6):
     templates = [(name, vector(t)) for name, t in ls.TEMPLATES]
     out = []
     for text in texts:
-        parts = {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text}
-        scored = [(-round(cosine(vector(p), v), 9), name) for p in parts if CUE.search(p.translate(FOLD)) for name, v in templates]
+        scored = []
+        for p in passages(text):
+            own, names = vector(p), allowed(p, set(cut(p)))
+            scored += [(-round(cosine(own, v), 9), name) for name, v in templates if name in names]
         best = min(scored, default=(0, None))
         out.append((best[1], -best[0]) if -best[0] >= least else (None, None))
     return out
 
 
 FILES = [
-    ("a/LICENSE", "MIT License\n\n" + ls.TEMPLATES[2][1]),
+    ("a/LICENSE", "MIT License\n\n" + ls.NOTICES[1][1]),
     ("a/b/code.py", "import os\nprint(1)"),
     ("a/b/c/own.py", "# Licensed under the Apache License, Version 2.0.\ncode = 1"),
-    ("a/b/c/COPYING.txt", "Lots of other words before it\n" * 5 + ls.TEMPLATES[6][1]),
+    ("a/b/c/COPYING.txt", "Lots of other words before it\n" * 5 + ls.NOTICES[6][1]),
     ("a/b/c/d/deep.py", "x = 1"),
     ("ab/near.py", "no licence here of any kind that one could tell"),
     ("top.py", "y = 2"),
@@ -107,3 +126,26 @@ def test_notices_without_a_cue_and_inside_a_long_line(spark):
         assert (row["origin"] == "own") == (expected >= 0.6) and abs((row["score"] or expected) - expected) < 1e-6
     assert sum(r["origin"] == "own" for r in found.values()) >= 4
     assert found["y/line.txt"]["license"] == "MIT" and found["y/line.txt"]["score"] > 0.999
+
+
+def scan_each(spark, texts):
+    """The licence of each text in a directory of its own, beside prose."""
+    rows = [(f"d{i}/x.c", t) for i, t in enumerate(texts)]
+    rows += [(f"p{i}/y.txt", f"The program may be used under other terms of the file {i}, or distributed by any of you.") for i in range(60)]
+    found = {r["path"]: r["license"] for r in ls.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    return [found[f"d{i}/x.c"] for i in range(len(texts))]
+
+
+def test_no_template_is_taken_for_another_licence(spark):
+    """Notices, SPDX tags and headers in comments of all licences come out as themselves."""
+    named = ls.TEMPLATES + [(n, f"/*\n * {t}\n */\nint x;") for n, t in ls.NOTICES]
+    named += [("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later")]
+    named += [("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1+"), (None, "SPDX-License-Identifier: EUPL-1.2"), ("EPL-2.0", "Eclipse Public License, Version 2.0")]
+    got = scan_each(spark, [t for _, t in named])
+    assert [(n, t, g) for (n, t), g in zip(named, got) if n != g] == []
+
+
+def test_a_notice_of_several_sentences_inside_a_long_line(spark):
+    prose = "Some prose about other things altogether. " * 30
+    texts = [f"{prose}{t} {prose}" for _, t in ls.NOTICES]
+    assert scan_each(spark, texts) == [n for n, _ in ls.NOTICES]
