@@ -8,7 +8,9 @@ import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -24,16 +26,22 @@ LINES = set(
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<[!?][^>]*+>")
+TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>|<[!?][^>]*+>")
 LINK = re.compile(r"""(?<![\w-])(href|src)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
 CLOSE = {name: re.compile(f"</{name}[^>]*+>", re.IGNORECASE) for name in RAW}
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 BLANKS = re.compile(r"[^\S\n]+")
 
 
 def read_page(html: str, base: str | None) -> tuple[str, str | None, list[dict]]:
-    """(plain text, title, links) of a page; reads it once from front to back, whatever is left open."""
+    """(plain text, title, links) of a page; reads it once from front to back, whatever is left open.
+
+    A ``<`` outside quotes ends a tag that is still open: what came before is text.
+    Nothing is looked for beyond the last ``>``, so the time is linear in the page.
+    """
     text, title, links, at, unclosed = [], None, [], 0, set()
-    while (tag := TAG.search(html, at)) is not None:
+    limit = html.rfind(">") + 1
+    while (tag := TAG.search(html, at, limit)) is not None:
         text.append(html[at : tag.start()])
         at = tag.end()
         if tag[0] == "<!--":
@@ -49,7 +57,7 @@ def read_page(html: str, base: str | None) -> tuple[str, str | None, list[dict]]
             url = entities.unescape(next(g for g in found.groups()[1:] if g is not None)).strip()
             links.append({"path": f"{name.upper()}@/{found[1].lower()}", "url": _absolute(base, url)})
         if name in RAW and not (name == "svg" and tag[3].endswith("/")):
-            end = None if name in unclosed else CLOSE[name].search(html, at)
+            end = None if name in unclosed else CLOSE[name].search(html, at, limit)
             if name == "title" and title is None:
                 title = " ".join(entities.unescape(html[at : end.start() if end else len(html)]).split())
             if end is None:
@@ -60,7 +68,7 @@ def read_page(html: str, base: str | None) -> tuple[str, str | None, list[dict]]
             if name in MARKED_UP:
                 links += read_page(html[at : end.start()], base)[2]  # holds no end tag of this name, so it nests once a name
             at = end.end()
-    text.append(html[at:])
+    text.append(html[at:].partition("<!--")[0])
     lines = (BLANKS.sub(" ", line).strip() for line in entities.unescape("".join(text)).split("\n"))
     return "\n".join(line for line in lines if line), title, links
 
@@ -114,13 +122,38 @@ FIELDS = (
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
-def _derive(source: str | None, uri: str | None, date: str | None, headers: str | None, payload: str | None) -> list[tuple]:
-    payload = payload or ""
-    text, title, links = read_page(payload, uri)
-    own = digest(payload.encode())
+def _fields(head: str | None) -> list[list[str]]:
+    lines = (head or "").replace("\r\n", "\n").split("\n")
+    return [[part.strip() for part in line.split(":", 1)] for line in lines if ":" in line]
+
+
+def decoded(payload: bytes, headers: list[list[str]]) -> str:
+    """The text of a payload by its declared content encoding and charset, UTF-8 if it names none or an unknown one.
+
+    What does not decode is replaced; an encoding other than gzip and deflate, or a broken one, leaves the bytes as they are.
+    """
+    given = {name.lower(): value for name, value in headers}
+    bits = {"gzip": 31, "x-gzip": 31, "deflate": 47}.get(given.get("content-encoding", "").lower())
+    if bits is not None:
+        with suppress(zlib.error):
+            payload = zlib.decompressobj(bits).decompress(payload)
+    charset = CHARSET.search(given.get("content-type", ""))
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def _derive(source: str | None, uri: str | None, date: str | None, headers: str | None, fields: str | None, payload: str | bytes | None) -> list[tuple]:
+    raw = payload.encode() if isinstance(payload, str) else payload or b""
     lines = [line for line in (headers or "").replace("\r\n", "\n").split("\n") if line]
+    text, title, links = read_page(payload if isinstance(payload, str) else decoded(raw, _fields(headers)), uri)
+    own = digest(raw)
+    known = {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": uri, "WARC-Date": date, "WARC-Payload-Digest": own}
+    carried = {name: value for name, value in _fields(fields) if name not in known}
+    declared = {name: value for name, value in _fields(fields) if name == "WARC-Payload-Digest" and value != own}
     envelope = {
-        "source": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": uri, "WARC-Date": date, "WARC-Payload-Digest": own},
+        "source": known | carried | {f"Declared-{name}": value for name, value in declared.items()},
         "http": {"status": lines[0] if lines else None, "headers": [line.split(": ", 1) for line in lines[1:]]},
         "html": {"title": title, "links": links},
         "text": {"digest": digest(text.encode()), "characters": len(text)},
@@ -140,19 +173,23 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two records per response: key, and the columns of FIELDS.
 
     ``responses`` has columns key, record_id, target_uri, date, http_headers and
-    payload; others are not read. Both records name the response in refers_to and
+    payload, and may have warc_headers (the source record's own header lines);
+    others are not read. A binary payload is digested as it is and decoded by its
+    declared content encoding and charset; a payload of text counts as UTF-8. Both records name the response in refers_to and
     each other in concurrent_to, and keep its address, date and payload digest;
-    the metadata block also holds its HTTP headers, title and links. Null headers
+    the metadata block also holds its WARC and HTTP headers, title and links (a source
+    digest that does not match the payload as Declared-WARC-Payload-Digest). Null headers
     and payloads count as empty; a null address or date stays null. Repeated rows
     give repeated records with the same ids.
     """
-    source = responses.select("payload", "key", "record_id", "target_uri", "date", "http_headers")
+    fields = F.col("warc_headers") if "warc_headers" in responses.columns else F.lit(None).cast("string")
+    source = responses.select("payload", "key", "record_id", "target_uri", "date", "http_headers", fields.alias("warc_headers"))
     kinds = [pa.int64() if f.endswith(" long") else pa.string() for f in FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, payloads in slices(batch, 0):
-                columns = [piece.column(i).to_pylist() for i in range(2, 6)]
+                columns = [piece.column(i).to_pylist() for i in range(2, 7)]
                 made = [_derive(*row, payload) for *row, payload in zip(*columns, payloads)]
                 rows = [row for pair in made for row in pair]
                 at = pa.array([i for i, pair in enumerate(made) for _ in pair], pa.int64())
@@ -181,13 +218,13 @@ def record_bytes(version: str = "WARC/1.1") -> Column:
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of every record of an uncompressed WARC file."""
+    """(fields by lower-case name, block) of every record of an uncompressed WARC file; the header lines are under ''."""
     at = 0
     while (end := data.find(b"\r\n\r\n", at)) >= 0:
         version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
+        fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)} | {"": "\n".join(lines)}
         start, size = end + 4, int(fields["content-length"])
         yield fields, data[start : start + size]
         at = start + size + 4
@@ -197,8 +234,9 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The response records of WARC files (plain or gzipped), one file per task, as input of ``derivatives``.
 
     A file is held in memory by its task: keep files at the usual size of a gigabyte or less.
+    Payloads are binary, and warc_headers has the header lines of each record as they stand.
     """
-    import zlib
+    names = ["key", "record_id", "target_uri", "date", "http_headers", "warc_headers", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +251,10 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 for f, block in found:
                     head, _, payload = block.partition(b"\r\n\r\n")
                     name = f.get("warc-record-id")
-                    rows.append((name, name, f.get("warc-target-uri"), f.get("warc-date"), head.decode("utf-8", "replace"), payload.decode("utf-8", "replace")))
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["key", "record_id", "target_uri", "date", "http_headers", "payload"])
+                    rows.append((name, name, f.get("warc-target-uri"), f.get("warc-date"), head.decode("utf-8", "replace"), f[""], payload))
+                columns = list(zip(*rows)) or [()] * len(names)
+                kinds = [pa.string()] * (len(names) - 1) + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "key string, record_id string, target_uri string, date string, http_headers string, payload string")
+    return files.mapInArrow(run, ", ".join(f"{name} {'binary' if name == 'payload' else 'string'}" for name in names))

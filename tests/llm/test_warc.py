@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import base64
 import json
+import time
+
+import pytest
 
 from gapcast.llm import warc
 
@@ -79,3 +82,42 @@ def test_elements_left_open_or_closed_in_themselves_hide_nothing():
     text, _, links = warc.read_page(page, "http://h.org/")
     assert text == "end" and [k["path"] for k in links] == ["IMG@/src", "A@/href"]
     assert warc.read_page("<p>one</p><style>.a {} <p>two", None)[0] == "one"
+
+
+@pytest.mark.parametrize("shape", ["<a", "<a href ", '<a "', "<a '", "<!", "</title", "<title>", "<svg><p", "<!--", "&lt;", '<a "<b\'', "<script "])
+def test_a_megabyte_of_broken_markup_takes_linear_time(shape):
+    started = time.perf_counter()
+    for end in ("", ">", '">'):
+        warc.read_page(shape * ((1 << 20) // len(shape)) + end, "http://h.example/")
+    assert time.perf_counter() - started < 9
+
+
+def test_broken_tags_are_text_and_the_next_ones_are_read():
+    text, _, links = warc.read_page('<p>one <b two <i>three</i> <a href="x<y">four</a> <!-- open', None)
+    assert text == "one <b two three four" and [k["url"] for k in links] == ["x<y"]
+
+
+def test_charsets_encodings_and_source_headers_are_kept(spark, tmp_path):
+    pages = {
+        "latin": ("text/html; charset=ISO-8859-1", None, "<p>caf\u00e9</p>".encode("latin-1")),
+        "gzip": ("text/html; charset=utf-8", "gzip", gzip.compress("<p>\u00fcber</p>".encode())),
+        "odd": ("text/html; charset=no-such", None, "<p>\u00e4</p>".encode()),
+    }
+    raw = b""
+    for name, (kind, encoding, body) in pages.items():
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n" + (f"Content-Encoding: {encoding}\r\n" if encoding else "")
+        block = http.encode() + b"\r\n" + body
+        stated = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{name}>\r\nWARC-IP-Address: 10.0.0.1\r\n"
+        head += f"WARC-Payload-Digest: {stated}\r\nContent-Length: {len(block)}\r\n\r\n"
+        raw += head.encode() + block + b"\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(raw))
+    found = warc.derivatives(warc.read_responses(spark, str(tmp_path))).collect()
+    texts = {r["key"]: r["block"] for r in found if r["warc_type"] == "conversion"}
+    assert texts == {"<urn:latin>": "caf\u00e9", "<urn:gzip>": "\u00fcber", "<urn:odd>": "\u00e4"}
+    for r in found:
+        body = pages[r["key"][5:-1]][2]
+        assert r["source_payload_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        if r["warc_type"] == "metadata":
+            source = json.loads(r["block"])["source"]
+            assert source["WARC-IP-Address"] == "10.0.0.1" and not any(k.startswith("Declared") for k in source)
