@@ -8,6 +8,7 @@ from itertools import product
 from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.operators.features import FEATURES, assemble_features
+from gapcast.operators.isotonic import condensed
 from gapcast.operators.moments import (
     MAX_COLUMNS,
     Moments,
@@ -225,8 +227,13 @@ def distinct_points(rows: DataFrame, x: str, label: str, *by: str) -> DataFrame:
     )
 
 
-def fit_isotonic_points(points: DataFrame, label: str, params: Mapping[str, Any]) -> IsotonicRegressionModel:
+def fit_isotonic_points(points: DataFrame, label: str, params: Mapping[str, Any], n: int | None = None) -> IsotonicRegressionModel:
+    """Fit to points of distinct feature values. Beyond RANGE_POINTS they are reduced to level stretches first.
+
+    ``n`` is the number of points, or more; they are counted if it is not given.
+    """
     params = {k: v for k, v in params.items() if k != "featureIndex"}
+    points = condensed(points, POINT, label, WEIGHT, params.get("isotonic", True), n)
     return IsotonicRegression(featuresCol=POINT, labelCol=label, weightCol=WEIGHT, **params).fit(points)
 
 
@@ -238,7 +245,11 @@ def fit_isotonic(df, features, label, params, handle_invalid="error") -> FittedM
     index = params.get("featureIndex", 0)
     rows = training_rows(df, features[index : index + 1], label, handle_invalid)
     refuse_gaps(rows, features[index])
-    model = fit_isotonic_points(distinct_points(rows, features[index], label), label, params)
+    points = distinct_points(rows, features[index], label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fit_isotonic_points(points, label, params)
+    finally:
+        points.unpersist()
     return FittedModel("isotonic", label, list(features), as_vector_model(model, index), dict(params))
 
 

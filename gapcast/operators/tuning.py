@@ -155,11 +155,13 @@ def _tune_isotonic(rows, features, label, points, folds, parallelism, fold_col):
     refuse_gaps(rows, features[index])
     stats = distinct_points(rows, features[index], label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _check_folds({r[fold_col] for r in stats.select(fold_col).distinct().collect()}, folds)
+        found = stats.groupBy(fold_col).count().collect()  # a row per fold
+        _check_folds({r[fold_col] for r in found}, folds)
+        most = sum(r["count"] for r in found)
 
         def fold_error(job):
             params, fold = job
-            model = fit_isotonic_points(_merge_points(stats.filter(F.col(fold_col) != fold), label), label, params)
+            model = fit_isotonic_points(_merge_points(stats.filter(F.col(fold_col) != fold), label), label, params, most)
             scored = model.transform(stats.filter(F.col(fold_col) == fold))
             gap = F.col(WEIGHT) * F.pow(F.col(label) - F.col("prediction"), 2)
             return scored.agg(F.sqrt(F.sum(F.col(DEVIATION) + gap) / F.sum(WEIGHT)).alias("rmse")).first()["rmse"]
@@ -168,7 +170,7 @@ def _tune_isotonic(rows, features, label, points, folds, parallelism, fold_col):
         errors = np.array(_in_threads(spark, fold_error, jobs, parallelism)).reshape(len(points), folds)
         means = errors.mean(axis=1)
         best = points[int(np.argmin(means))]
-        model = fit_isotonic_points(_merge_points(stats, label), label, best)
+        model = fit_isotonic_points(_merge_points(stats, label), label, best, most)
         return means, FittedModel("isotonic", label, list(features), as_vector_model(model, index), dict(best))
     finally:
         stats.unpersist()

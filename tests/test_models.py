@@ -3,11 +3,12 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import functions as F
 
 from gapcast.operators import scoring
 from gapcast.operators.features import assemble_features
+from gapcast.operators.isotonic import condensed, isotonic_steps_of
 from gapcast.operators.metrics import regression_metrics, rmse
 from gapcast.operators.models import (
     SPECS,
@@ -141,6 +142,34 @@ def test_isotonic_from_distinct_points(spark, rows):
         assert np.allclose(compact.predictions, plain.predictions)
 
 
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising", "outliers", "steps"])
+@pytest.mark.parametrize("up", [True, False])
+def test_distributed_pooling_equals_mllib(spark, shape, up):
+    rng = np.random.default_rng(len(shape))
+    x = np.arange(3000) / 7
+    y = {"noise": x + rng.normal(0, 40, 3000), "falling": -x, "rising": x, "steps": np.floor(x / 50) + 0.0, "outliers": x * 1.0}[shape]
+    if shape == "outliers":
+        y[[5, 1500, 2999]] = [1e5, -1e5, -1e6]
+    rows = [(float(a), float(b), float(w)) for a, b, w in zip(x, y, rng.integers(1, 5, 3000))]
+    points = spark.createDataFrame(rows, "x double, y double, w double").repartition(5)
+    steps = isotonic_steps_of(points, "x", "y", "w", up, range_points=170).orderBy("low").collect()
+    assert all((a["mean"] < b["mean"]) == up and a["high"] < b["low"] for a, b in zip(steps, steps[1:]))
+    plain = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=up).fit(points)
+    own = np.concatenate([np.full(sum(s["low"] <= v <= s["high"] for v in x), s["mean"]) for s in steps])
+    theirs = np.array([r["prediction"] for r in plain.transform(points.orderBy("x")).collect()])
+    assert own == pytest.approx(theirs, rel=1e-9, abs=1e-9)
+    short = condensed(points, "x", "y", "w", up, range_points=170)
+    model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=up).fit(short)
+    assert np.array([r["prediction"] for r in model.transform(points.orderBy("x")).collect()]) == pytest.approx(theirs, rel=1e-9, abs=1e-9)
+    assert sum(r["w"] for r in short.collect()) == pytest.approx(sum(r[2] for r in rows))
+
+
+def test_pooling_of_one_and_no_points(spark):
+    one = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, w double")
+    assert [tuple(r) for r in isotonic_steps_of(one, "x", "y", "w").collect()] == [(1.0, 1.0, 3.0, 2.0)]
+    assert isotonic_steps_of(one.where("x > 1"), "x", "y", "w").count() == 0
+
+
 def test_isotonic_on_another_feature(rows):
     fitted = fit_model("isotonic", rows, ["b", "a"], "y", {"featureIndex": 1})
     by_name = fit_model("isotonic", rows, ["a", "b"], "y")
