@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from gapcast.functions import calendar as cal
 from gapcast.operators import binning, correlation, metrics, profile, quality, quantiles, scoring, split, tuning
-from gapcast.operators.models import FittedModel, fit_model
+from gapcast.operators.isotonic import isotonic_steps_of
+from gapcast.operators.models import POINT, WEIGHT, FittedModel, distinct_points, fit_model
 from gapcast.operators.registry import ModelRegistry
 from gapcast.plans.correlation import correlation_report
 from gapcast.plans.imputation import complete_readings, route_messages, score_by_label, stage_by_label
@@ -368,6 +369,17 @@ def random_split_counts(spark, sf_dir):
     return both.groupBy("part").agg(F.count("*").alias("n"))
 
 
+def sample_exact(spark, sf_dir):
+    """Exactly four fifths of the orders, chosen by a hash of their key."""
+    return split.sample_exact(table(spark, sf_dir, "orders"), 0.8, "o_orderkey", seed=3).select("o_orderkey", "o_custkey")
+
+
+def split_exact(spark, sf_dir):
+    train, test = split.split_exact(table(spark, sf_dir, "orders"), 0.7, "o_orderkey", seed=3)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.select("o_orderkey", "part")
+
+
 def _tallies(**parts: DataFrame) -> DataFrame:
     """Per order key, how many rows each of some parts of the orders has."""
     tagged = [
@@ -516,6 +528,13 @@ def isotonic_fit(spark, sf_dir):
     return _by_quantity(df, fit_model("isotonic", df, ["l_quantity"], "l_extendedprice"))
 
 
+def isotonic_ranges(spark, sf_dir):
+    """Level stretches of order prices by month, pooled in ranges of eight months and merged."""
+    months = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    points = distinct_points(table(spark, sf_dir, "orders").withColumn("month", months), "month", "o_totalprice")
+    return rounded(isotonic_steps_of(points, POINT, "o_totalprice", WEIGHT, range_points=8).select("low", "high", "weight", "mean"))
+
+
 def isotonic_decreasing(spark, sf_dir):
     df = lineitem(spark, sf_dir)
     return _by_quantity(df, fit_model("isotonic", df, ["l_quantity"], "l_extendedprice", {"isotonic": False}))
@@ -847,6 +866,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rmse_eval": rmse_eval,
         "sample_fraction": sample_fraction,
         "random_split_counts": random_split_counts,
+        "sample_exact": sample_exact,
+        "split_exact": split_exact,
         "sample_properties": sample_properties,
         "random_split_properties": random_split_properties,
         "quartiles_approximate_error": quartiles_approximate_error,
@@ -862,6 +883,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forest_no_bootstrap": forest_no_bootstrap,
         "forest_bootstrap": forest_bootstrap,
         "isotonic_fit": isotonic_fit,
+        "isotonic_ranges": isotonic_ranges,
         "isotonic_decreasing": isotonic_decreasing,
         "isotonic_steps": isotonic_steps,
         "feature_importance": feature_importance,

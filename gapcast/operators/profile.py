@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapcast.operators.quantiles import ColumnRange, approx_quantiles, exact_quantiles, number
 from gapcast.schema import date_columns, numeric_columns, text_columns
+from gapcast.scratch import shared_dir
 
 PROFILE_SCHEMA = (
     "column string, count long, unique long, top string, freq long, mean double, std double, "
@@ -37,24 +38,40 @@ def date_ends(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     return {c: {k: row[f"{k}{i}"] for k in ("first", "last")} for i, c in enumerate(columns)}
 
 
+# Leading characters of a value that travel with its hash, and values of one column looked up by a sent list at most.
+PREFIX, LOOKED_UP = 24, 10_000
+
+
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, distinct values, most frequent value and its count, per text column.
 
-    One shuffle of (column, value) counts, combined before it, so a value that
-    fills a third of the rows costs one row per task. Ties go to the least value.
+    Values are counted by a 128-bit hash, with their first letters to tell which of
+    equally frequent ones comes first: what is shuffled does not grow with the
+    length of the texts. Counts are combined before the shuffle, so a value that
+    fills a third of the rows costs one row per task. A second scan looks up the
+    texts of the winners. Ties go to the least value.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    counts = (
-        df.select(F.explode(cells).alias("cell"))
-        .filter(F.col("cell.value").isNotNull())
-        .groupBy("cell.column", "cell.value")
-        .agg(F.count("*").alias("n"))
-    )
-    top = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("value").alias("value")))
-    return (
-        counts.groupBy("column")
-        .agg(F.sum("n").alias("count"), F.count("*").alias("unique"), top.alias("top"))
-        .select("column", "count", "unique", F.col("top.value").alias("top"), (-F.col("top.minus_n")).alias("freq"))
+    names = F.array(*[F.lit(c) for c in columns])
+
+    def hashed(*also: str) -> DataFrame:
+        values = df.select(F.posexplode(F.array(*[F.col(c).cast("string") for c in columns])).alias("c", "value")).where("value IS NOT NULL")
+        return values.select("c", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"), F.substring("value", 1, PREFIX).alias("head"), *also)
+
+    path = shared_dir(df.sparkSession, "value-counts")
+    keys = ["c", "h1", "h2", "head"]
+    hashed().groupBy(*keys).agg(F.count("*").alias("n")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    rank = F.min(F.struct((-F.col("n")).alias("minus_n"), "head")).alias("top")
+    totals = counts.groupBy("c").agg(F.sum("n").alias("count"), F.count("*").alias("unique"), rank)
+    # Of the most frequent values those with the least first letters: usually one a column, many if no value repeats.
+    best = totals.select(F.col("c").alias("of"), "top")
+    winners = counts.join(F.broadcast(best), (F.col("c") == F.col("of")) & (F.col("n") == -F.col("top.minus_n")) & (F.col("head") == F.col("top.head")))
+    winners = winners.select(*keys)
+    if winners.limit(LOOKED_UP + 1).count() <= LOOKED_UP:
+        winners = F.broadcast(winners)
+    top = hashed("value").join(winners, keys, "left_semi").groupBy("c").agg(F.min("value").alias("value"))
+    return totals.join(top, "c").select(
+        F.get(names, F.col("c")).alias("column"), "count", "unique", F.col("value").alias("top"), (-F.col("top.minus_n")).alias("freq")
     )
 
 

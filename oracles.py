@@ -362,6 +362,10 @@ FROM (SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events)""",
         "histograms_with_gaps": f"WITH {GAPPED}, {binned(FIELDS, 'g')} {histogram_rows(FIELDS)}",
         "rmse_eval": f"""WITH {READINGS} SELECT count(value) AS n, {r4("sqrt(avg(power(value - k, 2)))")} AS rmse,
   {r4("1 - sum(power(value - k, 2)) / (var_pop(value) * count(value))")} AS r2 FROM r""",
+        "sample_exact": """SELECT o_orderkey, o_custkey
+FROM (SELECT *, row_number() OVER (ORDER BY md5('3:' || o_orderkey)) AS i, count(*) OVER () AS n FROM orders) WHERE i <= floor(0.8 * n + 0.5)""",
+        "split_exact": """SELECT o_orderkey, CASE WHEN i <= floor(0.7 * n + 0.5) THEN 'train' ELSE 'test' END AS part
+FROM (SELECT *, row_number() OVER (ORDER BY md5('3:' || o_orderkey)) AS i, count(*) OVER () AS n FROM orders)""",
         "hash_split_counts": f"""SELECT CASE WHEN {key_fraction("o_orderkey", 7)} < 0.7 THEN 'train' ELSE 'test' END AS part,
   count(*) AS n, {r4("avg(o_totalprice)")} AS mean_price FROM orders GROUP BY 1""",
         "fold_counts": f"""SELECT {fold("o_orderkey", 5, 11)} AS fold, count(*) AS n, max(o_orderkey) AS max_key
@@ -391,6 +395,11 @@ UNION ALL SELECT 3 AS line, 'Else (l_quantity > ' || threshold || ')' AS rule FR
         "isotonic_fit": by_quantity(
             points("p", "l", "l_extendedprice") + ",\n" + isotonic("iso", "p"), "f", "JOIN iso ON x = l_quantity"
         ),
+        "isotonic_ranges": f"""WITH p AS (
+  SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS DOUBLE) AS x, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1
+), {isotonic("iso", "p")},
+f AS (SELECT round(f, 6) AS f, x, n FROM iso JOIN p USING (x))
+SELECT {r4("min(x)")} AS low, {r4("max(x)")} AS high, {r4("CAST(sum(n) AS DOUBLE)")} AS weight, {r4("f")} AS mean FROM f GROUP BY f""",
         "isotonic_decreasing": by_quantity(
             points("p", "l", "l_extendedprice") + ",\n" + isotonic("iso", "p", sign=-1), "f", "JOIN iso ON x = l_quantity"
         ),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gapcast.operators import quantiles
 from gapcast.plans.correlation import correlation_report
+from gapcast.operators import profile
 from gapcast.operators.binning import histograms, scatter_pairs
 from gapcast.operators.correlation import corr_with_label
 from gapcast.operators.profile import describe_all
@@ -222,3 +223,21 @@ def test_pairs_of_a_sample_are_fewer(mixed):
     part = scatter_pairs(df, ["x", "n"], ranges=ranges, fraction=0.5, seed=1).agg(F.sum("n")).first()[0]
     assert 0 < part < full
     assert not math.isnan(part)
+
+
+def test_text_profile_of_long_and_equally_frequent_values(spark, monkeypatch):
+    long = "x" * 100_000
+    rows = [(long + "b", "p"), (long + "a", "p"), (long + "b", None), (long + "a", "q"), (None, ""), ("z", "")]
+    df = spark.createDataFrame(rows, "t string, u string")
+    for limit in (10_000, 0):  # winners sent to all tasks, or joined by hash
+        monkeypatch.setattr(profile, "LOOKED_UP", limit)
+        found = {r["column"]: tuple(r)[1:] for r in profile.text_profile(df, ["t", "u"]).collect()}
+        assert found == {"t": (5, 3, long + "a", 2), "u": (5, 3, "", 2)}
+    every = spark.createDataFrame([(f"{long}{i}",) for i in range(30)], "t string")
+    assert tuple(profile.text_profile(every, ["t"]).first()) == ("t", 30, 30, f"{long}0", 1)
+
+
+def test_text_profile_shuffles_no_texts(spark):
+    df = spark.createDataFrame([("a" * 50,)], "t string")
+    plan = profile.text_profile(df, ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert all("value" not in line for line in plan.split("\n") if "Exchange hashpartitioning(c" in line and "head" in line)

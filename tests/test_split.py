@@ -1,6 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from gapcast.operators import split
 from gapcast.operators.split import hash_split, key_fraction, kfold, random_split, sample_fraction
 
 
@@ -63,3 +66,30 @@ def test_sample(keys):
     sample = sample_fraction(keys, 0.8, seed=1)
     assert abs(sample.count() / 20_000 - 0.8) < 0.02
     assert sample.exceptAll(keys).count() == 0
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_bottom_k_is_exact_and_independent_of_partitions(spark, monkeypatch, digits):
+    monkeypatch.setattr(split, "DIGITS", digits)
+    monkeypatch.setattr(split, "SORTED_ROWS", 20)
+    df = spark.range(3000).selectExpr("id", "id % 7 AS v")
+    marks = sorted((hashlib.md5(f"5:{i}".encode()).hexdigest(), i) for i in range(3000))
+    for k in (0, 1, 17, 1500, 2999, 3000, 4000):
+        expected = {i for _, i in marks[:k]}
+        for parts in (1, 7):
+            taken, rest = split.bottom_k(df.repartition(parts), k, "id", seed=5)
+            assert {r["id"] for r in taken.collect()} == expected and {r["id"] for r in rest.collect()} == set(range(3000)) - expected
+            assert taken.columns == rest.columns == df.columns
+
+
+def test_bottom_k_with_repeated_keys_rows_and_nulls(spark):
+    rows = [(1, i) for i in range(50)] + [(2, 0)] * 30 + [(None, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "key long, v long")
+    for k in (1, 10, 49, 50, 60, 99):
+        taken, rest = split.bottom_k(df, k, "key")
+        assert taken.count() == k and sorted(map(str, taken.union(rest).collect())) == sorted(map(str, df.collect()))
+        again, _ = split.bottom_k(df.repartition(5), k, "key")
+        assert sorted(map(str, again.collect())) == sorted(map(str, taken.collect()))
+    assert split.sample_exact(df, 0.255).count() == 26 and split.sample_exact(df.limit(0)).count() == 0
+    train, test = split.split_exact(df, 0.7, "key")
+    assert (train.count(), test.count()) == (70, 30)
