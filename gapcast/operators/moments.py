@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from gapcast.operators.quantiles import number
 
-# Each task sends a Gram matrix per fold: small up to about this many columns.
-MAX_COLUMNS = 64
+# A task holds a Gram matrix per fold, eight megabytes at this many columns; so does the driver in the end.
+MAX_COLUMNS = 1024
+# Columns of a tile: what is sent and added is the part of a matrix that two blocks of columns make.
+TILE = 64
 
 
 @dataclass(frozen=True)
@@ -41,74 +43,98 @@ class Moments:
         )
 
 
-def _partial_grams(width: int):
-    """Per task and fold: sums of products of (1, shifted columns)."""
-    upper = np.triu_indices(width + 1)
+def _tiles(width: int) -> list[tuple[int, int]]:
+    """Pairs of column blocks on and above the diagonal."""
+    starts = range(0, width, TILE)
+    return [(a, b) for a in starts for b in starts if a <= b]
+
+
+def _matrix(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+
+
+def _partial_grams(mean: np.ndarray):
+    """Per task and fold: sums of products of (1, columns less their means), in tiles."""
+    width = len(mean)
+    tiles = _tiles(width + 1)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[int, np.ndarray] = {}
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.column_stack(
-                [np.ones(len(key))] + [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-            )
+            rows = np.column_stack([np.ones(len(key)), _matrix(batch, 1, width) - mean])
             for k in np.unique(key):
                 part = rows[key == k]
                 grams[int(k)] = grams.get(int(k), 0.0) + part.T @ part
-        if grams:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array(list(grams), pa.int32()),
-                    "gram": pa.array([g[upper] for g in grams.values()], pa.list_(pa.float64())),
-                }
-            )
+        for k, gram in grams.items():
+            cells = [gram[a : a + TILE, b : b + TILE].ravel() for a, b in tiles]
+            columns = [pa.array([k] * len(tiles), pa.int32()), pa.array(range(len(tiles)), pa.int32()), pa.array(cells, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "tile", "cells"])
 
     return gather
 
 
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tiles that an exchange brought together, one row per fold and tile."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for key, tile, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            values = cells.values.to_numpy()
+            sums[key, tile] = sums[key, tile] + values if (key, tile) in sums else values.copy()
+    columns = [pa.array([k for k, _ in sums], pa.int32()), pa.array([t for _, t in sums], pa.int32())]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.list_(pa.float64()))], ["key", "tile", "cells"])
+
+
+def _means(values: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, and per column the number of values and their mean."""
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known, total = 0, np.zeros(width, np.int64), np.zeros(width)
+        for batch in batches:
+            x = _matrix(batch, 0, width)
+            rows += len(x)
+            known += (~np.isnan(x)).sum(axis=0)
+            total += np.nansum(x, axis=0)
+        columns = [pa.array(range(width), pa.int32()), pa.array([rows] * width, pa.int64()), pa.array(known), pa.array(total)]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "rows", "known", "total"])
+
+    parts = values.mapInArrow(gather, "i int, rows long, known long, total double").groupBy("i")
+    found = parts.agg(*[F.sum(c).alias(c) for c in ("rows", "known", "total")]).orderBy("i").collect()  # a row per column
+    known = np.array([r["known"] for r in found] or [0] * width)
+    return (found[0]["rows"] if found else 0), known, np.array([r["total"] for r in found] or [0.0] * width) / np.maximum(known, 1)
+
+
 def collect_moments(df: DataFrame, columns: Sequence[str], by: str | None = None) -> dict[int, Moments]:
     """Moments of ``columns`` per value of the integer column ``by`` (else key 0).
 
-    A first aggregate finds the means, which the second scan subtracts: the
-    sums of products then lose no digits to large means. Each task sends one
-    small array per key; the sums are finished by a Spark aggregate.
+    Two scans. The first finds the means, which the second subtracts: the sums of
+    products then lose no digits to large means. Each task sends the tiles of one
+    matrix per key; a tile is added up in one place, whatever the number of tasks.
     """
     if len(columns) > MAX_COLUMNS:
         raise ValueError(f"{len(columns)} columns: fit on the rows instead (method='rows')")
-    types = dict(df.dtypes)
-    values = [number(c, types[c]) for c in columns]
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
-        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)],
-    ).first()
-    short = [c for i, c in enumerate(columns) if row[f"n{i}"] < row["n"]]
-    if short:
+    types, width = dict(df.dtypes), len(columns)
+    values = df.select(
+        (F.lit(0) if by is None else F.col(by)).cast("int").alias("key"), F.array(*[number(c, types[c]) for c in columns]).alias("x")
+    )
+    n, known, mean = _means(values.select("x"), width)
+    if short := [c for c, k in zip(columns, known) if k < n]:
         raise ValueError(f"null or NaN values in {short}")
-    if row["n"] == 0:
+    if n == 0:
         return {}
-    shift = [row[f"m{i}"] for i in range(len(columns))]
-
-    key = F.lit(0) if by is None else F.col(by)
-    shifted = df.select(key.cast("int").alias("key"), *[(v - m).alias(f"x{i}") for i, (v, m) in enumerate(zip(values, shift))])
-    sums = (
-        shifted.mapInArrow(_partial_grams(len(columns)), "key int, gram array<double>")
-        .select("key", F.posexplode("gram").alias("cell", "v"))
-        .groupBy("key", "cell")
-        .agg(F.sum("v").alias("v"))
-        .collect()  # keys x columns^2 / 2 numbers
-    )
-    width = len(columns) + 1
-    upper = np.triu_indices(width)
-    grams: dict[int, np.ndarray] = {}
+    parts = values.mapInArrow(_partial_grams(mean), "key int, tile int, cells array<double>")
+    sums = parts.repartition("key", "tile").mapInArrow(_added, "key int, tile int, cells array<double>").collect()  # keys x columns^2 / 2 numbers
+    tiles, grams = _tiles(width + 1), {}
     for r in sums:
-        g = grams.setdefault(r["key"], np.zeros((width, width)))
-        i, j = upper[0][r["cell"]], upper[1][r["cell"]]
-        g[i, j] = g[j, i] = r["v"]
+        g = grams.setdefault(r["key"], np.zeros((width + 1, width + 1)))
+        a, b = tiles[r["tile"]]
+        block = g[a : a + TILE, b : b + TILE]
+        block[:] = np.reshape(r["cells"], block.shape)
     result = {}
     for k, g in sorted(grams.items()):
-        n, offset = g[0, 0], g[0, 1:] / g[0, 0]
-        result[k] = Moments(n, np.array(shift) + offset, g[1:, 1:] - n * np.outer(offset, offset))
+        g = np.triu(g) + np.triu(g, 1).T
+        count, offset = g[0, 0], g[0, 1:] / g[0, 0]
+        result[k] = Moments(count, mean + offset, g[1:, 1:] - count * np.outer(offset, offset))
     return result
 
 

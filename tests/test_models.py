@@ -235,6 +235,29 @@ def test_rows_with_empty_features_raise_or_are_skipped(spark, rows):
     assert np.allclose(a.coefficients, fit_model("linear", rows, FEATURES, "y").model.coefficients)
 
 
+def test_five_hundred_columns_in_tiles(spark):
+    """Moments and a grid on many columns, against numpy and a fit on the rows."""
+    rng = np.random.default_rng(8)
+    width, n = 500, 1500
+    x = rng.normal(rng.uniform(-50, 50, width), rng.uniform(0.1, 9, width), (n, width))
+    y = x @ rng.normal(size=width) + rng.normal(size=n)
+    columns = [f"c{i}" for i in range(width)]
+    wide = spark.createDataFrame([(i % 2, row.tolist(), float(v)) for i, (row, v) in enumerate(zip(x, y))], "fold int, x array<double>, y double")
+    df = wide.select("fold", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(columns)]).repartition(5).persist()
+    moments = collect_moments(df, [*columns, "y"], by="fold")
+    both = np.column_stack([x, y])
+    for fold in (0, 1):
+        own = both[fold::2]
+        assert moments[fold].n == len(own) and np.allclose(moments[fold].mean, own.mean(axis=0))
+        assert np.allclose(moments[fold].scatter, np.cov(own.T) * (len(own) - 1), rtol=1e-8, atol=1e-6)
+    fitted = fit_linear(df, columns, "y", {"regParam": 0.0}, method="moments")
+    expected = np.linalg.lstsq(np.column_stack([x, np.ones(n)]), y, rcond=None)[0]
+    assert np.allclose(fitted.model.coefficients.toArray(), expected[:-1], atol=1e-6)
+    found = cross_validate("linear", df, columns, "y", {"regParam": [0.0, 0.1]}, 2, fold_col="fold")
+    assert found.best.params == {"regParam": 0.0} and 1.0 < found.mean_rmse[0] < 4.0
+    df.unpersist()
+
+
 # ------------------------------------------------------------------ tuning
 
 GRIDS = {
