@@ -300,9 +300,11 @@ def near_duplicate_vectors(
     limit = F.lit(float("inf"))
     usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("vector", lambda x: x != 0)
     marked = stage(source.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
-    good = marked.where("usable")
-    classes = good.groupBy("vector").agg(F.count("*").alias("many"), F.min("id").alias("first"))
-    classes = stage(classes.withColumn("class_id", F.xxhash64("vector")), "vector-classes")
+    hashes = {"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")}
+    good = marked.where("usable").withColumns(hashes)
+    classes = good.groupBy("vector", "h1", "h2").agg(F.count("*").alias("many"), F.min("id").alias("first"))
+    # Numbers that are given once, when the classes are written: two vectors never share one.
+    classes = stage(classes.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
     counts, edges = class_links(classes, cosine, leading)
     found = connected_components(edges).select(F.col("node").alias("class_id"), "component")
     known = (
@@ -310,6 +312,8 @@ def near_duplicate_vectors(
         .join(found, "class_id", "left")
         .select(
             "class_id",
+            "h1",
+            "h2",
             "first",
             (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
             F.coalesce("component", "class_id").alias("component"),
@@ -317,9 +321,9 @@ def near_duplicate_vectors(
     )
     known = stage(known, "class-components")
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = stage(known.join(least, "component").select("class_id", "n_links", "component_id"), "class-results")
+    known = stage(known.join(least, "component").select("h1", "h2", "n_links", "component_id"), "class-results")
     # Both sides come from files: a vector with a third of all rows is split by adaptive execution.
-    linked = good.withColumn("class_id", F.xxhash64("vector")).join(known, "class_id").select("id", "n_links", "component_id")
+    linked = good.join(known, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = marked.where("NOT usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col),
