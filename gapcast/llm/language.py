@@ -24,6 +24,8 @@ COLUMNS = 4096
 SMALL_ALPHABET = 100
 # Bundles of unit length are added up as whole numbers, so no order of tasks changes a prototype.
 UNIT = float(1 << 24)
+# Texts bundled at a time at most.
+TEXTS = 2048
 
 
 class Hypervectors:
@@ -75,6 +77,9 @@ class Hypervectors:
 
     def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bundled trigrams of every text, and whether it has a letter at all."""
+        if len(texts) > TEXTS:  # a bounded number of texts at a time, too, however short they are
+            parts = [self.bundles(texts[i : i + TEXTS]) for i in range(0, len(texts), TEXTS)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         parts = [self.points(t or "") for t in texts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         points = np.concatenate(parts)

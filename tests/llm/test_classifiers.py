@@ -1,7 +1,11 @@
+import math
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gapcast.llm import language, quality, toxicity
@@ -120,3 +124,77 @@ def test_bundles_equal_the_definition():
     expected = sum(space.gram(tuple(letters[i : i + 3])) for i in range(len(letters) - 2))
     found, lettered = space.bundles([text, None, "..", "x"])
     assert (found[0] == expected).all() and lettered.tolist() == [True, False, False, True] and not found[1:3].any()
+
+
+def plain_features(text, bits):
+    """Words, their stems and pairs with gaps of one and two, one by one, in whole numbers."""
+    mask, out = (1 << 64) - 1, []
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    codes = [xxhash.xxh64_intdigest(w) for w in words]
+    out += codes
+    for n in (4, 5):
+        out += [xxhash.xxh64_intdigest(w.decode("utf-8", "replace")[:n].encode(), n) for w in words]
+    for gap in (1, 2):
+        for a, b in zip(codes, codes[gap:]):
+            mixed = (a * 0x9E3779B97F4A7C15 + b * (2 * gap + 1)) & mask
+            out.append((mixed ^ (mixed >> 31)) * 0xBF58476D1CE4E5B9 & mask)
+    return sorted(h >> (64 - bits) for h in out)
+
+
+def test_toxicity_features_equal_the_definition():
+    texts = [None, "", "One", "a b c d", "Naïve ÉTÉ 12x, the the the", "x" * 5000, "word " * 400]
+    doc, gram = toxicity.features(texts, toxicity._Hashes(), 20)
+    for i, text in enumerate(texts):
+        assert sorted(gram[doc == i].tolist()) == plain_features(text, 20)
+
+
+def test_ftrl_equals_the_plain_update_weight_by_weight():
+    """The published per-coordinate update, one coordinate at a time."""
+    rng = random.Random(4)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.8, 0.05
+    ftrl = toxicity.Ftrl(6, alpha, beta, l1, l2)
+    z, n, bias = [0.0] * 65, [0.0] * 65, 64
+
+    def weight(i):
+        penalty = 0.0 if i == bias else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        return -(z[i] - math.copysign(penalty, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(300):
+        at = sorted(rng.sample(range(64), rng.randint(0, 9)))
+        label = float(3 in at or rng.random() < 0.1)
+        ftrl.learn(np.array(at, np.int64), label)
+        own = {i: weight(i) for i in [*at, bias]}
+        g = 1 / (1 + math.exp(-sum(own.values()))) - label
+        for i, w in own.items():
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i], n[i] = z[i] + g - sigma * w, n[i] + g * g
+    model = ftrl.model()
+    expected = {i: weight(i) for i in range(64) if weight(i)}
+    assert dict(zip(model.places.tolist(), model.weights.tolist())) == pytest.approx(expected)
+    assert model.intercept == pytest.approx(weight(bias)) and 0 < len(expected) < 64
+
+
+def test_toxicity_scores_equal_the_sum_of_distinct_features(make_docs):
+    rng = np.random.default_rng(2)
+    places = np.sort(rng.choice(1 << 10, 300, replace=False))
+    model = toxicity.ToxicityModel(places, rng.normal(size=300), -0.3, 10)
+    texts = ["a b a b", "other words here", None, "", "z " * 3000]
+    known = dict(zip(places.tolist(), model.weights.tolist()))
+    for row in toxicity.score_toxicity(make_docs(list(enumerate(texts))), model).collect():
+        total = model.intercept + sum(known.get(f, 0.0) for f in set(plain_features(texts[row["doc_id"]], 10)))
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_bundles_of_many_short_texts_stay_small():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=60)) for _ in range(4000)]
+    space = language.Hypervectors(64, 1)
+    tracemalloc.start()
+    found, lettered = space.bundles(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and lettered.all()
+    some = [0, 2047, 2048, 3999]
+    assert (np.concatenate([language.Hypervectors(64, 1).bundles([texts[i]])[0] for i in some]) == found[some]).all()
