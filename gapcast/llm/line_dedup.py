@@ -16,12 +16,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapcast.llm.tables import lower_ascii, partitions, stage
 from gapcast.scratch import shared_dir
 
 BLANK = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+# Ids that the cuts between batches are taken from, where ids are no numbers.
+SAMPLED_IDS = 2_000
 
 
 def line_key(line: Column) -> Column:
@@ -110,6 +113,17 @@ def _keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bo
     )
 
 
+def _bounds(docs: DataFrame, id_col: str, batches: int) -> list:
+    """Ids that cut the documents into batches of about the same size."""
+    if isinstance(docs.schema[id_col].dataType, T.NumericType):
+        shares = [i / batches for i in range(batches - 1, 0, -1)]
+        return docs.agg(F.percentile_approx(id_col, shares, 10_000)).first()[0] or []
+    # Texts and dates have no percentiles: those of the ids with the least hashes stand for all.
+    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLED_IDS)
+    some = sorted(r["id"] for r in ids.collect())
+    return [some[len(some) * i // batches] for i in range(batches - 1, 0, -1)] if some else []
+
+
 def repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -126,8 +140,7 @@ def repeated_lines(
     the runs already hold only add to the count of their key.
     """
     spark = docs.sparkSession
-    shares = [i / batches for i in range(batches - 1, 0, -1)]
-    bounds = docs.agg(F.percentile_approx(id_col, shares, 10_000)).first()[0] or []
+    bounds = _bounds(docs, id_col, batches)
     lines = _keyed_lines(docs, id_col, text_col, min_chars, sorted(set(bounds), reverse=True))
     path = shared_dir(spark, "line-keys")
     lines.write.partitionBy("batch").parquet(path)
@@ -157,7 +170,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id that holds it; that one keeps all its copies. Other columns stay,
     but for older ones named n_lines and n_dropped, which are replaced.
 
-    Null or empty text is one empty line and becomes the empty text. Rows without
+    Ids may be of any type that has an order. Null or empty text is one empty line and becomes the empty text. Rows without
     an id count as no document and keep all lines. Repeated rows of one id are one
     document; each keeps or loses the same lines. An empty table gives an empty
     table.

@@ -75,3 +75,15 @@ def test_runs_are_disjoint_and_compacted(spark):
 def test_digest_of_the_query(spark, make_docs):
     row = dedup_lines(make_docs([(1, "é\n")])).select(F.sha2("text", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256("é\n".encode()).hexdigest()
+
+
+def test_text_ids(make_docs):
+    """Ids that are texts, in their own order, give what the same documents numbered in that order give."""
+    rng = random.Random(7)
+    lines = [f"a line that is long enough number {i}" for i in range(12)]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 6)) + [f"own {i}"])) for i in range(60)] + [(None, lines[0])]
+    named = [(f"d{i:03d}é" if i is not None else None, t) for i, t in rows]
+    by_number = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(rows)).collect()}
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(named, "doc_id string, text string")).collect()}
+    assert found == {(f"d{i:03d}é" if i is not None else None): t for i, t in by_number.items()}
+    assert dedup_lines(make_docs([], "doc_id string, text string")).count() == 0
