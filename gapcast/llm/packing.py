@@ -4,8 +4,10 @@ The packing is planned on the histogram of piece lengths, which has at most as
 many rows as a sequence has tokens. A configuration linear program (how often to
 use each way to fill a sequence) is solved by multiplicative weights: lengths not
 yet covered weigh more, and a knapsack dynamic program over the sequence finds
-the filling of most weight. Fractions are rounded down, and what is left is
-packed best fit, longest first, in bulk. Pieces then take the planned places by
+the filling of most weight. Neighbouring lengths form groups of equal token mass, so
+that the program has a few hundred rows for any data; true lengths then take the
+places of their groups. Uses are rounded down, what is left is solved again, and the
+last few per cent are packed best fit, longest first, in bulk. Pieces then take the planned places by
 their rank among the pieces of their length.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -126,18 +129,23 @@ class Filling:
 
 
 def best_filling(values: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack over the capacity: the multiset of lengths of most value. ``values[l]`` is the worth of length l."""
+    """Knapsack over the capacity: the multiset of lengths of most value. ``values[l]`` is the worth of length l.
+
+    No length is below the shortest, so that many capacities are settled at a time.
+    """
     lengths = np.flatnonzero(values)
-    worth, best, last = values[lengths], np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], 0
-        k = fits[c]
-        if k:
-            reach = best[c - lengths[:k]] + worth[:k]
-            i = int(reach.argmax())
-            if reach[i] > best[c]:
-                best[c], last[c] = reach[i], lengths[i]
+    block, worth = int(lengths[0]), values[lengths]
+    pad = int(lengths[-1])  # capacities below zero, worth nothing at all
+    best, last = np.full(pad + capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    best[pad : pad + block] = 0.0
+    for start in range(block, capacity + 1, block):
+        rows = np.arange(start, min(start + block, capacity + 1))
+        reach = best[pad + rows[:, None] - lengths] + worth
+        which = reach.argmax(axis=1)
+        most = reach[np.arange(len(rows)), which]
+        upto = np.maximum.accumulate(np.append(best[pad + start - 1], most))
+        best[pad + rows] = upto[1:]
+        last[rows] = np.where(most > upto[:-1], lengths[which], 0)
     chosen: dict[int, int] = {}
     c = capacity
     while c > 0:
@@ -149,55 +157,159 @@ def best_filling(values: np.ndarray, capacity: int) -> dict[int, int]:
     return chosen
 
 
-def fractional_fillings(counts: np.ndarray, capacity: int, rounds: int, heat: float = 2.0) -> list[tuple[dict[int, int], float]]:
-    """Fillings with their fractional use, by multiplicative weights; the fullest first.
-
-    A round raises the use of the filling that is worth most by half of what its
-    scarcest length allows. A length is worth exp(-heat x covered share), times a
-    little more than its tokens: long pieces are the hard ones to place.
+@dataclass
+class Groups:
+    """Neighbouring lengths that the linear program takes for one: ``size`` stands for the lengths of ``low`` to ``high``."""
+
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    pieces: np.ndarray
+
+
+def length_groups(counts: np.ndarray, shortest: int, groups: int) -> Groups:
+    """At most ``groups`` (and a few) runs of lengths of about equal token mass, each standing at its mean length."""
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths >= shortest]
+    mass = np.cumsum(lengths * counts[lengths])
+    run = (mass - lengths * counts[lengths]) * groups // max(int(mass[-1]), 1) if len(mass) else mass
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    pieces = np.add.reduceat(counts[lengths], first) if len(first) else mass
+    mean = np.add.reduceat(lengths * counts[lengths], first) / pieces if len(first) else mass
+    ends = np.append(first[1:], len(lengths)) - 1
+    return Groups(np.rint(mean).astype(np.int64), lengths[first], lengths[ends], pieces)
+
+
+def fractional_fillings(
+    sizes: np.ndarray, pieces: np.ndarray, capacity: int, power: float = 1.5, heat: float = 2.0, stride: float = 0.25
+) -> list[tuple[dict[int, int], float]]:
+    """Fillings with their fractional use that cover all ``pieces`` of the distinct ``sizes``; the fullest first.
+
+    Multiplicative weights: a round raises the use of the filling that is worth most
+    by ``stride`` of what its scarcest size allows, or by what that size still lacks.
+    A size is worth exp(-heat x covered share), times a power of its tokens above one:
+    long pieces are the hard ones to place. Every round covers one size by a further
+    ``stride`` or in full, so (1 / stride + 1) rounds a size cover everything.
     """
-    covered, size = np.zeros(len(counts)), np.arange(len(counts), dtype=np.float64)
+    counts = np.zeros(capacity + 1)
+    counts[sizes] = pieces
+    covered, value = np.zeros(capacity + 1), np.arange(capacity + 1.0) ** power
     used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        open_ = (counts > 0) & (covered < counts)
-        if not open_.any():
-            break
-        values = np.zeros(len(counts))
-        values[open_] = np.exp(-heat * covered[open_] / counts[open_]) * size[open_] ** 1.1
+    open_ = counts > 0
+    while open_.any():
+        values = np.zeros(capacity + 1)
+        values[open_] = np.exp(-heat * covered[open_] / counts[open_]) * value[open_]
         filling = best_filling(values, capacity)
-        step = max(1.0, 0.5 * min(counts[n] / m for n, m in filling.items()))
+        step, scarce = min((min(stride * counts[n], counts[n] - covered[n]) / m, n) for n, m in filling.items())
         key = tuple(sorted(filling.items(), reverse=True))
         used[key] = used.get(key, 0.0) + step
         for n, m in filling.items():
             covered[n] += step * m
+        if covered[scarce] >= counts[scarce] * (1 - 1e-9):
+            covered[scarce], open_[scarce] = counts[scarce], False
     fullest = sorted(used.items(), key=lambda f: (-sum(n * m for n, m in f[0]), f[0]))
     return [(dict(k), x) for k, x in fullest]
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 200) -> list[Filling]:
-    """Fillings that hold every piece of the histogram ``counts`` (by length) exactly once.
+def _nearest(there: np.ndarray, target: int) -> int:
+    """The number nearest to a target, or 0 if there is none."""
+    return int(there[np.abs(there - target).argmin()]) if len(there) else 0
 
-    Uses are rounded down, for all fillings that waste no more than a share of the
-    sequence; best fit packs the rest. The share with the fewest sequences wins, and
-    one of the candidates is best fit alone.
+
+def _last_two(left: np.ndarray, space: int, waste: int, target: int) -> tuple[int, int] | None:
+    """Two lengths left that fill a space, but for ``waste`` at most; the first near a target."""
+    for total in range(space, max(space - waste, 2) - 1, -1):
+        both = (left[1:total] > 0) & (left[total - 1 : 0 : -1] > 0)
+        if total % 2 == 0 and left[total // 2] < 2:
+            both[total // 2 - 1] = False
+        if first := _nearest(np.flatnonzero(both) + 1, target):
+            return first, total - first
+    return None
+
+
+def _placed(filling: dict[int, int], copies: int, group: dict[int, tuple[int, int]], left: np.ndarray, waste: int) -> list[Filling]:
+    """Sequences that follow a filling, with true lengths taken out of ``left``.
+
+    Every place takes a length of its group, so chosen that the sequence keeps to the
+    filling's sizes, or the nearest one if the group is used up; the last two take the
+    lengths near theirs that fill the space best. As many copies are made at a time as
+    the scarcest length allows, so a length is used up or the filling done. Sequences
+    that would leave more than ``waste`` are not made.
     """
-    fillings = fractional_fillings(counts, capacity, rounds)
-    plans = [_rounded(fillings, counts, capacity, waste) for waste in (0.0, 0.005, 0.05)]
-    plans.append(_rounded([], counts, capacity, 0.0))
-    return min(plans, key=lambda p: sum(f.copies for f in p))
+    capacity = len(left) - 1
+    order = [n for n, m in sorted(filling.items(), reverse=True) for _ in range(m)]
+    done: list[Filling] = []
+    while copies:
+        taken: list[int] = []
+        ahead = 0
+        for n in order[:-2]:
+            low, high = group[n]
+            own = np.flatnonzero(left[low : high + 1]) + low
+            length = _nearest(own if len(own) else np.flatnonzero(left), n - ahead)
+            taken.append(length)
+            left[length] -= 1
+            ahead += length - n
+        space = capacity - sum(taken)
+        if len(order) == 1:
+            ends = np.flatnonzero(left[capacity - waste :]) + capacity - waste
+            last = (int(ends[-1]),) if len(ends) else None
+        else:
+            last = _last_two(left, space, waste, order[-2] - ahead) if all(taken) else None
+        for n in taken:
+            left[n] += 1
+        if last is None:
+            break
+        parts = Counter([*taken, *last])
+        many = min([copies, *(int(left[n]) // m for n, m in parts.items())])
+        for n, m in parts.items():
+            left[n] -= many * m
+        done.append(Filling(sorted(parts.items(), reverse=True), many, space - sum(last)))
+        copies -= many
+    return done
+
 
+def linear_plan(counts: np.ndarray, capacity: int, groups: int, power: float = 1.5, waste: float = 0.01, passes: int = 6) -> tuple[list[Filling], np.ndarray]:
+    """What the linear program packs, and the pieces left by length.
 
-def _rounded(fillings: list, counts: np.ndarray, capacity: int, waste: float) -> list[Filling]:
+    Uses of fillings are rounded down. What that leaves over is a smaller histogram:
+    it is solved again, with fewer groups, so that the part lost to rounding shrinks.
+    Pieces of less than a 64th of the capacity are left to fill gaps.
+    """
     left = counts.astype(np.int64).copy()
     done: list[Filling] = []
-    for filling, use in fillings:
-        space = capacity - sum(n * m for n, m in filling.items())
-        copies = min([int(use), *(int(left[n]) // m for n, m in filling.items())])  # never beyond what is left
-        if copies and space <= waste * capacity:
-            for n, m in filling.items():
-                left[n] -= copies * m
-            done.append(Filling(sorted(filling.items(), reverse=True), copies, space))
-    return _best_fit(left, capacity, done)
+    shortest, size = max(1, capacity // 64), np.arange(len(counts))
+    for _ in range(passes):
+        tokens = int((left * size)[shortest:].sum())
+        few = min(groups, tokens // capacity // 2)  # fillings enough that most are used more than once
+        if few < 1:
+            break
+        g = length_groups(left, shortest, few)
+        bounds = {int(n): (int(a), int(b)) for n, a, b in zip(g.size, g.low, g.high)}
+        before = len(done)
+        for filling, use in fractional_fillings(g.size, g.pieces, capacity, power):
+            if copies := int(use + 1e-6):
+                done += _placed(filling, copies, bounds, left, int(waste * capacity))
+        if len(done) == before:
+            break
+    return done, left
+
+
+def plan(counts: np.ndarray, capacity: int, groups: int = 200) -> list[Filling]:
+    """Fillings that hold every piece of the histogram ``counts`` (by length) exactly once.
+
+    The linear program's sequences that waste no more than a share stay, and best fit
+    packs the rest. The share with the fewest sequences wins. With 0 groups all is
+    packed best fit.
+    """
+    made, rest = linear_plan(counts, capacity, groups)
+    plans = []
+    for waste in (capacity // 100, capacity // 1000, 0):
+        left = rest.copy()
+        for f in made:
+            for n, m in f.parts if f.space > waste else ():
+                left[n] += m * f.copies
+        plans.append(_best_fit(left, capacity, [f for f in made if f.space <= waste]))
+    return min(plans, key=lambda p: sum(f.copies for f in p))
 
 
 def _best_fit(left: np.ndarray, capacity: int, opened: list[Filling]) -> list[Filling]:
@@ -276,7 +388,7 @@ def pack_documents(
     text_col: str = "text",
     length: int = 4096,
     tokenizer_path: str = TOKENIZER,
-    rounds: int = 200,
+    groups: int = 200,
     keep_ids: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]), one row per piece.
@@ -294,7 +406,7 @@ def pack_documents(
     counts = np.zeros(length + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``length`` rows
         counts[row["length"]] = row["n"]
-    table = places(plan(counts, length, rounds))
+    table = places(plan(counts, length, groups))
     shared = docs.sparkSession.sparkContext.broadcast(table)
     ranked = _ranked(pieces)
     schema = ranked.schema.names

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from gapcast.llm.packing import TOKENIZER, best_filling, pack_documents, plan, word_ids
+from gapcast.llm.packing import TOKENIZER, best_filling, fractional_fillings, linear_plan, pack_documents, plan, word_ids
 
 CHARACTERS = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x180), 9, 10, 13])) + "'stredmvl  " * 8
 
@@ -75,3 +75,35 @@ def test_knapsack_is_exact():
     chosen = best_filling(values, 30)
     assert sum(n * m for n, m in chosen.items()) <= 30
     assert sum(values[n] * m for n, m in chosen.items()) == pytest.approx(best[30])
+
+
+def test_uses_cover_every_size():
+    rng = np.random.default_rng(9)
+    sizes = np.unique(rng.integers(20, 500, 60))
+    pieces = rng.integers(1, 200, len(sizes))
+    fillings = fractional_fillings(sizes, pieces, 1000)
+    covered = {n: sum(f.get(n, 0) * use for f, use in fillings) for n in sizes.tolist()}
+    assert [covered[n] for n in sizes.tolist()] == pytest.approx(pieces.tolist())
+    assert all(sum(n * m for n, m in f.items()) <= 1000 for f, _ in fillings)
+    used, bound = sum(use for _, use in fillings), (sizes * pieces).sum() / 1000
+    assert bound <= used <= 1.02 * bound
+    assert fractional_fillings(sizes[:0], pieces[:0], 1000) == []
+
+
+@pytest.mark.parametrize("many", [10_000, 3_000_000])
+def test_the_program_decides(many):
+    """At least nine tokens in ten lie where the linear program puts them, in hardly more sequences than the tokens fill."""
+    rng = np.random.default_rng(4)
+    sizes = np.minimum(4096, np.exp(rng.normal(6.3, 1.0, many)).astype(int) + 2)
+    counts = np.bincount(sizes, minlength=4097)
+    _, left = linear_plan(counts, 4096, 200)
+    size = np.arange(4097)
+    assert (left * size).sum() <= 0.1 * sizes.sum()
+    fillings = plan(counts, 4096)
+    back = np.zeros_like(counts)
+    for f in fillings:
+        for n, m in f.parts:
+            back[n] += m * f.copies
+    assert (back == counts).all()
+    assert sum(f.copies for f in fillings) <= -(-sizes.sum() // 4096) * 1.002 + 1
+    assert len(fillings) <= 30_000
