@@ -155,6 +155,57 @@ def test_many_columns_and_bins_do_not_overflow(spark):
     assert found.select("x", "y").distinct().count() == 190
 
 
+def wide_table(spark):
+    """60,000 rows: a hot value, ties, infinities, missing values, few values and one value."""
+    x = F.col("id").cast("double")
+    return spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.sin(x) * F.exp(x / 3000)).alias("hot"),
+        F.when(F.col("id") % 50 == 0, float("inf")).when(F.col("id") % 50 == 1, float("-inf")).otherwise(F.cos(x)).alias("infinite"),
+        F.when(F.col("id") % 4 == 0, F.lit(float("nan"))).when(F.col("id") % 4 == 1, None).otherwise(F.cbrt(x)).alias("missing"),
+        (F.col("id") % 3).cast("int").alias("few"),
+        F.lit(2.5).alias("one"),
+        F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 40, x).alias("short"),
+    )
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_sketched_brackets_keep_quantiles_exact(spark, monkeypatch, broken):
+    df = wide_table(spark)
+    sketch = quantiles._sketch
+
+    def wrong(*args):  # brackets that hold none of the ranks
+        ranges, brackets = sketch(*args)
+        return ranges, {c: [(-1e300, -1e299) for _ in b[:1]] for c, b in brackets.items()}
+
+    if broken:
+        monkeypatch.setattr(quantiles, "_sketch", wrong)
+    probabilities = (0.0, 0.25, 0.5, 0.7501, 1.0)
+    found = exact_quantiles(df, df.columns, probabilities)
+    assert found == exact_quantiles(df, df.columns, probabilities, ranges=column_ranges(df, df.columns))
+    rows = df.toPandas()
+    for c in df.columns:
+        values = np.sort(rows[c].dropna().to_numpy(float))
+        if not len(values):
+            assert found[c] == [None] * 5
+            continue
+        for p, q in zip(probabilities, found[c]):
+            at = (len(values) - 1) * p
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            assert q == pytest.approx(low if low == high else low + (at - np.floor(at)) * (high - low), rel=1e-9)
+
+
+def test_few_rounds_after_the_sketch(spark, monkeypatch):
+    rounds, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *args: rounds.append(1) or narrow(*args))
+    df = spark.range(200_000).select(F.sin(F.col("id").cast("double")).alias("v"), (F.exp(F.rand(3) * 9)).alias("w"))
+    found = exact_quantiles(df, ["v", "w"])
+    rows = df.toPandas()
+    assert len(rounds) <= 2
+    assert found["v"] == pytest.approx(np.quantile(rows["v"], [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+    assert found["w"] == pytest.approx(np.quantile(rows["w"], [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+
+
 def test_approximate_quantiles_are_close(spark):
     df = spark.range(10_000).select(F.col("id").cast("double").alias("v"))
     for q, p in zip(approx_quantiles(df, ["v"])["v"], (0.25, 0.5, 0.75)):
