@@ -10,10 +10,12 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -667,8 +669,19 @@ def regression_run(spark, sf_dir):
 # --------------------------------------------------------------- imputation
 
 
+@contextmanager
+def _parsed_once(routed_df: DataFrame, fields: list[str]):
+    """Fields of the complete readings, kept while a fit scans them twice: the messages are parsed in the first scan."""
+    complete = complete_readings(routed_df).select(*fields).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield complete
+    finally:
+        complete.unpersist()
+
+
 def _value_model(routed_df: DataFrame) -> FittedModel:
-    return fit_model("linear", complete_readings(routed_df), ["user_id", "k"], "value")
+    with _parsed_once(routed_df, ["user_id", "k", "value"]) as complete:
+        return fit_model("linear", complete, ["user_id", "k"], "value")
 
 
 def predict_missing(spark, sf_dir):
@@ -689,8 +702,8 @@ LABEL_FEATURES = {"value": ["user_id", "k"], "k": ["value", "user_id"], "user_id
 
 
 def _field_models(routed_df: DataFrame) -> dict[str, list[FittedModel]]:
-    complete = complete_readings(routed_df)
-    return {label: [fit_model("linear", complete, fs, label)] for label, fs in LABEL_FEATURES.items()}
+    with _parsed_once(routed_df, list(LABEL_FEATURES)) as complete:
+        return {label: [fit_model("linear", complete, fs, label)] for label, fs in LABEL_FEATURES.items()}
 
 
 def predict_by_label(spark, sf_dir):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +25,8 @@ def detect_missing(
 def is_number(text: Column, kind: str) -> Column:
     """True where a text converts to a finite number; texts such as NaN and Infinity do not count."""
     value = text.try_cast(kind)
-    finite = F.lit(True) if kind == "long" else ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.coalesce(value.isNotNull() & finite, F.lit(False))
-
-
-def _any(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    finite = value.isNotNull() if kind == "long" else F.abs(value) < float("inf")  # NaN is above infinity
+    return F.coalesce(finite, F.lit(False))
 
 
 def route_readings(
@@ -48,12 +43,21 @@ def route_readings(
     its first one as label; its other gaps stay null. Texts that are no finite
     number (``NaN`` and ``Infinity`` too) are ``not_numeric``.
     """
-    raw = F.col(payload)
+    raw, label = F.col(payload), F.col("label")
     inputs = [timestamp, *fields]
-    kinds = {f: "long" if f == timestamp else "double" for f in inputs}
-    others = [(f, (F.col("label").isNull()) | (F.col("label") != f)) for f in inputs]
-    not_numeric = _any([other & ~is_missing(raw[f]) & ~is_number(raw[f], kinds[f]) for f, other in others])
-    absent = _any([other & ~F.map_contains_key(raw, f) for f, other in others])
+    # Tests of all fields in loops over arrays: spelled out per field they make a method too large for the JVM to compile.
+    texts = F.array(*[F.struct(F.lit(f).alias("name"), raw[f].alias("text"), F.lit(f == timestamp).alias("whole")) for f in inputs])
+
+    def other(name: Column) -> Column:
+        return label.isNull() | (label != name)
+
+    def no_number(field: Column) -> Column:
+        text = field["text"]
+        number = F.when(field["whole"], is_number(text, "long")).otherwise(is_number(text, "double"))
+        return other(field["name"]) & ~is_missing(text) & ~number
+
+    not_numeric = F.exists(texts, no_number)
+    absent = F.exists(F.array(*map(F.lit, inputs)), lambda f: other(f) & ~F.array_contains(F.map_keys(raw), f))
     has_gap = F.size("missing") > 0
 
     reason = F.when(raw.isNull(), "bad_json")

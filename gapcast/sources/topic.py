@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -25,8 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp"
 FORMAT = "topic_folder"
-# Messages in one task at most, unless an option says otherwise.
-ROWS_PER_TASK = 1_000_000
+# Messages in one task at most, unless an option says otherwise; also in one segment.
+ROWS_PER_TASK = 100_000
 
 
 class DataLoss(RuntimeError):
@@ -45,9 +46,12 @@ class Segment:
 
 @dataclass
 class OffsetRange(InputPartition):
+    """The messages of a partition with offsets [first, end), and the segments they lie in."""
+
     partition: int
     first: int
     end: int
+    segments: tuple[Segment, ...] = ()
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -97,8 +101,12 @@ class TopicLog:
         Segments count as far as they follow each other without a gap, so a reader
         does not pass a segment that is still being put in place.
         """
+        return self.bounds_of(self.segments())
+
+    @staticmethod
+    def bounds_of(segments: dict[int, list[Segment]]) -> dict[int, tuple[int, int]]:
         out = {}
-        for p, own in self.segments().items():
+        for p, own in segments.items():
             first = end = own[0].first if own else 0
             for segment in own:
                 if segment.first != end:
@@ -107,15 +115,25 @@ class TopicLog:
             out[p] = (first, end)
         return out
 
-    def read(self, partition: int, first: int, end: int) -> Iterator[pa.RecordBatch]:
-        """Columns key, value, offset, timestamp of the messages with offsets [first, end)."""
+    def read(self, partition: int, first: int, end: int, segments: Sequence[Segment] | None = None) -> Iterator[pa.RecordBatch]:
+        """Columns key, value, offset, timestamp of the messages with offsets [first, end).
+
+        ``segments`` are those they lie in; without them the topic is listed. Row
+        groups without any of the offsets are not read.
+        """
         fs, _ = _file_system(self.path)
         expected = first
-        for segment in self.segments()[partition]:
+        for segment in self.segments()[partition] if segments is None else segments:
             if segment.end <= first or segment.first >= end:
                 continue
-            with fs.open_input_file(segment.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(columns=["key", "value", "offset", "timestamp"]):
+            try:
+                f = fs.open_input_file(segment.path)
+            except FileNotFoundError:  # gone since it was listed
+                continue
+            with f:
+                file = pq.ParquetFile(f)
+                groups = self._groups(file.metadata, first, end)
+                for batch in file.iter_batches(row_groups=groups, columns=["key", "value", "offset", "timestamp"]):
                     offsets = batch.column("offset").to_numpy()
                     batch = batch.filter(pa.array((offsets >= first) & (offsets < end)))
                     expected += batch.num_rows
@@ -125,6 +143,13 @@ class TopicLog:
             raise DataLoss(f"partition {partition} of {self.path} holds {expected - first} of the {end - first} messages from {first}")
 
 
+    @staticmethod
+    def _groups(meta: pq.FileMetaData, first: int, end: int) -> list[int]:
+        at = meta.schema.names.index("offset")
+        own = [meta.row_group(i).column(at).statistics for i in range(meta.num_row_groups)]
+        return [i for i, s in enumerate(own) if s.max >= first and s.min < end]
+
+
 def _offsets(text: str, bounds: dict[int, tuple[int, int]]) -> dict[str, int]:
     """``earliest``, ``latest`` or a JSON object of offsets (-2 earliest, -1 latest) per partition."""
     if text in ("earliest", "latest"):
@@ -148,19 +173,32 @@ class _TopicReading:
         self.log = TopicLog(self.path)
 
     def ranges(self, start: dict, end: dict) -> list[OffsetRange]:
-        """Ranges of at most ``rows_per_task`` messages; one that is gone from the log is refused or skipped."""
-        out, kept = [], self.log.bounds()
+        """Ranges of at most ``rows_per_task`` messages; one that is gone from the log is refused or skipped.
+
+        A range ends with a segment if it can, so that few segments are read by two tasks.
+        """
+        out, segments = [], self.log.segments()
+        kept = self.log.bounds_of(segments)
         for p in sorted(end, key=int):
             first, last = start.get(p, 0), end[p]
             if first < last and first < kept[int(p)][0]:
                 if self.strict:
                     raise DataLoss(f"offsets {first} to {kept[int(p)][0]} of partition {p} of {self.path} are gone")
                 first = min(kept[int(p)][0], last)
-            out += [OffsetRange(int(p), a, min(a + self.rows_per_task, last)) for a in range(first, last, self.rows_per_task)]
+            own = segments[int(p)]
+            firsts, ends = [s.first for s in own], [s.end for s in own]
+            while first < last:
+                upto = min(first + self.rows_per_task, last)
+                whole = bisect_right(ends, upto)  # so many segments end by then
+                if upto < last and whole and ends[whole - 1] > first:
+                    upto = ends[whole - 1]
+                held = own[bisect_right(ends, first) : bisect_left(firsts, upto)]
+                out.append(OffsetRange(int(p), first, upto, tuple(held)))
+                first = upto
         return out
 
     def rows(self, part: OffsetRange) -> Iterator[pa.RecordBatch]:
-        for batch in self.log.read(part.partition, part.first, part.end):
+        for batch in self.log.read(part.partition, part.first, part.end, part.segments):
             n = batch.num_rows
             stamp = batch.column("timestamp").cast(pa.timestamp("us", tz="UTC"))
             columns = [batch.column("key"), batch.column("value"), pa.array([self.topic] * n, pa.string())]
@@ -243,8 +281,8 @@ def append_to_topic(df: DataFrame, path: str, key: str | None = None, value: str
     """Append messages: the partition from a hash of the key (else of the value), offsets after the last one.
 
     Messages of a partition are ordered by timestamp, key and value. One append
-    becomes one segment per partition, written by one task, as a log needs it.
-    There may be one writer at a time.
+    becomes segments of at most ROWS_PER_TASK messages per partition, written by
+    one task per partition, as a log needs it. There may be one writer at a time.
     """
     log = TopicLog(path)
     ends = {p: b[1] for p, b in log.bounds().items()}
@@ -255,7 +293,7 @@ def append_to_topic(df: DataFrame, path: str, key: str | None = None, value: str
     order = Window.partitionBy("partition").orderBy("timestamp", "key", "value")
     base = F.element_at(F.array(*[F.lit(ends[p]).cast("bigint") for p in range(len(ends))]), F.col("partition") + 1)
     numbered = messages.withColumn("offset", base + F.row_number().over(order) - 1)
-    numbered.write.mode("append").option("maxRecordsPerFile", 0).partitionBy("partition").parquet(path)
+    numbered.write.mode("append").option("maxRecordsPerFile", ROWS_PER_TASK).partitionBy("partition").parquet(path)
 
 
 def register_topics(spark: SparkSession) -> None:

@@ -1,10 +1,12 @@
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from gapcast.sources.topic import DataLoss, TopicLog, append_to_topic, create_topic, read_stream_topic, read_topic
+from gapcast.sources.topic import DataLoss, TopicLog, _TopicReading, append_to_topic, create_topic, read_stream_topic, read_topic
 
 
 def messages(spark, first, end):
@@ -130,3 +132,21 @@ def test_a_gap_in_the_log_is_not_read_past(spark, topic):
     assert TopicLog(topic).bounds()[0] == (0, middle.first)
     with pytest.raises(DataLoss):
         list(TopicLog(topic).read(0, 0, middle.end))
+
+
+def test_an_append_is_cut_into_segments_and_a_task_reads_only_its_own(spark, topic, monkeypatch):
+    monkeypatch.setattr("gapcast.sources.topic.ROWS_PER_TASK", 10)
+    append(spark, topic, 0, 100)
+    log = TopicLog(topic)
+    assert all(s.end - s.first <= 10 for own in log.segments().values() for s in own)
+    ranges = _TopicReading({"path": topic}).ranges({}, {str(p): end for p, (_, end) in log.bounds().items()})
+    assert sum(r.end - r.first for r in ranges) == 100 and all(len(r.segments) == 1 for r in ranges)
+    monkeypatch.setattr(TopicLog, "segments", lambda self: pytest.fail("a task lists the topic"))
+    found = [n for r in ranges for batch in log.read(r.partition, r.first, r.end, r.segments) for n in batch.column("value").to_pylist()]
+    assert sorted(json.loads(v)["n"] for v in found) == list(range(100))
+
+
+def test_a_range_reads_the_row_groups_it_needs(tmp_path):
+    path = str(tmp_path / "s.parquet")
+    pq.write_table(pa.table({"offset": pa.array(range(100), pa.int64())}), path, row_group_size=10)
+    assert TopicLog._groups(pq.ParquetFile(path).metadata, 15, 31) == [1, 2, 3]
