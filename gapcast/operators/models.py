@@ -103,6 +103,8 @@ SPECS = {
 POINT, WEIGHT, DEVIATION = "_point", "_weight", "_deviation"
 
 TREES = ("decision_tree", "gbt", "random_forest")
+# Rows of a tree learner's table in one task at most, about.
+ROWS_PER_TASK = 500_000
 DEEP = 20
 
 
@@ -156,6 +158,20 @@ def assembled_rows(df: DataFrame, features: Sequence[str], label: str, *keep: st
     return assemble_features(rows, features).select(F.col(label).cast("double").alias(label), FEATURES, *keep)
 
 
+def dealt_rows(rows: DataFrame) -> DataFrame:
+    """The rows of a table for a tree learner, in parts of about ROWS_PER_TASK at most.
+
+    The learner keeps its points and their errors in the parts of its table, and a
+    task reads all that is kept of a part at every level. A table is dealt anew only
+    if one of its parts has more rows: parts of a file grow with the file.
+    """
+    parts = rows.groupBy(F.spark_partition_id()).count()
+    found = parts.agg(F.max("count").alias("most"), F.sum("count").alias("n"), F.count("*").alias("parts")).first()
+    if (found["most"] or 0) <= ROWS_PER_TASK:
+        return rows
+    return rows.repartition(max(found["parts"], -(-found["n"] // ROWS_PER_TASK)))
+
+
 # --- linear ---------------------------------------------------------------
 
 
@@ -276,6 +292,6 @@ def fit_model(
     if algorithm == "isotonic":
         return fit_isotonic(df, features, label, params, handle_invalid)
     ensure_checkpoint_dir(df.sparkSession)
-    rows = assembled_rows(df, features, label, handle_invalid=handle_invalid)
+    rows = dealt_rows(assembled_rows(df, features, label, handle_invalid=handle_invalid))
     model = make_estimator(algorithm, label, params).fit(rows)
     return FittedModel(algorithm, label, features, model, params)

@@ -42,6 +42,7 @@ from gapcast.operators.models import (
     uses_moments,
     as_vector_model,
     assembled_rows,
+    dealt_rows,
     distinct_points,
     fit_isotonic_points,
     fit_linear_points,
@@ -190,7 +191,7 @@ def _tune_gbt(rows, features, label, points, folds, parallelism, fold_col):
         if shape_of(p) not in shapes:
             shapes.append(shape_of(p))
 
-    table = assembled_rows(rows, features, label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    table = dealt_rows(assembled_rows(rows, features, label, fold_col)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _check_folds({r[fold_col] for r in table.select(fold_col).distinct().collect()}, folds)
 
@@ -231,7 +232,7 @@ def _tune_trees(algorithm, rows, features, label, points, folds, parallelism, fo
         if shape_of(p) not in shapes:
             shapes.append(shape_of(p))
 
-    table = assembled_rows(rows, features, label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    table = dealt_rows(assembled_rows(rows, features, label, fold_col)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _check_folds({r[fold_col] for r in table.select(fold_col).distinct().collect()}, folds)
 

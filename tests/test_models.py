@@ -410,3 +410,20 @@ def test_plain_least_squares_agrees_with_numpy(rows):
     model = fit_model("linear", rows, FEATURES, "y").model
     assert np.allclose([*model.coefficients, model.intercept], expected, rtol=1e-6)
     assert isinstance(make_estimator("linear", "y"), LinearRegression)
+
+
+def test_trees_learn_from_parts_of_bounded_size(spark, monkeypatch):
+    """A table in one part is dealt out; each row is kept once, and small tables stay as they are."""
+    df = spark.range(0, 1000, 1, 1).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 50 as double) y")
+    seen = []
+
+    class Learner:
+        def fit(self, rows):
+            seen.append([len(part) for part in rows.rdd.glom().collect()])
+            assert sorted(r["y"] for r in rows.collect()) == sorted(r["y"] for r in df.collect())
+
+    monkeypatch.setattr("gapcast.operators.models.make_estimator", lambda *a: Learner())
+    fit_model("gbt", df, ["a"], "y")
+    monkeypatch.setattr("gapcast.operators.models.ROWS_PER_TASK", 100)
+    fit_model("gbt", df, ["a"], "y")
+    assert seen[0] == [1000] and len(seen[1]) == 10 and max(seen[1]) <= 101
