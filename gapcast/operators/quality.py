@@ -45,7 +45,7 @@ def route_readings(
     """
     raw, label = F.col(payload), F.col("label")
     inputs = [timestamp, *fields]
-    # Tests of all fields in loops over arrays: spelled out per field they make a method too large for the JVM to compile.
+    # Tests of all fields in loops over arrays: spelled out per field they took longer.
     texts = F.array(*[F.struct(F.lit(f).alias("name"), raw[f].alias("text"), F.lit(f == timestamp).alias("whole")) for f in inputs])
 
     def other(name: Column) -> Column:
