@@ -14,14 +14,14 @@ from pyspark.sql import types as T
 BATCH_BYTES = 1 << 20
 
 
-def slices(batch: pa.RecordBatch, text_index: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Pieces of a batch with about BATCH_BYTES of text each; a longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, text_index: int, volume_limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Pieces of a batch with about ``volume_limit`` bytes of text each; a longer text is a piece of its own."""
     first, volume = 0, 0
     column = batch.column(text_index)
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, size in enumerate(sizes):
         volume += size
-        if volume >= BATCH_BYTES or i == len(sizes) - 1:
+        if volume >= volume_limit or i == len(sizes) - 1:
             piece = batch.slice(first, i + 1 - first)
             yield piece, piece.column(text_index).to_pylist()
             first, volume = i + 1, 0

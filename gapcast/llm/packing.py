@@ -17,13 +17,13 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,44 +36,135 @@ END_ID = 1
 # one by one with the same result: none of them composes with a neighbour, changes length in lower
 # case, or is a blank, letter or digit to one side only.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ]*").fullmatch
-CUT = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+").findall
-KNOWN_WORDS = 800_000
+CUT = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\d|[^\s\p{L}\d]+"
+KNOWN_WORDS = 400_000
 LONG_WORD = 64
+SLICE_BYTES = 8 << 20
+LEARN_ROWS = 1 << 16  # words that are tokenized in one call
+PLACE_ROWS = 1 << 18  # words whose ids are put in place at a time
 
 
-class WordIds(dict):
-    """Ids of words as little-endian unsigned 32-bit bytes, with a bounded memory."""
+@dataclass
+class Ids:
+    """Token ids of many strings: ``size`` ids each, from ``start`` of ``flat``."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def in_a_row(cls, flat: np.ndarray, size: np.ndarray) -> Ids:
+        return cls(flat, np.cumsum(size) - size, size)
+
+    def take(self, rows: np.ndarray) -> Ids:
+        return Ids(self.flat, self.start[rows], self.size[rows])
+
+    def joined(self) -> np.ndarray:
+        """All strings' ids, one after the other."""
+        parts = [self.flat[:0]]
+        for first in range(0, len(self.size), PLACE_ROWS):
+            start, size = self.start[first : first + PLACE_ROWS], self.size[first : first + PLACE_ROWS]
+            at = np.repeat(start - np.cumsum(size) + size, size)
+            parts.append(self.flat[at + np.arange(len(at))])
+        return np.concatenate(parts)
+
+    def summed(self, offsets: np.ndarray) -> Ids:
+        """The ids of runs of strings: run i has the strings from ``offsets[i]`` to before ``offsets[i + 1]``."""
+        ends = np.append(0, np.cumsum(self.size))[offsets]
+        return Ids(self.joined(), ends[:-1], np.diff(ends))
+
+
+class Known:
+    """Strings whose ids are known; beyond ``KNOWN_WORDS``, half of them, least lately met, are forgotten."""
+
+    def __init__(self) -> None:
+        self.strings = pa.array([], pa.string())
+        self.ids = Ids.in_a_row(np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        self.met = np.zeros(0, np.int64)
+        self.now = 0
+
+    def look_up(self, strings: pa.StringArray, find: Callable[[pa.StringArray], Ids]) -> Ids:
+        """Ids of distinct strings; ``find`` has those of the unknown ones."""
+        at = pc.fill_null(pc.index_in(strings, value_set=self.strings), -1).to_numpy().astype(np.int64)
+        lost = np.flatnonzero(at < 0)
+        self.now += 1
+        self.met[at[at >= 0]] = self.now
+        if not len(lost):
+            return self.ids.take(at)
+        unknown = strings.take(pa.array(lost))
+        found = find(unknown)
+        at[lost] = len(self.met) + np.arange(len(lost))
+        both = Ids(
+            np.concatenate([self.ids.flat, found.flat]),
+            np.concatenate([self.ids.start, len(self.ids.flat) + found.start]),
+            np.concatenate([self.ids.size, found.size]),
+        )
+        result = both.take(at)
+        short = np.flatnonzero(pc.binary_length(unknown).to_numpy() <= LONG_WORD)[: KNOWN_WORDS // 2]
+        kept = np.concatenate([np.arange(len(self.met)), len(self.met) + short])
+        self.strings = pa.concat_arrays([self.strings, unknown.take(pa.array(short))])
+        self.met = np.concatenate([self.met, np.full(len(short), self.now)])
+        if len(kept) > KNOWN_WORDS:
+            lately = np.sort(np.argsort(-self.met, kind="stable")[: KNOWN_WORDS // 2])
+            self.strings, self.met, kept = self.strings.take(pa.array(lately)), self.met[lately], kept[lately]
+        self.ids = Ids.in_a_row(both.take(kept).joined(), both.size[kept]) if len(kept) < len(both.size) else both
+        return result
+
+
+class WordIds:
+    """Ids of texts by the tokenizer.
+
+    A plain text is cut at blanks, and every distinct string between blanks is looked up
+    once a call. An unknown one is cut into the tokenizer's words, which are looked up
+    likewise; unknown words are tokenized.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.strings, self.words = Known(), Known()
+        # Only a tokenizer that marks the ends of words and drops blanks can be fed word by word.
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            # Words cut out of plain texts are in normal form and need no further cutting.
+            self.by_word = Tokenizer(self.tokenizer.model)
+            self.by_word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), self.tokenizer.pre_tokenizer[1]])
+        self.suffix = suffix
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Tokenize words that are not known yet, in one call."""
-        if len(self) + len(words) > KNOWN_WORDS:
-            self.clear()
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        starts = np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))
-        for word, start, end in zip(words, starts.tolist(), starts[1:].tolist()):
-            self[word] = ids[start:end].tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        return self.encode(word)  # too long to keep, or forgotten meanwhile
+    def learn(self, words: pa.StringArray) -> Ids:
+        """Ids of words that ``CUT`` has cut out, or of the empty string."""
+        flat, size = [], (pc.binary_length(words).to_numpy() > 0).astype(np.int64)
+        rows = np.flatnonzero(size)
+        for first in range(0, len(rows), LEARN_ROWS):
+            own = rows[first : first + LEARN_ROWS]
+            text = " ".join(words.take(pa.array(own)).to_pylist())
+            ids = np.array(self.by_word.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            size[own] = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            flat.append(ids)
+        return Ids.in_a_row(np.concatenate([self.words.ids.flat[:0], *flat]), size)
+
+    def cut(self, strings: pa.StringArray) -> Ids:
+        """Ids of strings without blanks, by their words."""
+        return self.distinct(pc.replace_substring_regex(strings, CUT, r"\0 "), self.words, self.learn)
+
+    def distinct(self, texts: pa.StringArray, known: Known, find: Callable[[pa.StringArray], Ids]) -> Ids:
+        """Ids of texts, by the distinct strings between their blanks."""
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.values.dictionary_encode()
+        return known.look_up(coded.dictionary, find).take(coded.indices.to_numpy()).summed(parts.offsets.to_numpy())
 
     def documents(self, texts: list[str | None]) -> list[bytes]:
         """The tokenizer's ids of whole texts; special tokens are left to the tokenizer."""
-        cut = [CUT(t.lower()) if t and "<|" not in t and PLAIN(t) else None for t in texts]
-        seen = set(chain.from_iterable(filter(None, cut)))
-        if new := [w for w in seen if w not in self and len(w) <= LONG_WORD]:
-            self.learn(new)
-        known = self.__getitem__
-        return [(self.encode(t) if t else b"") if words is None else b"".join(map(known, words)) for t, words in zip(texts, cut)]
+        plain = [bool(t and self.suffix and "<|" not in t and PLAIN(t)) for t in texts]
+        found = self.distinct(pa.array([t.lower() if p else "" for t, p in zip(texts, plain)], pa.string()), self.strings, self.cut)
+        starts, ends = found.start.tolist(), (found.start + found.size).tolist()
+        return [found.flat[a:b].tobytes() if p else self.encode(t) if t else b"" for t, p, a, b in zip(texts, plain, starts, ends)]
 
 
 _words: dict[str, WordIds] = {}
@@ -102,7 +193,7 @@ def tokenized_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
         for batch in batches:
-            for part, texts in slices(batch, 1):
+            for part, texts in slices(batch, 1, SLICE_BYTES):
                 rows, pieces = [], []
                 for row, ids in enumerate(words.documents(texts)):
                     ids += end

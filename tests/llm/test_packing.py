@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from gapcast.llm import packing
 from gapcast.llm.packing import TOKENIZER, best_filling, fractional_fillings, linear_plan, pack_documents, plan, word_ids
 
 CHARACTERS = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x180), 9, 10, 13])) + "'stredmvl  " * 8
@@ -19,6 +21,30 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_plain_texts_are_tokenized_by_distinct_words(monkeypatch):
+    """Plain texts never go to the tokenizer whole, and a word that every call meets goes there once, however full the memory is."""
+    for name, value in [("KNOWN_WORDS", 60), ("LEARN_ROWS", 7), ("PLACE_ROWS", 5)]:
+        monkeypatch.setattr(packing, name, value, raising=False)
+    words, learnt, whole = packing.WordIds(TOKENIZER), [], []
+    learn, encode = words.learn, words.encode
+    monkeypatch.setattr(words, "learn", lambda new: (learnt.extend(map(str, new)), learn(new))[1])
+    monkeypatch.setattr(words, "encode", lambda text: (whole.append(text), encode(text))[1])
+    rng = random.Random(7)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for call in range(12):
+        texts = ["Größe, größe! (größe) it's " + " ".join("".join(rng.choices("aeiouß'1", k=rng.randint(1, 90))) for _ in range(9)) for _ in range(5)]
+        for text, ids in zip(texts, words.documents([*texts, None, "", " \n "])):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not whole and learnt.count("größe") == 1
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    for text, ids in zip(texts := ["Two words, it's", " a  b\n"], word_ids(path).documents(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(docs, rows, length):
     """No piece is lost or changed, sequences are gapless and not too long."""
     tokenizer = Tokenizer.from_file(TOKENIZER)
