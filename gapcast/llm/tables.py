@@ -13,15 +13,17 @@ from gapcast.scratch import shared_dir
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: str | None = None, **options: object) -> DataFrame:
+    """Write a frame to the shared folder, in a subfolder per value of ``by`` if given, and read it back.
 
     This cuts the lineage (an executor that is lost later costs no recomputation)
     and forgets the partitioning, so joins on the result are dealt by plain
-    exchanges, whose large partitions adaptive execution can split.
+    exchanges, whose large partitions adaptive execution can split. Options are
+    the writer's; ``__`` stands for a dot.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite").options(**{k.replace("__", "."): v for k, v in options.items()})
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
